@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.llm import chat, embedding_dedup, langid, mixing, simhash
+from trajectree.llm import chat, embedding_dedup, langid, mixing, quality, simhash
 from trajectree.llm.common import table
 
 
@@ -38,12 +38,20 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs.filter(~langid.held_out(F.col("doc_id")))))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules and verdict for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.judged(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op4_simhash": op4_simhash,
     "op7_chat": op7_chat,
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
