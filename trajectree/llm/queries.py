@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.llm import chat, embedding_dedup, langid, mixing, quality, simhash
+from trajectree.llm import chat, embedding_dedup, langid, mixing, packing, quality, simhash, token_counts
 from trajectree.llm.common import table
 
 
@@ -16,12 +16,22 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and after masking its personal data, encoding only what the edits touch."""
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates among all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of at most 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one that holds the template's own control strings."""
     return chat.digests(chat.rendered_turns(chat.with_extra(table(spark, sf_dir, "conversations"))))
@@ -47,7 +57,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
+    "op5_packing": op5_packing,
     "op7_chat": op7_chat,
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
