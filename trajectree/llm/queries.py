@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.llm import chat, embedding_dedup, langid, mixing, packing, quality, simhash, token_counts
+from trajectree.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, simhash, token_counts
 from trajectree.llm.common import table
 
 
@@ -21,6 +21,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.edited_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that are removed for being similar to an earlier line of the corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = line_dedup.removed_by_document(docs)
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    joined = every.join(removed, every["doc_id"].eqNullSafe(removed["doc_id"]) & (every["text_id"] == removed["text_id"]), "left")
+    n = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
+    return joined.select(every["doc_id"], "n_lines", n.alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash near-duplicates among all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -58,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_token_counts": op2_token_counts,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op7_chat": op7_chat,
