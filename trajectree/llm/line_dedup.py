@@ -31,6 +31,8 @@ LEAST_WORDS = 5
 BUCKETS = 1 << 18
 #: Bits of a token below its rarity class (0 to 127).
 HASH_BITS = 56
+#: 64-bit words of the bitmap that lets lines without a pair go before they are read again (4 million bits).
+BITMAP_WORDS = 1 << 16
 #: From this rarity class on (sixteen classes for each fourfold count), a token may be shared by a family of near copies.
 FREQUENT = 64
 
@@ -101,11 +103,34 @@ def _firsts(table: DataFrame, *columns: str) -> DataFrame:
     return table.groupBy("id").agg(first).select("id", "first.*")
 
 
+def _cell(key: Column) -> tuple[Column, Column]:
+    """The word and the bit of a key's place in the bitmap."""
+    hashed = F.xxhash64(key)
+    return hashed.bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+
+
+def _bitmap(keys: DataFrame) -> Column:
+    """The places of all keys (_key), as one constant array of BITMAP_WORDS longs."""
+    word, bit = _cell(F.col("_key"))
+    table = [0] * BITMAP_WORDS
+    for w, bits in keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect():
+        table[w] = bits
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+
+
+def _in_bitmap(key: Column, bitmap: Column) -> Column:
+    word, bit = _cell(key)
+    return bitmap[word].bitwiseAND(bit) != 0
+
+
 def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
     """Ids of lines that a pair (a, b) proves similar to an earlier line, by the tokens of both lines, read from the text again."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     places = cut(_firsts(table.select("id", "doc_id", "text_id", "line"))).join(wanted, "id").select("id", "place.*")
+    places = cut(places)
     read = _split(docs).withColumn("_key", F.struct("doc_id", "text_id", "line")).select("_key", "_line")
+    # Most lines are no line of a pair: a bitmap of fixed size lets them go before the join.
+    read = read.filter(_in_bitmap(F.col("_key"), _bitmap(places.select(F.struct("doc_id", "text_id", "line").alias("_key")))))
     read = read.join(places.select("id", F.struct("doc_id", "text_id", "line").alias("_key")), "_key")
     read = cut(read.dropDuplicates(["id"]).select("id", F.col("_key").alias("place"), _tokens(F.col("_line"), classes).alias("tokens")))
     left = read.select(F.col("id").alias("a"), F.col("place").alias("_place_a"), F.col("tokens").alias("_a"))
