@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, simhash, token_counts
+from trajectree.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts
 from trajectree.llm.common import table
 
 
@@ -42,6 +42,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove the bytes of 200-byte strings that repeat anywhere."""
+    return suffix_dedup.remaining(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one that holds the template's own control strings."""
     return chat.digests(chat.rendered_turns(chat.with_extra(table(spark, sf_dir, "conversations"))))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat": op7_chat,
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
