@@ -6,26 +6,55 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajectree.llm import mixing
+from trajectree.llm import line_dedup, mixing, packing, quality, simhash
 from trajectree.llm.common import shared_folder, table
 
+#: Bits in which fingerprints of near copies may differ in the pipeline. Three-word shingles of texts that share four fifths of their five-word shingles
+#: differ in about so many; unrelated texts differ in around 32 of 64.
+NEAR_COPY_RADIUS = 6
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier line go, and documents of which nothing is left."""
+    return line_dedup.deduplicate(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one of least id."""
+    return simhash.deduplicate(docs, NEAR_COPY_RADIUS)
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix sources to target weights."""
+    """Sources are mixed to their target weights; documents may repeat or go."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents become pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+
+#: Hashes, tokens and packing are beyond SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir; returns what the last one does."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{folder}/{k}-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

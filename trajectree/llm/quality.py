@@ -113,4 +113,5 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, as they are."""
     row = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    return judged(row, labels).filter("kept").select("_row.*")
+    # A filter would be pushed down through all the steps and repeat them inside each other; a generator stays above.
+    return judged(row, labels).select(F.inline(F.when(F.col("kept"), F.array("_row"))))

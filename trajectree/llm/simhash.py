@@ -140,3 +140,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> Da
     reps = reps.join(roots, reps["rep"] == roots["node"], "left").withColumn("root", F.coalesce("root", "rep"))
     least = cut(reps.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints.join(reps.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the least doc_id's (null last), of equal ids the row of least hash; of rows that are equal, one."""
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = cut(near_duplicates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), radius))
+    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
+    stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    # Rows of one id: the first of them only, without a shuffle of others' texts.
+    first = cut(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).filter("_n > 1"))
+    single = stay.join(first, stay["doc_id"].eqNullSafe(first["_id"]), "left_anti").select("_row.*")
+    twice = stay.join(first, stay["doc_id"].eqNullSafe(first["_id"]) & (stay["_key"] == first["_least"])).dropDuplicates(["_id", "_key"]).select("_row.*")
+    return single.unionByName(twice)
