@@ -27,6 +27,19 @@ def suffix_array(s: Sequence[int]) -> list[int]:
     top = n
     while top:
         first = group[order[top - 1]]
+        if top - first == 1:  # most groups hold one suffix: the same steps for it alone
+            i = order[first]
+            p = i - 1
+            while p >= 0 and group[p] >= first:
+                p = smaller[p]
+            smaller[i], top = p, first
+            if p >= 0 and size[old := group[p]] > 1:
+                fresh = old + size[old] - 1
+                hole, last = place[p], order[fresh]
+                order[hole], place[last] = last, hole
+                order[fresh], place[p], group[p] = p, fresh, fresh
+                size[old], size[fresh] = fresh - old, 1
+            continue
         lent: Counter[int] = Counter()
         for i in sorted(order[first:top]):
             p = i - 1
@@ -46,8 +59,12 @@ def suffix_array(s: Sequence[int]) -> list[int]:
             if fresh == old:
                 continue
             # A swap with what stands at the end: those that leave fill the last places.
-            staying = [i for i in order[fresh:end] if i not in set(out)] if len(out) > 8 else [i for i in order[fresh:end] if i not in out]
             holes = [place[i] for i in out if place[i] < fresh]
+            if holes:
+                gone = set(out)
+                staying = [i for i in order[fresh:end] if i not in gone]
+            else:
+                staying = []
             for hole, i in zip(holes, staying):
                 order[hole], place[i] = i, hole
             for k, i in enumerate(out, fresh):
