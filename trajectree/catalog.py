@@ -1,4 +1,6 @@
 """All queries of the engine's own operators, by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from trajectree.operators import features, joins, retrieval, rollups, sampling, sets, texts, trajectories, trees  # noqa: F401
+from trajectree.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
