@@ -28,11 +28,13 @@ from trajectree.llm.common import cut, stored
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Bits of a token below its rarity class (0 to 127).
 HASH_BITS = 56
-#: 64-bit words of the bitmap that lets lines without a pair go before they are read again (4 million bits).
-BITMAP_WORDS = 1 << 16
+#: Hash bits of a token that the join leaves out.
+JOIN_SHIFT = 16
+#: 64-bit words of the bitmap that lets lines without a pair go before they are read again (2 million bits).
+BITMAP_WORDS = 1 << 15
 #: From this rarity class on (sixteen classes for each fourfold count), a token may be shared by a family of near copies.
 FREQUENT = 64
 
@@ -48,20 +50,20 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The rarity class of each bucket of words, in a token's leading bits, as one constant array of BUCKETS longs."""
+    """The rarity class of each bucket of words, as one constant array of BUCKETS small numbers."""
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word"))
     counts = words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     classes = counts.select("bucket", F.least(F.lit(127), F.floor(8 * F.log2("n"))).cast("int").alias("c")).collect()
     table = [0] * BUCKETS
     for b, c in classes:
-        table[b] = c << HASH_BITS
+        table[b] = c
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
 def _tokens(line: Column, classes: Column) -> Column:
     """The set of a line's tokens, rarest first."""
-    token = lambda h: classes[h.bitwiseAND(F.lit(BUCKETS - 1))].bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    token = lambda h: F.shiftleft(classes[h.bitwiseAND(F.lit(BUCKETS - 1))], HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
     hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(hashes, lambda h: F.coalesce(token(h), F.lit(0).cast("long"))))
 
@@ -97,10 +99,11 @@ def _may_be_similar(a: str, b: str) -> Column:
     return (m >= SIMILARITY * n - 1e-9) & room & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n + m - 2 * least)
 
 
-def _firsts(table: DataFrame, *columns: str) -> DataFrame:
-    """The first line of each set: id, place, columns. Copies meet in the partial results of their tasks."""
-    first = F.min(F.struct(F.struct("doc_id", "text_id", "line").alias("place"), *columns)).alias("first")
-    return table.groupBy("id").agg(first).select("id", "first.*")
+def _firsts(table: DataFrame) -> DataFrame:
+    """The first line of each set, with a number for the set: id, set, place, n, bits, prefix. Copies meet in the partial results of their tasks."""
+    place = F.struct("doc_id", "text_id", "line").alias("place")
+    firsts = table.groupBy("id").agg(F.min(F.struct(place, "n", "bits", "prefix")).alias("first")).select("id", "first.*")
+    return stored(firsts.withColumn("set", F.monotonically_increasing_id()))
 
 
 def _cell(key: Column) -> tuple[Column, Column]:
@@ -123,54 +126,58 @@ def _in_bitmap(key: Column, bitmap: Column) -> Column:
     return bitmap[word].bitwiseAND(bit) != 0
 
 
-def _verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
-    """Ids of lines that a pair (a, b) proves similar to an earlier line, by the tokens of both lines, read from the text again."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    places = cut(_firsts(table.select("id", "doc_id", "text_id", "line"))).join(wanted, "id").select("id", "place.*")
-    places = cut(places)
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
+    """Sets whose first line a pair (a, b) proves similar to an earlier line, by the tokens of both lines, read from the text again."""
+    wanted = cut(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")).distinct())
+    # Most lines are in no pair: bitmaps of fixed size let them go before the joins.
+    places = firsts.select(F.col("set").alias("_key"), "place").filter(_in_bitmap(F.col("_key"), _bitmap(wanted)))
+    places = cut(places.join(wanted, "_key").select(F.col("_key").alias("set"), F.col("place").alias("_key")))
     read = _split(docs).withColumn("_key", F.struct("doc_id", "text_id", "line")).select("_key", "_line")
-    # Most lines are no line of a pair: a bitmap of fixed size lets them go before the join.
-    read = read.filter(_in_bitmap(F.col("_key"), _bitmap(places.select(F.struct("doc_id", "text_id", "line").alias("_key")))))
-    read = read.join(places.select("id", F.struct("doc_id", "text_id", "line").alias("_key")), "_key")
-    read = cut(read.dropDuplicates(["id"]).select("id", F.col("_key").alias("place"), _tokens(F.col("_line"), classes).alias("tokens")))
-    left = read.select(F.col("id").alias("a"), F.col("place").alias("_place_a"), F.col("tokens").alias("_a"))
-    right = read.select(F.col("id").alias("b"), F.col("place").alias("_place_b"), F.col("tokens").alias("_b"))
+    read = read.filter(_in_bitmap(F.col("_key"), _bitmap(places))).join(places, "_key")
+    read = cut(read.dropDuplicates(["set"]).select("set", F.col("_key").alias("place"), _tokens(F.col("_line"), classes).alias("tokens")))
+    left = read.select(F.col("set").alias("a"), F.col("place").alias("_place_a"), F.col("tokens").alias("_a"))
+    right = read.select(F.col("set").alias("b"), F.col("place").alias("_place_b"), F.col("tokens").alias("_b"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("_a", "_b"))
     similar = both.filter(shared >= SIMILARITY * (F.size("_a") + F.size("_b") - shared) - 1e-9)
-    return similar.select(F.when(F.col("_place_a") < F.col("_place_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    return similar.select(F.when(F.col("_place_a") < F.col("_place_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
 
 
-def _led(table: DataFrame) -> DataFrame:
+def _led(firsts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a line and the earliest line under one of its frequent tokens, where the filters leave them possible."""
-    is_frequent = lambda t: F.shiftright(t, HASH_BITS) >= FREQUENT
-    some = table.withColumn("prefix", F.filter("prefix", is_frequent)).filter(F.size("prefix") > 0)
-    rows = _firsts(some, "n", "bits", "prefix").select("id", "place", "n", "bits", F.explode("prefix").alias("token"))
-    leaders = rows.groupBy("token").agg(F.min(F.struct("place", "id", "n", "bits")).alias("leader"))
-    led = rows.join(cut(leaders), "token")
+    frequent = F.filter("prefix", lambda t: F.shiftright(t, HASH_BITS) >= FREQUENT)
+    rows = firsts.select("set", "place", "n", "bits", F.explode(frequent).alias("token"))
+    leaders = cut(rows.groupBy("token").agg(F.min(F.struct("place", "set", "n", "bits")).alias("leader")))
+    led = rows.join(leaders, "token")
     least = _overlap(F.col("n"), F.col("leader.n"))
     near = F.least("n", "leader.n") >= SIMILARITY * F.greatest("n", "leader.n") - 1e-9
     near &= F.bit_count(F.col("bits").bitwiseXOR(F.col("leader.bits"))) <= F.col("n") + F.col("leader.n") - 2 * least
-    return led.filter((F.col("id") != F.col("leader.id")) & near).select(F.col("id").alias("a"), F.col("leader.id").alias("b")).distinct()
+    return led.filter((F.col("set") != F.col("leader.set")) & near).select(F.col("set").alias("a"), F.col("leader.set").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_id, line and id of every line that is removed."""
-    classes = rarity(docs)
-    table = stored(lines(docs, classes))
-    settled = cut(_verified(cut(_led(table)), table, docs, classes))
-
-    firsts = _firsts(table, "n", "bits", "prefix").join(settled.withColumn("_settled", F.lit(True)), "id", "left")
-    rows = firsts.select("id", "n", "bits", F.coalesce("_settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).repartition("token")
+def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that pass all filters under a common prefix token; none of two settled ones."""
+    # Fewer hash bits do for the join (others' rows only make more work for the filters), and make smaller rows.
+    short = F.shiftright("token", JOIN_SHIFT)
+    rows = firsts.join(settled.withColumn("_settled", F.lit(True)), "set", "left")
+    rows = rows.select("set", "n", "bits", F.coalesce("_settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).withColumn("token", short)
+    rows = rows.repartition("token")
     longer, shorter = rows.alias("a"), rows.filter(F.col("at") <= F.col("n") - _overlap(F.col("n"), F.col("n"))).alias("b")
-    order = F.struct(F.col("b.n"), F.col("b.id")) < F.struct(F.col("a.n"), F.col("a.id"))
+    order = F.struct(F.col("b.n"), F.col("b.set")) < F.struct(F.col("a.n"), F.col("a.set"))
     open_pair = ~(F.col("a.settled") & F.col("b.settled"))
     pairs = longer.join(shorter, (F.col("a.token") == F.col("b.token")) & order & open_pair & _may_be_similar("a", "b"))
-    pairs = cut(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    dropped = settled.union(_verified(pairs, table, docs, classes)).distinct().withColumn("_dropped", F.lit(True))
+    return pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
 
+
+def removed_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id, line and id of every line that is removed."""
+    classes = rarity(docs)
+    table = stored(lines(docs, classes))
+    firsts = _firsts(table)
+    settled = cut(_verified(cut(_led(firsts)), firsts, docs, classes))
+    dropped = settled.union(_verified(cut(_pairs(firsts, settled)), firsts, docs, classes)).distinct().withColumn("_dropped", F.lit(True))
+    verdict = firsts.select("id", "set", "place").join(cut(dropped), "set", "left").select("id", "place", "_dropped")
     places = table.select("doc_id", "text_id", "line", "id")
-    verdict = _firsts(places).join(dropped, "id", "left")
     return places.join(verdict, "id").filter(F.col("_dropped") | (F.struct("doc_id", "text_id", "line") != F.col("place"))).select(*places.columns)
 
 
