@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from trajectree.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts
 from trajectree.llm.common import table
+from trajectree.llm.oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
 }
-
-ORACLE_SQL: dict[str, str] = {}
