@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import cut
+from trajectree.llm.common import cut, stored
 from trajectree.llm.suffix_array import longest_shared, suffix_array
 
 LENGTH = 200
@@ -232,7 +232,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counts = _anchor_rows(docs, False).groupBy("anchor", "fragment").agg(F.count("*").alias("n"))
     totals = counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
     shared = cut(counts.join(totals, "anchor").select("anchor", "fragment", "n", (F.col("kinds") > 1).alias("open")))
-    rows = cut(_anchor_rows(docs, True).join(shared, ["anchor", "fragment"]))
+    rows = stored(_anchor_rows(docs, True).join(shared, ["anchor", "fragment"]))
     settled = rows.filter("n > 1").select("doc_id", "text_id", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
     place = F.struct("doc_id", "text_id", "at", "first", "last")
     wanted = rows.filter("open").groupBy("anchor", "fragment", "n").agg(F.min(place).alias("place")).select("anchor", "fragment", "n", "place.*")
