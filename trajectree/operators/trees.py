@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trajectree.functions.trees import edit_distance, standard_form
 from trajectree.registry import query
 from trajectree.sources.programs import programs
 
@@ -160,3 +161,38 @@ def variable_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = n.select("event_id", F.col("node").alias("grandparent"), F.col("type").alias("grandparent_type"))
     uses = named.join(above, ["event_id", "parent"]).join(top, ["event_id", "grandparent"])
     return uses.groupBy("user_id").agg(F.count("*").alias("uses"), F.countDistinct("event_id").alias("programs"))
+
+
+@query("""with e as (select user_id, event_id, event_type, lead(event_id) over (partition by user_id, event_type order by event_id) as next from events where event_type in ('purchase', 'error', 'view'))
+select event_id as prog, next, cast(case when event_type = 'error' then 0 else event_id % 7 <> next % 7 end as bigint) as ted from e where next is not null""")
+def ted_value_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree edit distance of each program and the user's next of its kind; equal pairs of programs are compared once."""
+    p = programs(spark, sf_dir).filter("event_type in ('purchase', 'error', 'view')")
+    after = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    pairs = p.select(F.col("event_id").alias("prog"), F.lead("event_id").over(after).alias("next"), "code", F.lead("code").over(after).alias("next_code")).filter("next is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ted = [edit_distance(a, b) for a, b in zip(batch["code"].to_pylist(), batch["next_code"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["code"], batch["next_code"], pa.array(ted, pa.int64())], ["code", "next_code", "ted"])
+
+    distances = pairs.select("code", "next_code").distinct().mapInArrow(run, "code string, next_code string, ted long")
+    return pairs.join(distances, ["code", "next_code"]).select("prog", "next", "ted")
+
+
+@query("""select event_id as prog, case event_type
+when 'error' then 'x = ' || user_id || chr(10) || 'print(x)'
+when 'click' then '_it1 = iter(range(0, ' || user_id || ', 1))' || chr(10) || 'while True:' || chr(10) || '    try:' || chr(10) || '        i = next(_it1)' || chr(10) || '    except StopIteration:' || chr(10) || '        break' || chr(10) || '    print(i)'
+when 'view' then 'n = int(input())' || chr(10) || 'if ' || event_id % 7 || ' < n:' || chr(10) || '    print(n)'
+when 'signup' then 'total = 0' || chr(10) || 'total = total + ' || user_id || chr(10) || 'print(total)'
+else 'x = ' || user_id || chr(10) || 'y = ' || event_id % 7 || chr(10) || 'print(x, y)' end as code from events""")
+def standardize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every program in standard form; equal programs are rewritten once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["code"], pa.array([standard_form(c) for c in batch["code"].to_pylist()], pa.string())], ["code", "standard"])
+
+    p = programs(spark, sf_dir).select(F.col("event_id").alias("prog"), "code")
+    forms = p.select("code").distinct().mapInArrow(run, "code string, standard string")
+    return p.join(forms, "code").select("prog", F.col("standard").alias("code"))
