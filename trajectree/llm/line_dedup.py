@@ -36,7 +36,7 @@ JOIN_SHIFT = 16
 #: 64-bit words of the bitmap that lets lines without a pair go before they are read again (2 million bits).
 BITMAP_WORDS = 1 << 15
 #: From this rarity class on (sixteen classes for each fourfold count), a token may be shared by a family of near copies.
-FREQUENT = 64
+FREQUENT = 72
 
 
 def _words(line: Column) -> Column:
@@ -162,7 +162,8 @@ def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     rows = firsts.join(settled.withColumn("_settled", F.lit(True)), "set", "left")
     rows = rows.select("set", "n", "bits", F.coalesce("_settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).withColumn("token", short)
     rows = rows.repartition("token")
-    longer, shorter = rows.alias("a"), rows.filter(F.col("at") <= F.col("n") - _overlap(F.col("n"), F.col("n"))).alias("b")
+    # Both sides are the same rows, so they are dealt out once.
+    longer, shorter = rows.alias("a"), rows.alias("b")
     order = F.struct(F.col("b.n"), F.col("b.set")) < F.struct(F.col("a.n"), F.col("a.set"))
     open_pair = ~(F.col("a.settled") & F.col("b.settled"))
     pairs = longer.join(shorter, (F.col("a.token") == F.col("b.token")) & order & open_pair & _may_be_similar("a", "b"))
