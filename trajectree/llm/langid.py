@@ -24,7 +24,7 @@ ORDERS = (1, 2, 3)
 #: Texts are hashed in pieces of so many code points, so a task's memory doesn't follow the longest text.
 PIECE = 1 << 18
 #: More distinct language values than this are refused, so the matrix has a fixed bound.
-MOST_LANGUAGES = 2000
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 

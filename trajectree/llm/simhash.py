@@ -118,7 +118,8 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     sizes = cut(rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1"))
     rows = rows.join(sizes, ["block", "value"])
     # In a large bucket: tiles by population count and hash part; a row goes to each tile within the radius of its own.
-    parts = F.ceil(F.col("n") / tile).cast("int")
+    # Population counts spread a bucket over many tiles (the middle count has a tenth of random fingerprints), so few hash parts are needed.
+    parts = F.ceil(F.col("n") / (8 * tile)).cast("int")
     bits = F.bit_count("fp")
     mine = F.struct(bits.alias("bits"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
     others = F.explode(F.flatten(F.transform(F.sequence(F.greatest(bits - radius, F.lit(0)), F.least(bits + radius, F.lit(64))), lambda b: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(b.alias("bits"), p.alias("part"))))))
