@@ -238,14 +238,15 @@ def plain_remaining(rows):
     return sorted(out, key=str)
 
 
-def test_suffix_dedup(spark, empty):
+@pytest.mark.parametrize("most", [3, suffix_dedup.GROUP])
+def test_suffix_dedup(spark, empty, most):
     passage, other = words(60, 11), words(45, 12)
     rows = [(k, words(30 + k, 50 + k) + passage[: 150 + 9 * k] + words(20, 80 + k)) for k in range(25)]
     rows += [(100 + k, words(40, 200 + k) + " " + other[k : k + 205] + words(7, 400 + k)) for k in range(12)]
     rows += [(200, "ab" * 300), (201, "x" * 199), (202, "y" * 201), (203, words(30, 5) + "é" * 120), (204, "é" * 120), (205, None), (206, ""), (207, passage), (207, passage), (None, passage + "!")]
     family = words(50, 13)
     rows += [(300 + k, family[: 7 * k] + chr(97 + k) + family[7 * k + 1 :]) for k in range(20)]
-    got = suffix_dedup.remaining(documents(spark, rows)).collect()
+    got = suffix_dedup.remaining(documents(spark, rows), most).collect()
     assert sorted((tuple(r) for r in got), key=str) == plain_remaining(rows)
     assert suffix_dedup.remaining(empty).count() == 0
 

@@ -10,6 +10,8 @@ A byte goes if a string of :data:`LENGTH` bytes that covers it also starts anywh
   bytes, and those of one copy of each other fragment of the anchor, meet by anchor. Each is cut to what it can share with any other, aligned at the anchor
   (equal strings are), and a suffix array in linear grouping steps (:mod:`suffix_array`) over what remains tells which of its 200-byte strings occur twice.
 
+An anchor with more than :data:`GROUP` different fragments is not brought to one task: the strings of its fragments are counted by their 128-bit digests.
+
 Candidates are complete, so the result is exact up to collisions of two 64-bit hashes at once. All documents take part; a document is held whole only while
 its own row is read.
 
@@ -35,6 +37,8 @@ LENGTH = 200
 ANCHOR = 64
 #: String starts that are hashed at a time.
 CHUNK = 1 << 18
+#: Fragments of one anchor that a task compares; beyond, their strings are counted by digest over all tasks.
+GROUP = 20_000
 #: Symbols that one suffix array holds, about (a group of fragments stays together).
 SYMBOLS = 1 << 16
 
@@ -227,24 +231,44 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def _by_digest(pieces: DataFrame) -> DataFrame:
+    """Repeated strings of fragments, by counting digests: a string occurs twice if two fragments have it, or one that occurs twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text_id, _, _, n, _, first, data in zip(*(c.to_pylist() for c in batch.columns)):
+                m = len(data) - LENGTH + 1
+                digests = [hashlib.blake2b(data[k : k + LENGTH], digest_size=16).digest() for k in range(m)]
+                columns = [pa.array(digests, pa.binary()), *(pa.array([x] * m, pa.int64()) for x in (doc_id, text_id, n)), pa.array(range(first, first + m), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", "text_id", "n", "begin"])
+
+    strings = pieces.mapInArrow(run, "digest binary, doc_id long, text_id long, n long, begin long")
+    twice = strings.groupBy("digest").agg(F.sum("n").alias("total")).filter("total > 1").select("digest")
+    return strings.filter("n = 1").join(twice, "digest", "left_semi").select("doc_id", "text_id", "begin", (F.col("begin") + LENGTH).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, most: int = GROUP) -> DataFrame:
     """doc_id, text_id, begin and end of ranges of repeated bytes, overlapping in any way. docs: doc_id, text_id, text."""
     counts = _anchor_rows(docs, False).groupBy("anchor", "fragment").agg(F.count("*").alias("n"))
     totals = counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    shared = cut(counts.join(totals, "anchor").select("anchor", "fragment", "n", (F.col("kinds") > 1).alias("open")))
+    shared = cut(counts.join(totals, "anchor").select("anchor", "fragment", "n", (F.col("kinds") > 1).alias("open"), (F.col("kinds") > most).alias("large")))
     rows = stored(_anchor_rows(docs, True).join(shared, ["anchor", "fragment"]))
     settled = rows.filter("n > 1").select("doc_id", "text_id", F.col("first").alias("begin"), (F.col("last") + LENGTH).alias("end"))
     place = F.struct("doc_id", "text_id", "at", "first", "last")
-    wanted = rows.filter("open").groupBy("anchor", "fragment", "n").agg(F.min(place).alias("place")).select("anchor", "fragment", "n", "place.*")
-    pieces = _bytes_of(docs, wanted).repartition("anchor").sortWithinPartitions("anchor", "fragment")
+    wanted = rows.filter("open").groupBy("anchor", "fragment", "n", "large").agg(F.min(place).alias("place"))
+    wanted = stored(wanted.select("anchor", "fragment", "n", "large", "place.*"))
+    large = wanted.filter("large").drop("large")
+    if not large.isEmpty():  # else the texts would be dealt out once more for nothing
+        settled = settled.union(_by_digest(_bytes_of(docs, large)))
+    pieces = _bytes_of(docs, wanted.filter("not large").drop("large")).repartition("anchor").sortWithinPartitions("anchor", "fragment")
     # Rows that repeat have the same key, so a fragment of theirs occurs more than once and is settled.
     return settled.union(pieces.mapInArrow(_compare, "doc_id long, text_id long, begin long, end long"))
 
 
-def remaining(docs: DataFrame) -> DataFrame:
+def remaining(docs: DataFrame, most: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
-    spans = repeated_spans(docs).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(docs, most).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     both = docs.join(spans, [docs["doc_id"].eqNullSafe(spans["doc_id"]), docs["text_id"] == spans["text_id"]], "left").select(docs["doc_id"], "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
