@@ -196,3 +196,45 @@ def standardize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = programs(spark, sf_dir).select(F.col("event_id").alias("prog"), "code")
     forms = p.select("code").distinct().mapInArrow(run, "code string, standard string")
     return p.join(forms, "code").select("prog", F.col("standard").alias("code"))
+
+
+#: Types of operators that compare (fixed values).
+COMPARING = ("Eq", "NotEq", "Lt", "LtE", "Gt", "GtE", "Is", "IsNot", "In", "NotIn")
+#: Slots of a node that hold an operator (fixed values).
+OPERATOR_SLOT = r"^(op|ops\[\d+\])$"
+
+
+@query("""with c as (select event_id, user_id as k from events where event_type in ('error', 'click', 'signup', 'purchase') union all select event_id, event_id % 7 from events where event_type in ('view', 'purchase')
+  union all select event_id, 0 from events where event_type = 'signup'),
+f as (select event_id, 'C:int=' || case when k between -2 and 2 then k::varchar else 'big' end as feature from c union all select event_id, 'OP:Add' from events where event_type = 'signup'
+  union all select event_id, 'OP:Gt' from events where event_type = 'view' union all select event_id, 'CMP:Gt' from events where event_type = 'view')
+select event_id as prog, feature, count(*) as n from f group by all""")
+def code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Constants (small integers by value, others together), operators, and comparisons once more, of each program."""
+    n = _nodes(spark, sf_dir)
+    value = F.regexp_extract("label", r"^Const:(-?\d+)$", 1)
+    small = F.when(value.isin("0", "1", "2"), value).otherwise("big")
+    constant = F.when((F.col("type") == "Constant") & (value != ""), F.array(F.concat(F.lit("C:int="), small)))
+    compares = F.col("type").isin(*COMPARING)
+    operator = F.when(F.col("slot").rlike(OPERATOR_SLOT), F.concat(F.array(F.concat(F.lit("OP:"), "type")), F.when(compares, F.array(F.concat(F.lit("CMP:"), "type"))).otherwise(F.array().cast("array<string>"))))
+    rows = n.select("prog", F.explode(F.coalesce(constant, operator)).alias("feature"))
+    return rows.groupBy("prog", "feature").agg(F.count("*").alias("n"))
+
+
+@query("""select event_id as prog, g as gram, cast(count(*) as bigint) as n from (select event_id from events where event_type = 'error'),
+(select unnest(['Module/Assign/Name/Constant', 'Assign/Name/Constant/Expr', 'Name/Constant/Expr/Call', 'Constant/Expr/Call/Name', 'Expr/Call/Name/Name']) as g) group by all""")
+def type_four_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four types in a row, in preorder, of the error programs."""
+    n = flattened(programs(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("prog"), "code"))
+    order = Window.partitionBy("prog").orderBy("node")
+    ahead = [F.lead("type", k).over(order) for k in (1, 2, 3)]
+    rows = n.select("prog", F.when(ahead[2].isNotNull(), F.concat_ws("/", "type", *ahead)).alias("gram")).filter("gram is not null")
+    return rows.groupBy("prog", "gram").agg(F.count("*").alias("n"))
+
+
+@query("""select event_id as prog, cast(case event_type when 'error' then 2 when 'click' then 1 when 'view' then 2 when 'signup' then 3 else 3 end as bigint) as n_stmts,
+cast(case event_type when 'click' then 1 when 'view' then 1 else 0 end as bigint) as n_nested from events""")
+def statement_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top statements of each program, and statements inside others."""
+    n = _nodes(spark, sf_dir).filter("is_stmt")
+    return n.groupBy("prog").agg(F.count_if(F.col("depth") == 1).alias("n_stmts"), F.count_if(F.col("depth") > 1).alias("n_nested"))
