@@ -189,14 +189,19 @@ def removed_by_document(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs without the lines removed, and without the documents that have none left; ``n_chars``, if there, is set to match."""
-    removed = removed_by_document(docs.select("doc_id", "text")).select(F.struct("doc_id", "text_id").alias("_key"), "removed")
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text").withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("text_id")))
-    rows = rows.join(removed, "_key", "left")
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("_key")
+    removed = stored(removed_by_document(docs.select("doc_id", "text")).select(F.struct("doc_id", "text_id").alias("_key"), "removed"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(key, "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)]).alias("_row"))
+    # Documents that lose nothing needn't meet the table of removed lines.
+    bitmap = _bitmap(removed)
+    touched = rows.filter(_in_bitmap(F.col("_key"), bitmap)).join(removed, "_key", "left")
+    others = rows.filter(~_in_bitmap(F.col("_key"), bitmap)).withColumn("removed", F.lit(None).cast("array<int>"))
+    rows = touched.unionByName(others)
     left = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("removed", k))
     rows = rows.withColumn("_left", F.when(F.col("removed").isNotNull(), left)).filter(F.col("_left").isNull() | F.exists("_left", lambda x: x.rlike("[^\x20\x09-\x0D]")))
-    of = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    of["text"] = text
-    if "n_chars" in of:
+    of = {c: F.col(f"_row.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": text}
+    if "n_chars" in rest:
         of["n_chars"] = F.when(F.col("_left").isNull(), of["n_chars"]).otherwise(F.length(text).cast("long"))
     return rows.select(*[of[c].alias(c) for c in docs.columns])
