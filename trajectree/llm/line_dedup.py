@@ -8,7 +8,7 @@ A line is the set of its words. Lines of :data:`LEAST_WORDS` words or more that
   in a bucket only make the order less sharp; any order common to all lines is exact.
 * Prefix, length and positional filters: a line of n tokens is joined on its first n - ceil(0.8 n) + 1 tokens; the shorter line of a pair must have the
   token among fewer still; lengths must be within the ratio; and what follows the token must leave room for the overlap needed.
-* A parity bitmap of each line (64 bits) bounds the size of the symmetric difference from below and stops nearly all other pairs inside the join.
+* A parity bitmap of each line (64 bits, 128 for long lines) bounds the size of the symmetric difference from below and stops nearly all other pairs inside the join.
 * The pairs left are verified by the tokens themselves.
 
 Lines with equal sets are one line (their first place counts), so copies make no pairs. Families of near copies share tokens that are frequent; for these
@@ -31,6 +31,8 @@ LEAST_WORDS = 5
 BUCKETS = 1 << 17
 #: Bits of a token below its rarity class (0 to 127).
 HASH_BITS = 56
+#: Tokens beyond which a line's parity bitmap has 128 bits.
+LONG = 88
 #: Hash bits of a token that the join leaves out.
 JOIN_SHIFT = 16
 #: 64-bit words of the bitmap that lets lines without a pair go before they are read again (2 million bits).
@@ -73,12 +75,22 @@ def _split(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame, classes: Column) -> DataFrame:
-    """A row for each line of enough words: doc_id, text_id, line, id (hash of its set), n (tokens), bits (parity bitmap) and prefix (rarest first)."""
+    """A row for each line of enough words: doc_id, text_id, line, id (hash of its set), n (tokens), bits and half (parity bitmap) and prefix (rarest first)."""
     split = _split(docs).filter(F.size(_words(F.col("_line"))) >= LEAST_WORDS).withColumn("tokens", _tokens(F.col("_line"), classes))
-    one = F.lit(1).cast("long")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
-    n = F.size("tokens")
-    return split.select("doc_id", "text_id", "line", F.xxhash64("tokens").alias("id"), n.alias("n"), bits.alias("bits"), F.slice("tokens", 1, _prefix(n)).alias("prefix"))
+    zero, one, n = F.lit(0).cast("long"), F.lit(1).cast("long"), F.size("tokens")
+    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
+    bits = F.aggregate("tokens", zero, lambda a, t: a.bitwiseXOR(bit(t)))
+    half = F.aggregate("tokens", zero, lambda a, t: F.when(t.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(bit(t))))
+    half = F.when(n > LONG, half).otherwise(zero)
+    prefix = F.slice("tokens", 1, _prefix(n)).alias("prefix")
+    return split.select("doc_id", "text_id", "line", F.xxhash64("tokens").alias("id"), n.alias("n"), bits.alias("bits"), half.alias("half"), prefix)
+
+
+def _difference(n: Column, bits: Column, half: Column, m: Column, bits_m: Column, half_m: Column) -> Column:
+    """Least size of the symmetric difference of two sets, by their parity bitmaps: 64 bits, or 128 if both are long."""
+    halves = half.bitwiseXOR(half_m)
+    both = bits.bitwiseXOR(bits_m)
+    return F.when((n > LONG) & (m > LONG), F.bit_count(halves) + F.bit_count(both.bitwiseXOR(halves))).otherwise(F.bit_count(both))
 
 
 def _prefix(n: Column) -> Column:
@@ -96,13 +108,13 @@ def _may_be_similar(a: str, b: str) -> Column:
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     least = _overlap(n, m)
     room = (n - F.col(f"{a}.at") >= least) & (m - F.col(f"{b}.at") >= least)
-    return (m >= SIMILARITY * n - 1e-9) & room & (F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n + m - 2 * least)
+    return (m >= SIMILARITY * n - 1e-9) & room & (_difference(n, F.col(f"{a}.bits"), F.col(f"{a}.half"), m, F.col(f"{b}.bits"), F.col(f"{b}.half")) <= n + m - 2 * least)
 
 
 def _firsts(table: DataFrame) -> DataFrame:
-    """The first line of each set, with a number for the set: id, set, place, n, bits, prefix. Copies meet in the partial results of their tasks."""
+    """The first line of each set, with a number for the set: id, set, place, n, bits, half, prefix. Copies meet in the partial results of their tasks."""
     place = F.struct("doc_id", "text_id", "line").alias("place")
-    firsts = table.groupBy("id").agg(F.min(F.struct(place, "n", "bits", "prefix")).alias("first")).select("id", "first.*")
+    firsts = table.groupBy("id").agg(F.min(F.struct(place, "n", "bits", "half", "prefix")).alias("first")).select("id", "first.*")
     return stored(firsts.withColumn("set", F.monotonically_increasing_id()))
 
 
@@ -146,12 +158,13 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: Col
 def _led(firsts: DataFrame) -> DataFrame:
     """Pairs (a, b) of a line and the earliest line under one of its frequent tokens, where the filters leave them possible."""
     frequent = F.filter("prefix", lambda t: F.shiftright(t, HASH_BITS) >= FREQUENT)
-    rows = firsts.select("set", "place", "n", "bits", F.explode(frequent).alias("token"))
-    leaders = cut(rows.groupBy("token").agg(F.min(F.struct("place", "set", "n", "bits")).alias("leader")))
+    rows = firsts.select("set", "place", "n", "bits", "half", F.explode(frequent).alias("token"))
+    leaders = cut(rows.groupBy("token").agg(F.min(F.struct("place", "set", "n", "bits", "half")).alias("leader")))
     led = rows.join(leaders, "token")
     least = _overlap(F.col("n"), F.col("leader.n"))
     near = F.least("n", "leader.n") >= SIMILARITY * F.greatest("n", "leader.n") - 1e-9
-    near &= F.bit_count(F.col("bits").bitwiseXOR(F.col("leader.bits"))) <= F.col("n") + F.col("leader.n") - 2 * least
+    apart = _difference(F.col("n"), F.col("bits"), F.col("half"), F.col("leader.n"), F.col("leader.bits"), F.col("leader.half"))
+    near &= apart <= F.col("n") + F.col("leader.n") - 2 * least
     return led.filter((F.col("set") != F.col("leader.set")) & near).select(F.col("set").alias("a"), F.col("leader.set").alias("b")).distinct()
 
 
@@ -160,7 +173,7 @@ def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     # Fewer hash bits do for the join (others' rows only make more work for the filters), and make smaller rows.
     short = F.shiftright("token", JOIN_SHIFT)
     rows = firsts.join(settled.withColumn("_settled", F.lit(True)), "set", "left")
-    rows = rows.select("set", "n", "bits", F.coalesce("_settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).withColumn("token", short)
+    rows = rows.select("set", "n", "bits", "half", F.coalesce("_settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).withColumn("token", short)
     rows = rows.repartition("token")
     # Both sides are the same rows, so they are dealt out once.
     longer, shorter = rows.alias("a"), rows.alias("b")
