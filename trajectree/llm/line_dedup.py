@@ -21,6 +21,7 @@ its lines is dropped by :func:`deduplicate`, others keep the lines left in order
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +29,18 @@ from trajectree.llm.common import cut, stored
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
-BUCKETS = 1 << 17
+BUCKETS = 1 << 16
 #: Bits of a token below its rarity class (0 to 127).
 HASH_BITS = 56
 #: Tokens beyond which a line's parity bitmap has 128 bits.
 LONG = 88
 #: Hash bits of a token that the join leaves out.
 JOIN_SHIFT = 16
-#: 64-bit words of the bitmap that lets lines without a pair go before they are read again (2 million bits).
-BITMAP_WORDS = 1 << 15
-#: From this rarity class on (sixteen classes for each fourfold count), a token may be shared by a family of near copies.
-FREQUENT = 72
+#: 64-bit words of the bitmap that lets lines without a pair go before they are read again (a million bits).
+BITMAP_WORDS = 1 << 14
+#: Tokens so many classes above the median bucket (eight classes double the count; four times it), and of 256 or more, may be shared by a family of near
+#: copies. Counts of a bucket's other words grow with the corpus, and the bound with them.
+ABOVE_MEDIAN, LEAST_FREQUENT = 16, 64
 
 
 def _words(line: Column) -> Column:
@@ -51,16 +53,16 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("_text"))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The rarity class of each bucket of words, as one constant array of BUCKETS small numbers."""
+def rarity(docs: DataFrame) -> tuple[Column, int]:
+    """The rarity class of each bucket of words, as one constant array of BUCKETS small numbers, and the class from which tokens are frequent."""
     bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word"))
     counts = words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    classes = counts.select("bucket", F.least(F.lit(127), F.floor(8 * F.log2("n"))).cast("int").alias("c")).collect()
-    table = [0] * BUCKETS
-    for b, c in classes:
-        table[b] = c
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    classes = counts.select("bucket", F.least(F.lit(127), F.floor(8 * F.log2("n"))).cast("int").alias("c")).toArrow()
+    table = np.zeros(BUCKETS, np.int64)
+    table[classes["bucket"].to_numpy()] = classes["c"].to_numpy()
+    frequent = max(LEAST_FREQUENT, int(np.median(table)) + ABOVE_MEDIAN)
+    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>"), frequent
 
 
 def _tokens(line: Column, classes: Column) -> Column:
@@ -127,10 +129,10 @@ def _cell(key: Column) -> tuple[Column, Column]:
 def _bitmap(keys: DataFrame) -> Column:
     """The places of all keys (_key), as one constant array of BITMAP_WORDS longs."""
     word, bit = _cell(F.col("_key"))
-    table = [0] * BITMAP_WORDS
-    for w, bits in keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).collect():
-        table[w] = bits
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
+    found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(BITMAP_WORDS, np.int64)
+    table[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
 
 
 def _in_bitmap(key: Column, bitmap: Column) -> Column:
@@ -155,9 +157,9 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: Col
     return similar.select(F.when(F.col("_place_a") < F.col("_place_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
 
 
-def _led(firsts: DataFrame) -> DataFrame:
+def _led(firsts: DataFrame, frequent_from: int) -> DataFrame:
     """Pairs (a, b) of a line and the earliest line under one of its frequent tokens, where the filters leave them possible."""
-    frequent = F.filter("prefix", lambda t: F.shiftright(t, HASH_BITS) >= FREQUENT)
+    frequent = F.filter("prefix", lambda t: F.shiftright(t, HASH_BITS) >= frequent_from)
     rows = firsts.select("set", "place", "n", "bits", "half", F.explode(frequent).alias("token"))
     leaders = cut(rows.groupBy("token").agg(F.min(F.struct("place", "set", "n", "bits", "half")).alias("leader")))
     led = rows.join(leaders, "token")
@@ -185,10 +187,10 @@ def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_id, line and id of every line that is removed."""
-    classes = rarity(docs)
+    classes, frequent_from = rarity(docs)
     table = stored(lines(docs, classes))
     firsts = _firsts(table)
-    settled = cut(_verified(cut(_led(firsts)), firsts, docs, classes))
+    settled = cut(_verified(cut(_led(firsts, frequent_from)), firsts, docs, classes))
     dropped = settled.union(_verified(cut(_pairs(firsts, settled)), firsts, docs, classes)).distinct().withColumn("_dropped", F.lit(True))
     verdict = firsts.select("id", "set", "place").join(cut(dropped), "set", "left").select("id", "place", "_dropped")
     places = table.select("doc_id", "text_id", "line", "id")

@@ -60,8 +60,8 @@ def ratios(docs: DataFrame, labels: DataFrame) -> Column:
     part = lambda c, total: F.ln((F.coalesce(c, F.lit(0)) + 1) / F.lit(float(total + BUCKETS)))
     ratio = part("good", good) - part("raw", raw) if good else F.lit(0.0)
     every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "_id").join(counts, F.col("_id") == F.col("bucket"), "left")
-    rows = sorted(every.select("_id", ratio.alias("ratio")).collect())
-    return F.split(F.lit(",".join(repr(r["ratio"]) for r in rows)), ",").cast("array<double>")
+    rows = every.select("_id", ratio.alias("ratio")).toArrow().sort_by("_id")
+    return F.split(F.lit(",".join(map(repr, rows["ratio"].to_pylist()))), ",").cast("array<double>")
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
