@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajectree.llm import line_dedup, mixing, packing, quality, simhash
+from trajectree.llm import line_dedup, mixing, near_copies, packing, quality
 from trajectree.llm.common import shared_folder, table
 
-#: Bits in which fingerprints of near copies may differ in the pipeline. Three-word shingles of texts that share four fifths of their five-word shingles
-#: differ in about so many; unrelated texts differ in around 32 of 64.
+#: Bits within which fingerprints propose near copies in the pipeline. It only says which pairs are tried first: all that are near copies are found by their
+#: shingles, and each pair is verified.
 NEAR_COPY_RADIUS = 6
 
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of least id."""
-    return simhash.deduplicate(docs, NEAR_COPY_RADIUS)
+    """One document of each group of near copies (five-word shingles of similarity 0.8) stays: the one of least id."""
+    return near_copies.deduplicate(docs, NEAR_COPY_RADIUS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

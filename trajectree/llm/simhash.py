@@ -12,7 +12,7 @@ repeated rows are copies; a null doc_id takes part and gets its group's least id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,23 +31,35 @@ TILE = 4096
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash: a bit is 1 if over half of the shingles' hashes set it."""
+def shingles(text: str | None, width: int = 3) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles, some at a time."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     flat, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     if len(words) < width:
         starts, ends = starts[:1], ends[-1:]
     else:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    votes, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())
-        hashes = np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+        yield np.array([digest(flat[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """64 bits, each 1 if over half of the hashes set it."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(starts), bitorder="little").view(np.uint64)[0])
+        n += len(hashes)
+    return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash: a bit is 1 if over half of the shingles' hashes set it."""
+    return majority(shingles(text, width))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -145,9 +157,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3) -> Da
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: the least doc_id's (null last), of equal ids the row of least hash; of rows that are equal, one."""
-    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
-    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = cut(near_duplicates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), radius))
+    return one_of_each(docs, near_duplicates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), radius))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the rows that :func:`deduplicate` keeps, by doc_id and component_id of every row."""
+    keyed = docs.select("doc_id", "text", F.struct("*").alias("_row")).withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = cut(found.select("doc_id", "component_id"))
     kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
     stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     # Rows of one id: the first of them only, without a shuffle of others' texts.
