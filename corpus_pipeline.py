@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go, and documents of which nothing is left."""
-    return line_dedup.deduplicate(docs)
+    """Lines similar to an earlier line go, however short, and documents of which nothing is left."""
+    return line_dedup.deduplicate(docs, least_words=1)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

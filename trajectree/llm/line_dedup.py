@@ -1,7 +1,8 @@
 r"""Line dedup by an exact set-similarity join. DataFrame functions only.
 
 A line is the set of its words. Lines of :data:`LEAST_WORDS` words or more that reach Jaccard similarity :data:`SIMILARITY` with an earlier line, by
-(doc_id, line number), are removed; so are later lines of the same set.
+(doc_id, line number), are removed; so are later lines of the same set. Callers may lower the least number of words, down to 1: sets of up to three tokens
+are similar to equal sets only, so they take part as copies and need no pairs (four tokens within five do reach 0.8).
 
 * Order: tokens are ordered by rarity. Counts of all words are kept in :data:`BUCKETS` hash buckets (a table of fixed size, so it can go to every task);
   a token is one long, its rarity class in the leading bits and its hash in the others, so sorting longs sorts by rarity, alike for all lines. Collisions
@@ -29,6 +30,8 @@ from trajectree.llm.common import cut, stored
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
+#: Sets of so many tokens are similar to equal sets only.
+ONLY_COPIES = 3
 BUCKETS = 1 << 16
 #: Bits of a token below its rarity class (0 to 127).
 HASH_BITS = 56
@@ -76,15 +79,15 @@ def _split(docs: DataFrame) -> DataFrame:
     return _documents(docs).select("doc_id", "text_id", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
 
 
-def lines(docs: DataFrame, classes: Column) -> DataFrame:
+def lines(docs: DataFrame, classes: Column, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each line of enough words: doc_id, text_id, line, id (hash of its set), n (tokens), bits and half (parity bitmap) and prefix (rarest first)."""
-    split = _split(docs).filter(F.size(_words(F.col("_line"))) >= LEAST_WORDS).withColumn("tokens", _tokens(F.col("_line"), classes))
+    split = _split(docs).filter(F.size(_words(F.col("_line"))) >= max(1, least_words)).withColumn("tokens", _tokens(F.col("_line"), classes))
     zero, one, n = F.lit(0).cast("long"), F.lit(1).cast("long"), F.size("tokens")
     bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
     bits = F.aggregate("tokens", zero, lambda a, t: a.bitwiseXOR(bit(t)))
     half = F.aggregate("tokens", zero, lambda a, t: F.when(t.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(bit(t))))
     half = F.when(n > LONG, half).otherwise(zero)
-    prefix = F.slice("tokens", 1, _prefix(n)).alias("prefix")
+    prefix = F.slice("tokens", 1, F.when(n > ONLY_COPIES, _prefix(n)).otherwise(0)).alias("prefix")
     return split.select("doc_id", "text_id", "line", F.xxhash64("tokens").alias("id"), n.alias("n"), bits.alias("bits"), half.alias("half"), prefix)
 
 
@@ -185,10 +188,10 @@ def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_id, line and id of every line that is removed."""
     classes, frequent_from = rarity(docs)
-    table = stored(lines(docs, classes))
+    table = stored(lines(docs, classes, least_words))
     firsts = _firsts(table)
     settled = cut(_verified(cut(_led(firsts, frequent_from)), firsts, docs, classes))
     dropped = settled.union(_verified(cut(_pairs(firsts, settled)), firsts, docs, classes)).distinct().withColumn("_dropped", F.lit(True))
@@ -197,15 +200,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return places.join(verdict, "id").filter(F.col("_dropped") | (F.struct("doc_id", "text_id", "line") != F.col("place"))).select(*places.columns)
 
 
-def removed_by_document(docs: DataFrame) -> DataFrame:
+def removed_by_document(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_id and removed (numbers of the lines removed) of every document that loses any."""
-    return removed_lines(docs).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return removed_lines(docs, least_words).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without the lines removed, and without the documents that have none left; ``n_chars``, if there, is set to match."""
     key = F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("_key")
-    removed = stored(removed_by_document(docs.select("doc_id", "text")).select(F.struct("doc_id", "text_id").alias("_key"), "removed"))
+    removed = stored(removed_by_document(docs.select("doc_id", "text"), least_words).select(F.struct("doc_id", "text_id").alias("_key"), "removed"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(key, "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)]).alias("_row"))
     # Documents that lose nothing needn't meet the table of removed lines.
