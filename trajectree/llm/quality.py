@@ -1,9 +1,10 @@
 r"""Quality rules: base rules, and a hashed n-gram likelihood ratio of trusted and raw text. DataFrame functions only.
 
 Words are reduced to their shapes first (each run of lower-case letters is ``a``, of upper-case letters ``A``, of digits ``0``), so the n-grams tell prose
-from tables, mark-up, shouting and symbol noise in any vocabulary. Shapes and pairs of neighbouring shapes are hashed into :data:`BUCKETS`; the raw
-multinomial counts every document, the trusted one the documents of a bounded sample of good labels (:data:`TRUSTED_ROWS` ids of least hash, so the set of
-ids that is broadcast has a fixed bound). A document's score is the mean of log(trusted / raw) over its n-grams, and it passes at :data:`LEAST_SCORE` or
+from tables, mark-up, shouting and symbol noise in any vocabulary. Shapes and pairs of neighbouring shapes are hashed into :data:`BUCKETS`; lower-case words
+and pairs of neighbouring words, which tell vocabulary and word order, into :data:`WORD_BUCKETS`. For each of the two kinds, the raw multinomial counts every
+document, the trusted one the documents of a bounded sample of good labels (:data:`TRUSTED_ROWS` ids of least hash, so the set of ids that is broadcast has a
+fixed bound). A document's score is the mean of log(trusted / raw) over its n-grams of a kind, the lesser of both, and it passes at :data:`LEAST_SCORE` or
 more: on average its n-grams may be at most exp(0.5) times as likely in the raw corpus as in trusted text.
 
 The ratios of all buckets (a fixed number of doubles) go to the tasks as one constant. Repeated three-word windows of a text are found inside its row:
@@ -15,12 +16,15 @@ repeated label counts once; repeated rows are judged alike; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajectree.llm.common import cut, words
 
 BUCKETS = 1 << 14
+WORD_BUCKETS = 1 << 16
 TRUSTED_ROWS = 20_000
 LEAST_SCORE = -0.5
 LEAST_WORDS = 50
@@ -33,16 +37,22 @@ def _shapes(text: Column) -> Column:
     return words(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{N}+", "0"))
 
 
-def _bucket(*parts: Column) -> Column:
-    return F.xxhash64(*parts).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _bucket(*parts: Column, buckets: int = BUCKETS) -> Column:
+    return F.xxhash64(*parts).bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
-def ngrams(docs: DataFrame) -> DataFrame:
-    """docs with _buckets: the hashed shapes and neighbouring pairs of each text."""
-    docs = docs.withColumn("_hashes", F.transform(_shapes(F.col("text")), lambda s: F.xxhash64(s)))
+def _grams(docs: DataFrame, words: Column, buckets: int, name: str) -> DataFrame:
+    """docs with the hashed words and neighbouring pairs as a column."""
+    docs = docs.withColumn("_hashes", F.transform(words, lambda s: F.xxhash64(s)))
     n = F.size("_hashes")
-    pairs = F.zip_with(F.slice("_hashes", 1, F.greatest(n - 1, F.lit(0))), F.slice("_hashes", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: _bucket(a, b))
-    return docs.withColumn("_buckets", F.concat(F.transform("_hashes", lambda h: _bucket(h)), pairs)).drop("_hashes")
+    pair = lambda a, b: _bucket(a, b, buckets=buckets)
+    pairs = F.zip_with(F.slice("_hashes", 1, F.greatest(n - 1, F.lit(0))), F.slice("_hashes", 2, F.greatest(n - 1, F.lit(0))), pair)
+    return docs.withColumn(name, F.concat(F.transform("_hashes", lambda h: _bucket(h, buckets=buckets)), pairs)).drop("_hashes")
+
+
+def ngrams(docs: DataFrame) -> DataFrame:
+    """docs with _buckets (the hashed shapes and neighbouring pairs of each text) and _word_buckets (those of its words)."""
+    return _grams(_grams(docs, _shapes(F.col("text")), BUCKETS, "_buckets"), words(F.lower("text")), WORD_BUCKETS, "_word_buckets")
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
@@ -51,17 +61,24 @@ def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("_trusted"), "_trusted").limit(most)
 
 
-def ratios(docs: DataFrame, labels: DataFrame) -> Column:
-    """The log ratio of each bucket's trusted and raw likelihood, add-one smoothed, as one constant array of BUCKETS doubles."""
+def ratios(docs: DataFrame, labels: DataFrame) -> tuple[Column, Column]:
+    """The log ratio of each bucket's trusted and raw likelihood, add-one smoothed: for shapes and for words, each as one constant array of doubles."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("_trusted"), "left")
-    grams = ngrams(marked).select("_trusted", F.explode("_buckets").alias("bucket"))
+    # Words' buckets follow those of shapes, so all are counted at once.
+    both = F.concat("_buckets", F.transform("_word_buckets", lambda b: b + BUCKETS))
+    grams = ngrams(marked).select("_trusted", F.explode(both).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
-    raw, good = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    part = lambda c, total: F.ln((F.coalesce(c, F.lit(0)) + 1) / F.lit(float(total + BUCKETS)))
-    ratio = part("good", good) - part("raw", raw) if good else F.lit(0.0)
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "_id").join(counts, F.col("_id") == F.col("bucket"), "left")
-    rows = every.select("_id", ratio.alias("ratio")).toArrow().sort_by("_id")
-    return F.split(F.lit(",".join(map(repr, rows["ratio"].to_pylist()))), ",").cast("array<double>")
+
+    def made(first: int, buckets: int) -> Column:
+        mine = counts.filter((F.col("bucket") >= first) & (F.col("bucket") < first + buckets))
+        raw, good = mine.agg(F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+        part = lambda c, total: F.ln((F.coalesce(c, F.lit(0)) + 1) / F.lit(float(total + buckets)))
+        ratio = part("good", good) - part("raw", raw) if good else F.lit(0.0)
+        every = docs.sparkSession.range(first, first + buckets).withColumnRenamed("id", "_id").join(mine, F.col("_id") == F.col("bucket"), "left")
+        rows = every.select("_id", ratio.alias("ratio")).toArrow().sort_by("_id")
+        return F.split(F.lit(",".join(map(repr, rows["ratio"].to_pylist()))), ",").cast("array<double>")
+
+    return made(0, BUCKETS), made(BUCKETS, WORD_BUCKETS)
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
@@ -102,11 +119,18 @@ def rules(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words")))
 
 
+def _adding(ratio: Column) -> Callable[[Column, Column], Column]:
+    return lambda s, b: s + F.get(ratio, b)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with the rules' counts, score and kept."""
-    ratio = ratios(docs, labels)
-    scored = ngrams(docs).withColumn("_sum", F.aggregate("_buckets", F.lit(0.0), lambda s, b: s + F.get(ratio, b)))
-    scored = scored.withColumn("score", F.when(F.size("_buckets") > 0, F.col("_sum") / F.size("_buckets")).otherwise(0.0)).drop("_buckets", "_sum")
+    scored = ngrams(docs)
+    for name, ratio in zip(("_buckets", "_word_buckets"), ratios(docs, labels)):
+        total = F.aggregate(name, F.lit(0.0), _adding(ratio))
+        scored = scored.withColumn(f"{name}_sum", total)
+    mean = lambda name: F.when(F.size(name) > 0, F.col(f"{name}_sum") / F.size(name)).otherwise(0.0)
+    scored = scored.withColumn("score", F.least(mean("_buckets"), mean("_word_buckets"))).drop("_buckets", "_word_buckets", "_buckets_sum", "_word_buckets_sum")
     return rules(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
 
 
