@@ -4,7 +4,7 @@ Texts of equal sets are one set (the 64-bit hash of its shingles' hashes is its
 
 * First round: what SimHash fingerprints (of five-word shingles) link, and each set with the least set under a shingle of its prefix.
 * Second round: no radius of fingerprints covers all similar pairs, so a prefix join does: in the order of the hashes, two sets that are similar enough share
-  one of their first n - ceil(0.8 n) + 1 shingles. Only shingles that meet in two sets or more are joined, with length and positional filters, and only
+  one of their first n - ceil(0.8 n) + 1 shingles. Only shingles that meet in two sets or more are joined, only pairs that share enough of them are verified, and only
   sets that the first round didn't link.
 
 Defined results: null text, and text without a word, has the empty set, and such texts are copies of each other; a text of fewer than five words is one
@@ -91,26 +91,28 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose sizes are within the ratio."""
-    sizes = reps.select("set_id", "n")
-    pairs = pairs.join(sizes.toDF("a", "_n"), "a").join(sizes.toDF("b", "_m"), "b")
-    return pairs.filter(F.least("_n", "_m") >= SIMILARITY * F.greatest("_n", "_m") - 1e-9).select("a", "b")
+def _possible(counted: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b, shared) that may be similar enough, if shared is how many shingles their prefixes have in common.
 
+    Shared shingles outside the prefix that ends first number at most its set's other shingles, and those inside it are in the other prefix too.
+    """
+    sizes = reps.select("set_id", "n", F.size("prefix").alias("p"))
+    pairs = counted.join(sizes.toDF("a", "_n", "_p"), "a").join(sizes.toDF("b", "_m", "_q"), "b")
+    least = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("_n") + F.col("_m")) - 1e-9)
+    pairs = pairs.filter(F.least("_n", "_m") >= SIMILARITY * F.greatest("_n", "_m") - 1e-9)
+    return pairs.filter(F.col("shared") >= least - F.greatest(F.col("_n") - F.col("_p"), F.col("_m") - F.col("_q"))).select("a", "b")
 
-def _left_open(common: DataFrame, linked: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets under a common shingle that pass the filters, aren't linked yet and weren't tried."""
+
+def _left_open(common: DataFrame, linked: DataFrame, tried: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets under common shingles that pass the filters, aren't linked yet and weren't tried."""
     roots = components(linked)
-    rows = common.join(roots, common["set_id"] == roots["node"], "left").select("token", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root"))
-    rows = cut(rows)
+    rows = cut(common.join(roots, common["set_id"] == roots["node"], "left").select("token", "set_id", F.coalesce("root", "set_id").alias("root")))
     mixed = rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("token")
     rows = cut(rows.join(mixed, "token", "left_semi"))
     a, b = rows.alias("a"), rows.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
-    least = F.ceil(SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9)
-    near = (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9) & (n - F.col("a.at") >= least) & (m - F.col("b.at") >= least)
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") > F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")) & near)
-    return met.select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") > F.col("b.set_id")) & (F.col("a.root") != F.col("b.root")))
+    counted = met.groupBy(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).agg(F.count("*").alias("shared"))
+    return _possible(counted, reps).join(tried, ["a", "b"], "left_anti")
 
 
 def near_copies(docs: DataFrame, radius: int) -> DataFrame:
@@ -119,14 +121,16 @@ def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     made = stored(sets(docs))
     least = [F.min(c).alias(d) for c, d in (("doc_id", "least"), ("text_id", "text_id"), ("fp", "fp"), ("n", "n"))]
     reps = stored(made.groupBy("set_id").agg(*least, F.first("prefix").alias("prefix")))
-    tokens = reps.select("set_id", "n", F.posexplode("prefix").alias("at", "token")).repartition("token")
+    tokens = reps.select("set_id", F.explode("prefix").alias("token")).repartition("token")
     # Both sides are the same rows, so they are dealt out once.
     met = tokens.groupBy("token").agg(F.count("*").alias("_sets"), F.min("set_id").alias("leader")).filter("_sets > 1").drop("_sets")
     common = stored(tokens.join(met, "token"))
     proposed = simhash.links(reps.select(F.col("set_id").alias("rep"), "fp"), radius)
-    tried = cut(_close(_ordered(common.select(F.col("set_id").alias("a"), F.col("leader").alias("b")).union(proposed)), reps))
+    led = common.filter("set_id <> leader").groupBy(F.col("set_id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
+    every = F.lit(1 << 30).alias("shared")  # proposed pairs are only held to the ratio of sizes
+    tried = cut(_ordered(_possible(led, reps).union(_possible(proposed.select("a", "b", every), reps))))
     linked = cut(_verified(tried, reps, docs))
-    rest = cut(_left_open(common, linked, tried))
+    rest = cut(_left_open(common, linked, tried, reps))
     roots = components(linked.union(_verified(rest, reps, docs)))
     groups = reps.select("set_id", "least").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     groups = cut(groups)
