@@ -105,19 +105,18 @@ def test_masked_personal_data():
 
 
 def plain_removed_lines(rows):
-    count, lines, seen, first, out = Counter(), [], set(), {}, set()
+    lines, seen, out = [], set(), set()
     order = lambda r: (r[0] is not None, r[0] or 0)
     for doc_id, text, *_ in sorted({(r[0], r[1]) for r in rows}, key=order):
         for k, line in enumerate((text or "").split("\n")):
             tokens = WORD.findall(line)
-            if len(tokens) >= 5:
+            if tokens:
                 lines.append(((doc_id, k), frozenset(tokens)))
     for key, tokens in lines:
         earlier = [t for k, t in seen if k != key]
         if any(len(tokens & t) >= 0.8 * len(tokens | t) - 1e-9 for t in earlier):
             out.add(key)
         seen.add((key, tokens))
-    del count, first
     return out
 
 
@@ -131,17 +130,49 @@ def test_line_dedup(spark, empty, labels):
     got = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs).collect()}
     assert got == plain_removed_lines(rows)
     out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs.withColumn("removed", F.lit(1))).collect()}
-    assert 500 not in out and out[503] == "" and out[502] is None and out[None] == base[5] and out[0].split("\n")[1] == "short line"
+    assert 500 not in out and out[503] == "" and out[502] is None and out[None] == base[5] and out[0].split("\n")[1] == "short line" and "short line" not in out[1].split("\n")
     assert line_dedup.deduplicate(docs).columns == docs.columns and line_dedup.deduplicate(empty).count() == 0
 
 
-def test_a_family_of_near_copies_loses_all_but_one_line(spark):
+@pytest.mark.parametrize("tile", [16, line_dedup.TILE])
+def test_a_family_of_near_copies_loses_all_but_one_line(spark, tile):
     base = words(40, 7).split()
     rows = [(k, " ".join(base[: k % 40] + [f"z{k}"] + base[k % 40 + 1 :])) for k in range(400)]
-    got = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(documents(spark, rows)).collect()}
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(documents(spark, rows), tile=tile).collect()}
     assert got == plain_removed_lines(rows)
 
 
+@pytest.mark.parametrize("tile", [32, line_dedup.TILE])
+def test_large_families_around_the_threshold(spark, tile):
+    """Over a thousand near copies, many just under the threshold with each other: each line needs one witness, and none is lost."""
+    pick = np.random.default_rng(8)
+    base = words(60, 9, 4000).split()
+    rows = []
+    for k in range(1200):
+        line = list(base)
+        for at in pick.choice(60, pick.integers(0, 9), replace=False):
+            line[at] = f"v{pick.integers(40)}"
+        rows.append((k, " ".join(line)))
+    rows += [(3000 + k, words(int(pick.integers(1, 9)), 70 + k, 6)) for k in range(200)]
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(documents(spark, rows), tile=tile).collect()}
+    assert got == plain_removed_lines(rows)
+
+
+def test_words_are_hashed_alike_wherever_chunks_end(monkeypatch):
+    from trajectree.llm import wordhash
+
+    data = (words(300, 5) + "\n\n" + "y" * 700 + " \tz\x0b" + words(50, 6) + "\r\n" + "q" * 64 + "\n").encode()
+    whole = wordhash.word_hashes(data)
+    assert len(whole[0]) == len(data.split()) and len(set(whole[0].tolist())) == len(set(data.split()))
+    assert whole[1].tolist() == [data[: m.start()].count(b"\n") for m in re.finditer(rb"\S+", data)] and whole[2].tolist() == [k for k, b in enumerate(data) if b == 10]
+    monkeypatch.setattr(wordhash, "CHUNK", 800)
+    assert all((a == b).all() for a, b in zip(wordhash.word_hashes(data), whole))
+    monkeypatch.setattr(wordhash, "CHUNK", 100)
+    cut = wordhash.word_hashes(data + b"y" * 700)
+    assert cut[1][:-1].tolist() == whole[1].tolist() and cut[0][-1] == cut[0][300] and (cut[0][:300] == whole[0][:300]).all()
+    assert [k.tolist() for k in wordhash.word_hashes(b"")] == [[], [], []]
+
+
 def plain_fingerprint(text, width=3):
     tokens = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not tokens:

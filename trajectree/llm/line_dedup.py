@@ -1,19 +1,22 @@
-r"""Line dedup by an exact set-similarity join. DataFrame functions only.
+r"""Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Lines of :data:`LEAST_WORDS` words or more that reach Jaccard similarity :data:`SIMILARITY` with an earlier line, by
-(doc_id, line number), are removed; so are later lines of the same set. Callers may lower the least number of words, down to 1: sets of up to three tokens
-are similar to equal sets only, so they take part as copies and need no pairs (four tokens within five do reach 0.8).
+A line is the set of its words. A line that reaches Jaccard similarity :data:`SIMILARITY` with an earlier line, by (doc_id, line number), is removed; so is a
+later line of the same set. Lines of any number of words take part; callers may raise the least number.
 
-* Order: tokens are ordered by rarity. Counts of all words are kept in :data:`BUCKETS` hash buckets (a table of fixed size, so it can go to every task);
-  a token is one long, its rarity class in the leading bits and its hash in the others, so sorting longs sorts by rarity, alike for all lines. Collisions
-  in a bucket only make the order less sharp; any order common to all lines is exact.
-* Prefix, length and positional filters: a line of n tokens is joined on its first n - ceil(0.8 n) + 1 tokens; the shorter line of a pair must have the
-  token among fewer still; lengths must be within the ratio; and what follows the token must leave room for the overlap needed.
-* A parity bitmap of each line (64 bits, 128 for long lines) bounds the size of the symmetric difference from below and stops nearly all other pairs inside the join.
-* The pairs left are verified by the tokens themselves.
+* Order: tokens are ordered by rarity. Counts of all words are kept in :data:`BUCKETS` hash buckets (a table of fixed size, so it can go to every task); a
+  token is one long, the rank of its bucket in the leading bits and a hash in the others, so sorting longs sorts by rarity, alike for all lines. Words that
+  share a bucket only make the order less sharp; any order common to all lines is exact.
+* Prefix: a line of n tokens is joined on its first n - ceil(0.8 n) + 1 tokens; sets of up to three tokens are similar to equal sets only and need none.
+* Length, positional and bitmap filters run inside the group of a token, in numpy: lengths must be within the ratio, what follows the token must leave room
+  for the overlap needed, and a parity bitmap (64 bits, 128 for long lines) bounds the size of the symmetric difference from below.
+* A line needs one earlier line that is similar, so the first round proposes for each line only the partner of least difference, however large the family of
+  near copies; only lines whose first partner fails are compared with all others that pass the filters.
+* Proposed pairs are verified by the words themselves, read from the texts again.
 
-Lines with equal sets are one line (their first place counts), so copies make no pairs. Families of near copies share tokens that are frequent; for these
-a first round compares each line only with the earliest line under the same token, and lines found there need no more partners as the later side.
+Lines with equal sets (equal 128-bit digests) are one line (their first place counts), so copies make no pairs. A token of more than :data:`TILE` lines is
+cut into tiles by length and hash, and each pair of tiles whose lengths may match is a unit of its own, so no task holds a frequent token whole.
+
+The words are split and hashed in Arrow batches; the README gives the figures of the native form that this replaced. Tasks hold one batch and one unit.
 
 Defined results: null text has no lines; lines with fewer words than the least are kept; rows equal in doc_id and text are one document and treated alike;
 rows with equal doc_id and other text are documents of their own; null ids come first; an empty table gives an empty result; a document that loses all
@@ -22,187 +25,366 @@ its lines is dropped by :func:`deduplicate`, others keep the lines left in order
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajectree.llm.common import cut, stored
+from trajectree.llm.wordhash import joined, mixed, word_hashes
 
 SIMILARITY = 0.8
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 #: Sets of so many tokens are similar to equal sets only.
 ONLY_COPIES = 3
 BUCKETS = 1 << 16
-#: Bits of a token below its rarity class (0 to 127).
-HASH_BITS = 56
+#: Bits of a token below the rank of its bucket, and of a whole token.
+HASH_BITS = 36
+TOKEN_BITS = HASH_BITS + 16
 #: Tokens beyond which a line's parity bitmap has 128 bits.
 LONG = 88
-#: Hash bits of a token that the join leaves out.
-JOIN_SHIFT = 16
-#: 64-bit words of the bitmap that lets lines without a pair go before they are read again (a million bits).
-BITMAP_WORDS = 1 << 14
-#: Tokens so many classes above the median bucket (eight classes double the count; four times it), and of 256 or more, may be shared by a family of near
-#: copies. Counts of a bucket's other words grow with the corpus, and the bound with them.
-ABOVE_MEDIAN, LEAST_FREQUENT = 16, 64
+#: Lines of one token that are compared in one piece.
+TILE = 4096
+#: Bits of the bitmap that lets lines that nobody asks for go before they are read again: from so many, with the number asked for, to so many.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
+#: 64-bit words of the constant bitmap that lets documents that lose nothing pass by.
+CONSTANT_WORDS = 1 << 14
 
-def _words(line: Column) -> Column:
-    """The words of a line. Lines without rare blanks, nearly all, are split at the space only, which Spark does many times faster than by a pattern."""
-    rare = line.contains("\t") | line.contains("\x0b") | line.contains("\x0c") | line.contains("\r") | line.contains("\n")
-    return F.array_remove(F.split(F.when(rare, F.translate(line, "\t\x0b\x0c\r\n", "     ")).otherwise(line), " "), "")
+_EPS = 1e-9
+_NO_ID = -(1 << 63)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.coalesce("text", F.lit("")).alias("_text"))
-
-
-def rarity(docs: DataFrame) -> tuple[Column, int]:
-    """The rarity class of each bucket of words, as one constant array of BUCKETS small numbers, and the class from which tokens are frequent."""
-    bucket = F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
-    words = docs.select(F.explode(_words(F.coalesce("text", F.lit("")))).alias("word"))
-    counts = words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    classes = counts.select("bucket", F.least(F.lit(127), F.floor(8 * F.log2("n"))).cast("int").alias("c")).toArrow()
-    table = np.zeros(BUCKETS, np.int64)
-    table[classes["bucket"].to_numpy()] = classes["c"].to_numpy()
-    frequent = max(LEAST_FREQUENT, int(np.median(table)) + ABOVE_MEDIAN)
-    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>"), frequent
-
-
-def _tokens(line: Column, classes: Column) -> Column:
-    """The set of a line's tokens, rarest first."""
-    token = lambda h: F.shiftleft(classes[h.bitwiseAND(F.lit(BUCKETS - 1))], HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(token(h), F.lit(0).cast("long"))))
-
-
-def _split(docs: DataFrame) -> DataFrame:
-    return _documents(docs).select("doc_id", "text_id", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_id"), "text")
+
+
+def ranks(docs: DataFrame) -> np.ndarray:
+    """The rank of each bucket of words by its number of words in all texts, rarest first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for _, data, _ in joined(batch["text"]):
+                sums += np.bincount(word_hashes(data)[0] & np.uint64(BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["bucket", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(BUCKETS, np.int64)
+    sums[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
+    out = np.empty(BUCKETS, np.uint64)
+    out[np.argsort(sums, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    return out
+
+
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    """Tokens that lines of n tokens are joined on: any set that is similar enough has one of them."""
+    return np.where(n > ONLY_COPIES, n - np.ceil(SIMILARITY * n - _EPS).astype(np.int64) + 1, 0)
+
+
+def overlap(n: np.ndarray) -> np.ndarray:
+    """Tokens that two similar sets must share, of n tokens together."""
+    return np.ceil(SIMILARITY / (1 + SIMILARITY) * n - _EPS).astype(np.int64)
+
+
+def token_sets(hashes: np.ndarray, lines: np.ndarray, rank: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """For some lines at a time: their numbers, the number of words, the sets' tokens (rarest first, set after set) and where each set begins."""
+    first = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1]))) if len(lines) else np.zeros(0, np.int64)
+    ends, most = np.concatenate((first[1:], [len(lines)])), 1 << (64 - TOKEN_BITS)
+    for at in range(0, len(first), most):
+        starts, stops = first[at : at + most], ends[at : at + most]
+        h = hashes[starts[0] : stops[-1]]
+        token = (rank[h & np.uint64(BUCKETS - 1)] << np.uint64(HASH_BITS)) | (h >> np.uint64(64 - HASH_BITS))
+        key = np.repeat(np.arange(len(starts), dtype=np.uint64), stops - starts) << np.uint64(TOKEN_BITS) | token
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        of = key >> np.uint64(TOKEN_BITS)
+        begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        yield lines[starts], stops - starts, key & np.uint64((1 << TOKEN_BITS) - 1), begin
+
+
+_LINES = "doc long, text_id long, line int, id struct<a: long, b: long>, n int, bits long, half long, prefix array<long>"
+
+
+def lines(docs: DataFrame, rank: np.ndarray, least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each line of enough words: its place, the digest of its set, n (tokens), bits and half (parity bitmap) and prefix (rarest first)."""
+    names = ["doc", "text_id", "line", "id", "n", "bits", "half", "prefix"]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: pa.array(x.view(np.int64))
+        for batch in batches:
+            doc, text_id = batch["doc"].to_numpy(), batch["text_id"].to_numpy()
+            for row, data, begins in joined(batch["text"]):
+                hashes, at, breaks = word_hashes(data)
+                before = np.searchsorted(breaks, begins)  # lines before each text
+                for numbers, words, tokens, begin in token_sets(hashes, at, rank):
+                    n = np.diff(np.concatenate((begin, [len(tokens)])))
+                    id_a, id_b = (np.add.reduceat(mixed(tokens + np.uint64(salt)), begin) for salt in (1, 1 << 60))
+                    bit = np.uint64(1) << (tokens & np.uint64(63))
+                    high = np.bitwise_xor.reduceat(np.where(tokens & np.uint64(64), bit, np.uint64(0)), begin)
+                    bits = np.bitwise_xor.reduceat(bit, begin)
+                    length = prefix_length(n)
+                    in_prefix = np.arange(len(tokens)) - np.repeat(begin, n) < np.repeat(length, n)
+                    ends = pa.array(np.concatenate(([0], np.cumsum(length))).astype(np.int32))
+                    of = np.searchsorted(before, numbers, side="right") - 1
+                    columns = [
+                        pa.array(doc[row + of]), pa.array(text_id[row + of]), pa.array((numbers - before[of]).astype(np.int32)),
+                        pa.StructArray.from_arrays([signed(id_a), signed(id_b)], ["a", "b"]), pa.array(n.astype(np.int32)), signed(bits),
+                        signed(np.where(n > LONG, high, np.uint64(0))), pa.ListArray.from_arrays(ends, signed(tokens[in_prefix])),
+                    ]
+                    out = pa.RecordBatch.from_arrays(columns, names)
+                    yield out if least_words <= 1 else out.filter(pa.array(words >= least_words))
+
+    return _documents(docs).mapInArrow(make, _LINES)
 
 
-def lines(docs: DataFrame, classes: Column, least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row for each line of enough words: doc_id, text_id, line, id (hash of its set), n (tokens), bits and half (parity bitmap) and prefix (rarest first)."""
-    split = _split(docs).filter(F.size(_words(F.col("_line"))) >= max(1, least_words)).withColumn("tokens", _tokens(F.col("_line"), classes))
-    zero, one, n = F.lit(0).cast("long"), F.lit(1).cast("long"), F.size("tokens")
-    bit = lambda t: F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))
-    bits = F.aggregate("tokens", zero, lambda a, t: a.bitwiseXOR(bit(t)))
-    half = F.aggregate("tokens", zero, lambda a, t: F.when(t.bitwiseAND(F.lit(64)) == 0, a).otherwise(a.bitwiseXOR(bit(t))))
-    half = F.when(n > LONG, half).otherwise(zero)
-    prefix = F.slice("tokens", 1, F.when(n > ONLY_COPIES, _prefix(n)).otherwise(0)).alias("prefix")
-    return split.select("doc_id", "text_id", "line", F.xxhash64("tokens").alias("id"), n.alias("n"), bits.alias("bits"), half.alias("half"), prefix)
-
-
-def _difference(n: Column, bits: Column, half: Column, m: Column, bits_m: Column, half_m: Column) -> Column:
-    """Least size of the symmetric difference of two sets, by their parity bitmaps: 64 bits, or 128 if both are long."""
-    halves = half.bitwiseXOR(half_m)
-    both = bits.bitwiseXOR(bits_m)
-    return F.when((n > LONG) & (m > LONG), F.bit_count(halves) + F.bit_count(both.bitwiseXOR(halves))).otherwise(F.bit_count(both))
-
-
-def _prefix(n: Column) -> Column:
-    """Tokens that a line of n tokens is joined on: any set that is similar enough has one of them."""
-    return n - F.ceil(SIMILARITY * n - 1e-9).cast("int") + 1
-
-
-def _overlap(n: Column, m: Column) -> Column:
-    """Tokens that sets of n and m tokens must share."""
-    return F.ceil(SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9)
+def _firsts(table: DataFrame) -> DataFrame:
+    """The first line of each set, with a number for the set: set, doc, text_id, line, n, bits, half, prefix. Copies meet in the partial results of their tasks."""
+    place = F.struct("doc", "line", "text_id")
+    firsts = table.groupBy("id").agg(F.min(F.struct(place.alias("place"), "n", "bits", "half", "prefix")).alias("first")).select("first.*")
+    return stored(firsts.select(F.monotonically_increasing_id().alias("set"), "place.*", "n", "bits", "half", "prefix"))
+
+
+def cell(*keys: np.ndarray) -> np.ndarray:
+    """One hash of some numbers, row by row."""
+    out = np.zeros(len(keys[0]), np.uint64)
+    for key in keys:
+        out = mixed(out + key.astype(np.int64).view(np.uint64))
+    return out
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """The rows of ``keys`` (longs) in a bitmap whose size follows their number between fixed bounds, as 64-bit words."""
+    bits, names = max(LEAST_BITS, min(MOST_BITS, 1 << (8 * keys.count()).bit_length())), keys.columns
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = cell(*(batch[c].to_numpy() for c in names)) & np.uint64(bits - 1)
+            bit = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bit.view(np.int64))], ["w", "bit"])
+
+    found = keys.mapInArrow(places, "w long, bit long").groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[found["w"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
+
+
+def in_bitmap(table: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    at = cell(*keys) & np.uint64(64 * len(table) - 1)
+    return (table[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def _units(rows: DataFrame, tile: int) -> DataFrame:
+    """rows (of a token) with the units in which they are compared: unit, side (0: within the unit; else only with the other side)."""
+    many = cut(rows.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile))
+    if many.isEmpty():
+        return rows.withColumn("unit", F.col("token")).withColumn("side", F.lit(0))
+    rows = rows.join(many, "token", "left")
+    few = rows.filter("_n is null").drop("_n").withColumn("unit", F.col("token")).withColumn("side", F.lit(0))
+    # Similar lengths are in the same class or the next. A line goes to each tile that its own may match.
+    parts, size = F.ceil(F.col("_n") / (2 * tile)).cast("int"), F.floor(F.ln("n") / F.lit(-float(np.log(SIMILARITY))) + _EPS).cast("int")
+    tile_of = lambda c, p: F.struct(c.alias("size"), p.alias("part"))
+    others = F.flatten(F.transform(F.sequence(size - 1, size + 1), lambda c: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: tile_of(c, p))))
+    large = rows.filter("_n is not null").withColumn("mine", tile_of(size, F.pmod(F.xxhash64("set"), parts).cast("int"))).withColumn("other", F.explode(others))
+    unit = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).bitwiseOR(F.lit(_NO_ID))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    large = large.withColumn("unit", unit).withColumn("side", side).drop("mine", "other", "_n")
+    return few.unionByName(large)
+
+
+def met(unit: np.ndarray, side: np.ndarray, n: np.ndarray, at: np.ndarray, bits: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs of rows of a unit that pass the length, positional and bitmap filters, and the room that is left to each. Rows are in order of unit and n."""
+    left, right, spare, alive, lag = [], [], [], np.arange(len(unit)), 0
+    while True:
+        lag += 1
+        alive = alive[alive + lag < len(unit)]
+        other = alive + lag
+        go = (unit[alive] == unit[other]) & (n[alive] >= SIMILARITY * n[other] - _EPS)
+        alive = alive[go]
+        if not len(alive):
+            break
+        i, j = alive, alive + lag
+        least = overlap(n[i] + n[j])
+        both, halves = bits[i] ^ bits[j], half[i] ^ half[j]
+        long = (n[i] > LONG) & (n[j] > LONG)
+        apart = np.where(long, np.bitwise_count(halves).astype(np.int64) + np.bitwise_count(both ^ halves), np.bitwise_count(both))
+        room = n[i] + n[j] - 2 * least - apart
+        ok = (room >= 0) & (n[i] - at[i] >= least) & (n[j] - at[j] >= least) & ((side[i] == 0) | (side[i] != side[j]))
+        left.append(i[ok])
+        right.append(j[ok])
+        spare.append(room[ok])
+    if not left:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(left), np.concatenate(right), np.concatenate(spare)
+
+
+def _compare(all_pairs: bool):
+    """Rows in order of unit and n; for each line with earlier partners in its unit: all of them, or the one with most room, and whether there are others."""
+    columns = ["unit", "shape", "set", "doc", "line", "bits", "half"]
+
+    def found(rows: np.ndarray) -> pa.RecordBatch:
+        unit, shape, sets, doc, line, bits, half = rows
+        n, at, side, wanted = shape >> 32, (shape >> 3) & ((1 << 29) - 1), (shape >> 1) & 3, shape & 1
+        i, j, room = met(unit, side, n, at, bits.view(np.uint64), half.view(np.uint64))
+        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & ((line[i] > line[j]) | ((line[i] == line[j]) & (sets[i] > sets[j]))))
+        late, early = np.where(swap, i, j), np.where(swap, j, i)
+        keep = wanted[late] == 1
+        late, early, room = late[keep], early[keep], room[keep]
+        more = np.zeros(len(late), np.int64)
+        if not all_pairs and len(late):
+            # Of equal room any will do: a hash spreads the partners.
+            order = np.lexsort((mixed((sets[late] ^ (sets[early] << 20)).view(np.uint64)), -room, late))
+            first = np.flatnonzero(np.concatenate(([True], late[order][1:] != late[order][:-1])))
+            more = (np.diff(np.concatenate((first, [len(order)]))) > 1).astype(np.int64)
+            late, early, room = (x[order[first]] for x in (late, early, room))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[late], sets[early], room, more)], ["a", "b", "room", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([batch[c].to_numpy() for c in columns])
+            held.append(rows)
+            cuts = np.flatnonzero(np.diff(rows[0]))
+            if len(cuts):  # all units but the last are complete
+                every = np.concatenate(held, axis=1)
+                keep = rows.shape[1] - cuts[-1] - 1
+                yield found(every[:, :-keep])
+                held = [every[:, -keep:]]
+        if held:
+            yield found(np.concatenate(held, axis=1))
+
+    return run
+
+
+def _prefix_rows(firsts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """set, doc, line, n, bits, half, wanted, at and token of the prefix rows of some tokens (column ``token``); those of no such token go before the join."""
+    shared = firsts.sparkSession.sparkContext.broadcast(bitmap(tokens))
+    names = ["set", "doc", "line", "n", "bits", "half", "wanted"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = np.diff(batch["prefix"].offsets.to_numpy())
+            token = batch["prefix"].flatten().to_numpy()
+            of = np.repeat(np.arange(len(length)), length)
+            at = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+            keep = np.flatnonzero(in_bitmap(shared.value, token))
+            out = batch.select(names).take(pa.array(of[keep]))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[keep].astype(np.int32)), pa.array(token[keep])], [*names, "at", "token"])
+
+    rows = firsts.select(*names, "prefix").mapInArrow(run, "set long, doc long, line int, n int, bits long, half long, wanted int, at int, token long")
+    return rows.join(tokens, "token", "left_semi")
+
+
+def _proposed(firsts: DataFrame, wanted: DataFrame | None, tile: int) -> DataFrame:
+    """Pairs a, b (b earlier) of sets that pass the filters: the best of each unit for each a, or all for the sets a of ``wanted``."""
+    if wanted is None:
+        rows = firsts.select("set", "doc", "line", "n", "bits", "half", F.lit(1).alias("wanted"), F.posexplode("prefix").alias("at", "token"))
+    else:
+        marked = stored(firsts.join(wanted.withColumn("wanted", F.lit(1)), "set", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0))))
+        rows = _prefix_rows(marked, cut(marked.filter("wanted = 1").select(F.explode("prefix").alias("token")).distinct()))
+    parts = (F.shiftleft(F.col(c).cast("long"), k) for c, k in (("n", 32), ("at", 3), ("side", 1), ("wanted", 0)))
+    shape = sum(parts, F.lit(0).cast("long"))
+    units = _units(rows, tile).select("unit", shape.alias("shape"), "set", "doc", F.col("line").cast("long").alias("line"), "bits", "half")
+    units = units.repartition("unit").sortWithinPartitions("unit", "shape")
+    return units.mapInArrow(_compare(wanted is not None), "a long, b long, room long, more long")
+
+
+def _asked_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc, text_id, line and said (its bytes) of the lines that may be among ``places``."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(bitmap(places)), ["doc", "text_id", "line", "said"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, text_id = batch["doc"].to_numpy(), batch["text_id"].to_numpy()
+            for row, data, begins in joined(batch["text"]):
+                feeds = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x0A)
+                first, end = np.concatenate(([0], feeds + 1)), np.concatenate((feeds, [len(data)]))
+                before = np.searchsorted(feeds, begins)
+                of = np.searchsorted(before, np.arange(len(first)), side="right") - 1
+                line, of = np.arange(len(first)) - before[of], row + of
+                keep = np.flatnonzero(in_bitmap(shared.value, doc[of], text_id[of], line))
+                said = pa.array([data[a:b] for a, b in zip(first[keep].tolist(), end[keep].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[of[keep]]), pa.array(text_id[of[keep]]), pa.array(line[keep].astype(np.int32)), said], names)
+
+    return _documents(docs).mapInArrow(run, "doc long, text_id long, line int, said binary")
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets a of pairs (a, b) that are similar, by the words of both lines, read from the texts again."""
+    side = lambda c, k: F.struct(F.col(c).alias("set"), F.lit(k).alias("side"))
+    sides = pairs.select("a", "b", F.explode(F.array(side("a", 0), side("b", 1))).alias("x")).select("a", "b", "x.*")
+    sides = cut(sides.join(firsts.select("set", "doc", "text_id", "line"), "set").drop("set"))
+    place = ["doc", "text_id", "line"]
+    read = _asked_lines(docs, sides.select(*place).distinct())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, words = None, frozenset()
+        for batch in batches:
+            similar = []
+            for a, b, k, said in zip(*(batch[c].to_pylist() for c in ("a", "b", "side", "said"))):
+                if not k and pair != (a, b):
+                    pair, words = (a, b), frozenset(said.split())
+                elif k and pair == (a, b) and words is not None:
+                    mine = frozenset(said.split())
+                    shared = len(mine & words)
+                    if shared >= SIMILARITY * (len(mine) + len(words) - shared) - _EPS:
+                        similar.append(a)
+                    words = None  # rows that repeat have their lines twice
+            if similar:
+                yield pa.RecordBatch.from_arrays([pa.array(similar, pa.int64())], ["set"])
+
+    texts = sides.join(read, place).select("a", "b", "side", "said").repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    return texts.mapInArrow(compare, "set long").distinct()
+
+
+def _dropped(firsts: DataFrame, docs: DataFrame, tile: int) -> DataFrame:
+    """The sets whose first line is similar to an earlier one."""
+    best = _proposed(firsts, None, tile).groupBy("a").agg(F.max_by("b", "room").alias("b"), F.max("more").alias("more"), (F.min("b") != F.max("b")).alias("others"))
+    best = cut(best)
+    similar = cut(_verified(best, firsts, docs))
+    # Lines whose best partner failed are compared with all others.
+    failed = cut(best.filter("more = 1 or others").join(similar, F.col("a") == F.col("set"), "left_anti").select(F.col("a").alias("set")))
+    if failed.isEmpty():
+        return similar
+    pairs = cut(_proposed(firsts, failed, tile).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
+    return cut(similar.union(_verified(pairs, firsts, docs)))
+
+
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, tile: int = TILE) -> DataFrame:
+    """doc_id, text_id and line of every line that is removed."""
+    table = stored(lines(docs, ranks(docs), least_words))
+    firsts = _firsts(table)
+    kept = firsts.join(_dropped(firsts, docs, tile), "set", "left_anti").select("doc", "text_id", "line")
+    removed = table.select("doc", "text_id", "line").join(kept, ["doc", "text_id", "line"], "left_anti")
+    return removed.select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "text_id", "line")
 
 
-def _may_be_similar(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters for row b, of at most a's length, under a common token."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = _overlap(n, m)
-    room = (n - F.col(f"{a}.at") >= least) & (m - F.col(f"{b}.at") >= least)
-    return (m >= SIMILARITY * n - 1e-9) & room & (_difference(n, F.col(f"{a}.bits"), F.col(f"{a}.half"), m, F.col(f"{b}.bits"), F.col(f"{b}.half")) <= n + m - 2 * least)
+def removed_by_document(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, text_id and removed (numbers of the lines removed) of every document that loses any."""
+    return removed_lines(docs, least_words).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def _firsts(table: DataFrame) -> DataFrame:
-    """The first line of each set, with a number for the set: id, set, place, n, bits, half, prefix. Copies meet in the partial results of their tasks."""
-    place = F.struct("doc_id", "text_id", "line").alias("place")
-    firsts = table.groupBy("id").agg(F.min(F.struct(place, "n", "bits", "half", "prefix")).alias("first")).select("id", "first.*")
-    return stored(firsts.withColumn("set", F.monotonically_increasing_id()))
+def _in_constant(key: Column, table: np.ndarray) -> Column:
+    word, bit = _cell(key)
+    return F.split(F.lit(",".join(map(str, table.view(np.int64).tolist()))), ",").cast("array<bigint>")[word].bitwiseAND(bit) != 0
 
 
 def _cell(key: Column) -> tuple[Column, Column]:
-    """The word and the bit of a key's place in the bitmap."""
+    """The word and the bit of a key's place in a bitmap of :data:`CONSTANT_WORDS`."""
     hashed = F.xxhash64(key)
-    return hashed.bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    return hashed.bitwiseAND(F.lit(CONSTANT_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
 
 
-def _bitmap(keys: DataFrame) -> Column:
-    """The places of all keys (_key), as one constant array of BITMAP_WORDS longs."""
+def _places(keys: DataFrame) -> np.ndarray:
+    """The places of all keys (_key), as 64-bit words."""
     word, bit = _cell(F.col("_key"))
     found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    table = np.zeros(BITMAP_WORDS, np.int64)
+    table = np.zeros(CONSTANT_WORDS, np.int64)
     table[found["w"].to_numpy()] = found["bits"].to_numpy()
-    return F.split(F.lit(",".join(map(str, table.tolist()))), ",").cast("array<bigint>")
-
-
-def _in_bitmap(key: Column, bitmap: Column) -> Column:
-    word, bit = _cell(key)
-    return bitmap[word].bitwiseAND(bit) != 0
-
-
-def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, classes: Column) -> DataFrame:
-    """Sets whose first line a pair (a, b) proves similar to an earlier line, by the tokens of both lines, read from the text again."""
-    wanted = cut(pairs.select(F.col("a").alias("_key")).union(pairs.select("b")).distinct())
-    # Most lines are in no pair: bitmaps of fixed size let them go before the joins.
-    places = firsts.select(F.col("set").alias("_key"), "place").filter(_in_bitmap(F.col("_key"), _bitmap(wanted)))
-    places = cut(places.join(wanted, "_key").select(F.col("_key").alias("set"), F.col("place").alias("_key")))
-    read = _split(docs).withColumn("_key", F.struct("doc_id", "text_id", "line")).select("_key", "_line")
-    read = read.filter(_in_bitmap(F.col("_key"), _bitmap(places))).join(places, "_key")
-    read = cut(read.dropDuplicates(["set"]).select("set", F.col("_key").alias("place"), _tokens(F.col("_line"), classes).alias("tokens")))
-    left = read.select(F.col("set").alias("a"), F.col("place").alias("_place_a"), F.col("tokens").alias("_a"))
-    right = read.select(F.col("set").alias("b"), F.col("place").alias("_place_b"), F.col("tokens").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    similar = both.filter(shared >= SIMILARITY * (F.size("_a") + F.size("_b") - shared) - 1e-9)
-    return similar.select(F.when(F.col("_place_a") < F.col("_place_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
-
-
-def _led(firsts: DataFrame, frequent_from: int) -> DataFrame:
-    """Pairs (a, b) of a line and the earliest line under one of its frequent tokens, where the filters leave them possible."""
-    frequent = F.filter("prefix", lambda t: F.shiftright(t, HASH_BITS) >= frequent_from)
-    rows = firsts.select("set", "place", "n", "bits", "half", F.explode(frequent).alias("token"))
-    leaders = cut(rows.groupBy("token").agg(F.min(F.struct("place", "set", "n", "bits", "half")).alias("leader")))
-    led = rows.join(leaders, "token")
-    least = _overlap(F.col("n"), F.col("leader.n"))
-    near = F.least("n", "leader.n") >= SIMILARITY * F.greatest("n", "leader.n") - 1e-9
-    apart = _difference(F.col("n"), F.col("bits"), F.col("half"), F.col("leader.n"), F.col("leader.bits"), F.col("leader.half"))
-    near &= apart <= F.col("n") + F.col("leader.n") - 2 * least
-    return led.filter((F.col("set") != F.col("leader.set")) & near).select(F.col("set").alias("a"), F.col("leader.set").alias("b")).distinct()
-
-
-def _pairs(firsts: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that pass all filters under a common prefix token; none of two settled ones."""
-    # Fewer hash bits do for the join (others' rows only make more work for the filters), and make smaller rows.
-    short = F.shiftright("token", JOIN_SHIFT)
-    rows = firsts.join(settled.withColumn("_settled", F.lit(True)), "set", "left")
-    rows = rows.select("set", "n", "bits", "half", F.coalesce("_settled", F.lit(False)).alias("settled"), F.posexplode("prefix").alias("at", "token")).withColumn("token", short)
-    rows = rows.repartition("token")
-    # Both sides are the same rows, so they are dealt out once.
-    longer, shorter = rows.alias("a"), rows.alias("b")
-    order = F.struct(F.col("b.n"), F.col("b.set")) < F.struct(F.col("a.n"), F.col("a.set"))
-    open_pair = ~(F.col("a.settled") & F.col("b.settled"))
-    pairs = longer.join(shorter, (F.col("a.token") == F.col("b.token")) & order & open_pair & _may_be_similar("a", "b"))
-    return pairs.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
-
-
-def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text_id, line and id of every line that is removed."""
-    classes, frequent_from = rarity(docs)
-    table = stored(lines(docs, classes, least_words))
-    firsts = _firsts(table)
-    settled = cut(_verified(cut(_led(firsts, frequent_from)), firsts, docs, classes))
-    dropped = settled.union(_verified(cut(_pairs(firsts, settled)), firsts, docs, classes)).distinct().withColumn("_dropped", F.lit(True))
-    verdict = firsts.select("id", "set", "place").join(cut(dropped), "set", "left").select("id", "place", "_dropped")
-    places = table.select("doc_id", "text_id", "line", "id")
-    return places.join(verdict, "id").filter(F.col("_dropped") | (F.struct("doc_id", "text_id", "line") != F.col("place"))).select(*places.columns)
-
-
-def removed_by_document(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, text_id and removed (numbers of the lines removed) of every document that loses any."""
-    return removed_lines(docs, least_words).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return table
 
 
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -210,16 +392,17 @@ def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     key = F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("_key")
     removed = stored(removed_by_document(docs.select("doc_id", "text"), least_words).select(F.struct("doc_id", "text_id").alias("_key"), "removed"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(key, "doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)]).alias("_row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)]).alias("_row"))
+    rows = rows.select(key, "*")
     # Documents that lose nothing needn't meet the table of removed lines.
-    bitmap = _bitmap(removed)
-    touched = rows.filter(_in_bitmap(F.col("_key"), bitmap)).join(removed, "_key", "left")
-    others = rows.filter(~_in_bitmap(F.col("_key"), bitmap)).withColumn("removed", F.lit(None).cast("array<int>"))
+    table = _places(removed)
+    touched = rows.filter(_in_constant(F.col("_key"), table)).join(removed, "_key", "left")
+    others = rows.filter(~_in_constant(F.col("_key"), table)).withColumn("removed", F.lit(None).cast("array<int>"))
     rows = touched.unionByName(others)
     left = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("removed", k))
     rows = rows.withColumn("_left", F.when(F.col("removed").isNotNull(), left)).filter(F.col("_left").isNull() | F.exists("_left", lambda x: x.rlike("[^\x20\x09-\x0D]")))
     text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
-    of = {c: F.col(f"_row.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": text}
+    of = {c: F.col(f"_row.`{c}`") for c in rest} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in rest:
         of["n_chars"] = F.when(F.col("_left").isNull(), of["n_chars"]).otherwise(F.length(text).cast("long"))
     return rows.select(*[of[c].alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ ORACLE_SQL: dict[str, str] = {
     # Lines as sets of words; a line that shares a rare enough word with an earlier one is compared with it (prefix filter).
     "op3_line_dedup": f"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as ln, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as line from documents),
-t as (select doc_id, line, list_distinct({_TOKENS}) as s from l where len({_TOKENS}) >= 5),
+t as (select doc_id, line, list_distinct({_TOKENS}) as s from l where len({_TOKENS}) >= 1),
 w as (select doc_id, line, len(s) as n, unnest(s) as word from t),
 c as (select word, count(*) as c from w group by 1),
 o as (select doc_id, line, n, word, row_number() over (partition by doc_id, line order by c, word) as k from w join c using (word)),
