@@ -9,8 +9,9 @@ later line of the same set. Lines of any number of words take part; callers may
 * Prefix: a line of n tokens is joined on its first n - ceil(0.8 n) + 1 tokens; sets of up to three tokens are similar to equal sets only and need none.
 * Length, positional and bitmap filters run inside the group of a token, in numpy: lengths must be within the ratio, what follows the token must leave room
   for the overlap needed, and a parity bitmap (64 bits, 128 for long lines) bounds the size of the symmetric difference from below.
-* A line needs one earlier line that is similar, so the first round proposes for each line only the partner of least difference, however large the family of
-  near copies; only lines whose first partner fails are compared with all others that pass the filters.
+* A line needs one earlier line that is similar, so each group proposes for each line only the :data:`FEW` partners of least difference, however large the
+  family of near copies; the best of them is verified first, then the others for lines whose best fails, and lines of which a group had more partners and
+  none is similar are compared with all that pass the filters.
 * Proposed pairs are verified by the words themselves, read from the texts again.
 
 Lines with equal sets (equal 128-bit digests) are one line (their first place counts), so copies make no pairs. A token of more than :data:`TILE` lines is
@@ -43,6 +44,10 @@ BUCKETS = 1 << 16
 #: Bits of a token below the rank of its bucket, and of a whole token.
 HASH_BITS = 36
 TOKEN_BITS = HASH_BITS + 16
+#: Trailing hash bits of a token that the join leaves out: other tokens that meet only make more work for the filters.
+JOIN_SHIFT = 20
+#: Earlier partners that a line keeps in each group of the first round.
+FEW = 8
 #: Tokens beyond which a line's parity bitmap has 128 bits.
 LONG = 88
 #: Lines of one token that are compared in one piece.
@@ -61,8 +66,8 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("text_id"), "text")
 
 
-def ranks(docs: DataFrame) -> np.ndarray:
-    """The rank of each bucket of words by its number of words in all texts, rarest first."""
+def ranks(docs: DataFrame, tile: int = TILE) -> tuple[np.ndarray, int]:
+    """The rank of each bucket of words by its number of words in all texts, rarest first, and the first rank of more than ``tile`` words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
@@ -77,7 +82,7 @@ def ranks(docs: DataFrame) -> np.ndarray:
     sums[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     out = np.empty(BUCKETS, np.uint64)
     out[np.argsort(sums, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
-    return out
+    return out, int((sums <= tile).sum())
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -106,12 +111,12 @@ def token_sets(hashes: np.ndarray, lines: np.ndarray, rank: np.ndarray) -> Itera
         yield lines[starts], stops - starts, key & np.uint64((1 << TOKEN_BITS) - 1), begin
 
 
-_LINES = "doc long, text_id long, line int, id struct<a: long, b: long>, n int, bits long, half long, prefix array<long>"
+_LINES = "doc long, text_id long, line int, id_a long, id_b long, n int, bits long, half long, prefix array<int>"
 
 
 def lines(docs: DataFrame, rank: np.ndarray, least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each line of enough words: its place, the digest of its set, n (tokens), bits and half (parity bitmap) and prefix (rarest first)."""
-    names = ["doc", "text_id", "line", "id", "n", "bits", "half", "prefix"]
+    names = ["doc", "text_id", "line", "id_a", "id_b", "n", "bits", "half", "prefix"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda x: pa.array(x.view(np.int64))
@@ -132,8 +137,8 @@ def lines(docs: DataFrame, rank: np.ndarray, least_words: int = LEAST_WORDS) ->
                     of = np.searchsorted(before, numbers, side="right") - 1
                     columns = [
                         pa.array(doc[row + of]), pa.array(text_id[row + of]), pa.array((numbers - before[of]).astype(np.int32)),
-                        pa.StructArray.from_arrays([signed(id_a), signed(id_b)], ["a", "b"]), pa.array(n.astype(np.int32)), signed(bits),
-                        signed(np.where(n > LONG, high, np.uint64(0))), pa.ListArray.from_arrays(ends, signed(tokens[in_prefix])),
+                        signed(id_a), signed(id_b), pa.array(n.astype(np.int32)), signed(bits), signed(np.where(n > LONG, high, np.uint64(0))),
+                        pa.ListArray.from_arrays(ends, pa.array((tokens[in_prefix] >> np.uint64(JOIN_SHIFT)).astype(np.uint32).view(np.int32))),
                     ]
                     out = pa.RecordBatch.from_arrays(columns, names)
                     yield out if least_words <= 1 else out.filter(pa.array(words >= least_words))
@@ -144,7 +149,7 @@ def lines(docs: DataFrame, rank: np.ndarray, least_words: int = LEAST_WORDS) ->
 def _firsts(table: DataFrame) -> DataFrame:
     """The first line of each set, with a number for the set: set, doc, text_id, line, n, bits, half, prefix. Copies meet in the partial results of their tasks."""
     place = F.struct("doc", "line", "text_id")
-    firsts = table.groupBy("id").agg(F.min(F.struct(place.alias("place"), "n", "bits", "half", "prefix")).alias("first")).select("first.*")
+    firsts = table.groupBy("id_a", "id_b").agg(F.min(F.struct(place.alias("place"), "n", "bits", "half", "prefix")).alias("first")).select("first.*")
     return stored(firsts.select(F.monotonically_increasing_id().alias("set"), "place.*", "n", "bits", "half", "prefix"))
 
 
@@ -177,19 +182,23 @@ def in_bitmap(table: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _units(rows: DataFrame, tile: int) -> DataFrame:
-    """rows (of a token) with the units in which they are compared: unit, side (0: within the unit; else only with the other side)."""
-    many = cut(rows.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile))
+def _units(rows: DataFrame, tile: int, frequent: int) -> DataFrame:
+    """rows (of a token) with the units in which they are compared: unit, side (0: within the unit; else only with the other side).
+
+    Only tokens of buckets from the rank ``frequent`` on can have more than ``tile`` rows.
+    """
+    maybe = rows.filter(F.shiftrightunsigned("token", HASH_BITS - JOIN_SHIFT) >= frequent)
+    many = cut(maybe.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile))
     if many.isEmpty():
-        return rows.withColumn("unit", F.col("token")).withColumn("side", F.lit(0))
+        return rows.withColumn("unit", F.col("token").cast("long")).withColumn("side", F.lit(0))
     rows = rows.join(many, "token", "left")
-    few = rows.filter("_n is null").drop("_n").withColumn("unit", F.col("token")).withColumn("side", F.lit(0))
+    few = rows.filter("_n is null").drop("_n").withColumn("unit", F.col("token").cast("long")).withColumn("side", F.lit(0))
     # Similar lengths are in the same class or the next. A line goes to each tile that its own may match.
     parts, size = F.ceil(F.col("_n") / (2 * tile)).cast("int"), F.floor(F.ln("n") / F.lit(-float(np.log(SIMILARITY))) + _EPS).cast("int")
     tile_of = lambda c, p: F.struct(c.alias("size"), p.alias("part"))
     others = F.flatten(F.transform(F.sequence(size - 1, size + 1), lambda c: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: tile_of(c, p))))
     large = rows.filter("_n is not null").withColumn("mine", tile_of(size, F.pmod(F.xxhash64("set"), parts).cast("int"))).withColumn("other", F.explode(others))
-    unit = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other")).bitwiseOR(F.lit(_NO_ID))
+    unit = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     large = large.withColumn("unit", unit).withColumn("side", side).drop("mine", "other", "_n")
     return few.unionByName(large)
@@ -222,25 +231,29 @@ def met(unit: np.ndarray, side: np.ndarray, n: np.ndarray, at: np.ndarray, bits:
 
 
 def _compare(all_pairs: bool):
-    """Rows in order of unit and n; for each line with earlier partners in its unit: all of them, or the one with most room, and whether there are others."""
+    """Rows in order of unit; for each line with earlier partners in its unit: all of them, or the :data:`FEW` with most room, and whether there are others."""
     columns = ["unit", "shape", "set", "doc", "line", "bits", "half"]
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
+        runs = np.cumsum(np.concatenate(([0], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else rows[0]
+        rows = rows[:, np.lexsort((rows[1], runs))]
         unit, shape, sets, doc, line, bits, half = rows
         n, at, side, wanted = shape >> 32, (shape >> 3) & ((1 << 29) - 1), (shape >> 1) & 3, shape & 1
         i, j, room = met(unit, side, n, at, bits.view(np.uint64), half.view(np.uint64))
         swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & ((line[i] > line[j]) | ((line[i] == line[j]) & (sets[i] > sets[j]))))
         late, early = np.where(swap, i, j), np.where(swap, j, i)
-        keep = wanted[late] == 1
+        keep = (wanted[late] == 1) & (sets[late] != sets[early])
         late, early, room = late[keep], early[keep], room[keep]
-        more = np.zeros(len(late), np.int64)
+        more = np.zeros(len(late), bool)
         if not all_pairs and len(late):
             # Of equal room any will do: a hash spreads the partners.
             order = np.lexsort((mixed((sets[late] ^ (sets[early] << 20)).view(np.uint64)), -room, late))
-            first = np.flatnonzero(np.concatenate(([True], late[order][1:] != late[order][:-1])))
-            more = (np.diff(np.concatenate((first, [len(order)]))) > 1).astype(np.int64)
-            late, early, room = (x[order[first]] for x in (late, early, room))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[late], sets[early], room, more)], ["a", "b", "room", "more"])
+            late, early, room = late[order], early[order], room[order]
+            first = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1])))
+            nth = np.arange(len(late)) - np.repeat(first, np.diff(np.concatenate((first, [len(late)]))))
+            more = np.concatenate((nth[1:], [0])) == FEW
+            late, early, room, more = (x[nth < FEW] for x in (late, early, room, more))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[late], sets[early], room, more.astype(np.int64))], ["a", "b", "room", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -259,36 +272,40 @@ def _compare(all_pairs: bool):
     return run
 
 
-def _prefix_rows(firsts: DataFrame, tokens: DataFrame) -> DataFrame:
-    """set, doc, line, n, bits, half, wanted, at and token of the prefix rows of some tokens (column ``token``); those of no such token go before the join."""
-    shared = firsts.sparkSession.sparkContext.broadcast(bitmap(tokens))
-    names = ["set", "doc", "line", "n", "bits", "half", "wanted"]
+def _rows_asked(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The prefix rows of all tokens that the sets of ``wanted`` (column set) have, and those sets marked; by bitmaps, so some others may be among them."""
+    context = firsts.sparkSession.sparkContext
+    tokens = firsts.join(wanted, "set", "left_semi").select(F.explode("prefix").alias("token")).select(F.col("token").cast("long").alias("token")).distinct()
+    shared = context.broadcast((bitmap(wanted), bitmap(cut(tokens))))
+    names = ["set", "doc", "line", "n", "bits", "half"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, of_sets = shared.value
         for batch in batches:
             length = np.diff(batch["prefix"].offsets.to_numpy())
             token = batch["prefix"].flatten().to_numpy()
             of = np.repeat(np.arange(len(length)), length)
             at = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-            keep = np.flatnonzero(in_bitmap(shared.value, token))
+            asked = in_bitmap(sets, batch["set"].to_numpy()).astype(np.int32)
+            keep = np.flatnonzero(in_bitmap(of_sets, token.astype(np.int64)))
             out = batch.select(names).take(pa.array(of[keep]))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at[keep].astype(np.int32)), pa.array(token[keep])], [*names, "at", "token"])
+            more = [asked[of[keep]], at[keep].astype(np.int32), token[keep]]
+            yield pa.RecordBatch.from_arrays([*out.columns, *map(pa.array, more)], [*names, "wanted", "at", "token"])
 
-    rows = firsts.select(*names, "prefix").mapInArrow(run, "set long, doc long, line int, n int, bits long, half long, wanted int, at int, token long")
-    return rows.join(tokens, "token", "left_semi")
+    return firsts.select(*names, "prefix").mapInArrow(run, "set long, doc long, line int, n int, bits long, half long, wanted int, at int, token int")
 
 
-def _proposed(firsts: DataFrame, wanted: DataFrame | None, tile: int) -> DataFrame:
-    """Pairs a, b (b earlier) of sets that pass the filters: the best of each unit for each a, or all for the sets a of ``wanted``."""
+def _proposed(firsts: DataFrame, wanted: DataFrame | None, tile: int, frequent: int) -> DataFrame:
+    """Pairs a, b (b earlier) of sets that pass the filters: the best few of each unit for each a, or all for the sets a of ``wanted``."""
     if wanted is None:
         rows = firsts.select("set", "doc", "line", "n", "bits", "half", F.lit(1).alias("wanted"), F.posexplode("prefix").alias("at", "token"))
     else:
-        marked = stored(firsts.join(wanted.withColumn("wanted", F.lit(1)), "set", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0))))
-        rows = _prefix_rows(marked, cut(marked.filter("wanted = 1").select(F.explode("prefix").alias("token")).distinct()))
+        rows = _rows_asked(firsts, wanted)
     parts = (F.shiftleft(F.col(c).cast("long"), k) for c, k in (("n", 32), ("at", 3), ("side", 1), ("wanted", 0)))
     shape = sum(parts, F.lit(0).cast("long"))
-    units = _units(rows, tile).select("unit", shape.alias("shape"), "set", "doc", F.col("line").cast("long").alias("line"), "bits", "half")
-    units = units.repartition("unit").sortWithinPartitions("unit", "shape")
+    units = _units(rows, tile, frequent).select("unit", shape.alias("shape"), "set", "doc", F.col("line").cast("long").alias("line"), "bits", "half")
+    # By one number alone, so Spark sorts without comparing rows; the lengths are put in order in the batches.
+    units = units.repartition("unit").sortWithinPartitions("unit")
     return units.mapInArrow(_compare(wanted is not None), "a long, b long, room long, more long")
 
 
@@ -306,10 +323,13 @@ def _asked_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
                 of = np.searchsorted(before, np.arange(len(first)), side="right") - 1
                 line, of = np.arange(len(first)) - before[of], row + of
                 keep = np.flatnonzero(in_bitmap(shared.value, doc[of], text_id[of], line))
+                data = data.to_pybytes()
                 said = pa.array([data[a:b] for a, b in zip(first[keep].tolist(), end[keep].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(doc[of[keep]]), pa.array(text_id[of[keep]]), pa.array(line[keep].astype(np.int32)), said], names)
 
-    return _documents(docs).mapInArrow(run, "doc long, text_id long, line int, said binary")
+    # Documents that nobody asks for stay in Spark.
+    near = _in_constant(F.xxhash64("doc"), _places(places.select(F.xxhash64("doc").alias("_key"))))
+    return _documents(docs).filter(near).mapInArrow(run, "doc long, text_id long, line int, said binary")
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -340,24 +360,29 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
     return texts.mapInArrow(compare, "set long").distinct()
 
 
-def _dropped(firsts: DataFrame, docs: DataFrame, tile: int) -> DataFrame:
+def _dropped(firsts: DataFrame, docs: DataFrame, tile: int, frequent: int) -> DataFrame:
     """The sets whose first line is similar to an earlier one."""
-    best = _proposed(firsts, None, tile).groupBy("a").agg(F.max_by("b", "room").alias("b"), F.max("more").alias("more"), (F.min("b") != F.max("b")).alias("others"))
-    best = cut(best)
+    few = stored(_proposed(firsts, None, tile, frequent).groupBy("a", "b").agg(F.max("room").alias("room"), F.max("more").alias("more")))
+    best = cut(few.groupBy("a").agg(F.max_by("b", "room").alias("b")))
     similar = cut(_verified(best, firsts, docs))
-    # Lines whose best partner failed are compared with all others.
-    failed = cut(best.filter("more = 1 or others").join(similar, F.col("a") == F.col("set"), "left_anti").select(F.col("a").alias("set")))
-    if failed.isEmpty():
-        return similar
-    pairs = cut(_proposed(firsts, failed, tile).select("a", "b").distinct().join(best, ["a", "b"], "left_anti"))
-    return cut(similar.union(_verified(pairs, firsts, docs)))
+    # Lines whose best partner failed: the others that they have, then all that a group had more of.
+    left = few.join(similar.toDF("a"), "a", "left_anti")
+    others = cut(left.join(best, ["a", "b"], "left_anti").select("a", "b"))
+    if not others.isEmpty():
+        similar = cut(similar.union(_verified(others, firsts, docs)))
+    failed = cut(left.filter("more = 1").select(F.col("a").alias("set")).distinct().join(similar, "set", "left_anti"))
+    if not failed.isEmpty():
+        every = _proposed(firsts, failed, tile, frequent).select("a", "b").distinct().join(failed.toDF("a"), "a", "left_semi")
+        similar = cut(similar.union(_verified(cut(every.join(few, ["a", "b"], "left_anti")), firsts, docs)))
+    return similar
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, tile: int = TILE) -> DataFrame:
     """doc_id, text_id and line of every line that is removed."""
-    table = stored(lines(docs, ranks(docs), least_words))
+    rank, frequent = ranks(docs, tile)
+    table = stored(lines(docs, rank, least_words))
     firsts = _firsts(table)
-    kept = firsts.join(_dropped(firsts, docs, tile), "set", "left_anti").select("doc", "text_id", "line")
+    kept = firsts.join(_dropped(firsts, docs, tile, frequent), "set", "left_anti").select("doc", "text_id", "line")
     removed = table.select("doc", "text_id", "line").join(kept, ["doc", "text_id", "line"], "left_anti")
     return removed.select(F.nullif("doc", F.lit(_NO_ID)).alias("doc_id"), "text_id", "line")
 

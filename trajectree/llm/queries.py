@@ -28,7 +28,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document that are removed for being similar to an earlier line of the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     removed = line_dedup.removed_by_document(docs)
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_id"), (F.coalesce(feeds, F.lit(0)) + 1).cast("long").alias("n_lines"))
     joined = every.join(removed, every["doc_id"].eqNullSafe(removed["doc_id"]) & (every["text_id"] == removed["text_id"]), "left")
     n = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
     return joined.select(every["doc_id"], "n_lines", n.alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
