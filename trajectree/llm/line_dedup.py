@@ -9,9 +9,9 @@ later line of the same set. Lines of any number of words take part; callers may
 * Prefix: a line of n tokens is joined on its first n - ceil(0.8 n) + 1 tokens; sets of up to three tokens are similar to equal sets only and need none.
 * Length, positional and bitmap filters run inside the group of a token, in numpy: lengths must be within the ratio, what follows the token must leave room
   for the overlap needed, and a parity bitmap (64 bits, 128 for long lines) bounds the size of the symmetric difference from below.
-* A line needs one earlier line that is similar, so each group proposes for each line only the :data:`FEW` partners of least difference, however large the
-  family of near copies; the best of them is verified first, then the others for lines whose best fails, and lines of which a group had more partners and
-  none is similar are compared with all that pass the filters.
+* A line needs one earlier line that is similar, so each group proposes for each line only some partners of least difference (:data:`FEW` where the best is
+  clear of the threshold, :data:`MANY` where it is near), however large the family of near copies; the best of them is verified first, then the others for
+  lines whose best fails. A group that had more partners for a line of which none is similar is read again for that line, and gives all that pass the filters.
 * Proposed pairs are verified by the words themselves, read from the texts again.
 
 Lines with equal sets (equal 128-bit digests) are one line (their first place counts), so copies make no pairs. A token of more than :data:`TILE` lines is
@@ -46,8 +46,8 @@ HASH_BITS = 36
 TOKEN_BITS = HASH_BITS + 16
 #: Trailing hash bits of a token that the join leaves out: other tokens that meet only make more work for the filters.
 JOIN_SHIFT = 20
-#: Earlier partners that a line keeps in each group of the first round.
-FEW = 8
+#: Earlier partners that a line keeps in each group of the first round: if the best has room for :data:`CLEAR` more differing tokens, and if it hasn't.
+CLEAR, FEW, MANY = 3, 2, 32
 #: Tokens beyond which a line's parity bitmap has 128 bits.
 LONG = 88
 #: Lines of one token that are compared in one piece.
@@ -182,8 +182,8 @@ def in_bitmap(table: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _units(rows: DataFrame, tile: int, frequent: int) -> DataFrame:
-    """rows (of a token) with the units in which they are compared: unit, side (0: within the unit; else only with the other side).
+def units(rows: DataFrame, tile: int, frequent: int) -> DataFrame:
+    """rows (token, n, set and others) with the units in which they are compared: unit, side (0: within the unit; else only with the other side).
 
     Only tokens of buckets from the rank ``frequent`` on can have more than ``tile`` rows.
     """
@@ -198,7 +198,9 @@ def _units(rows: DataFrame, tile: int, frequent: int) -> DataFrame:
     tile_of = lambda c, p: F.struct(c.alias("size"), p.alias("part"))
     others = F.flatten(F.transform(F.sequence(size - 1, size + 1), lambda c: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: tile_of(c, p))))
     large = rows.filter("_n is not null").withColumn("mine", tile_of(size, F.pmod(F.xxhash64("set"), parts).cast("int"))).withColumn("other", F.explode(others))
-    unit = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
+    # The token stays in the last 32 bits.
+    tile_pair = F.shiftleft(F.xxhash64(F.least("mine", "other"), F.greatest("mine", "other")), 32)
+    unit = tile_pair.bitwiseOR(F.col("token").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     large = large.withColumn("unit", unit).withColumn("side", side).drop("mine", "other", "_n")
     return few.unionByName(large)
@@ -231,7 +233,7 @@ def met(unit: np.ndarray, side: np.ndarray, n: np.ndarray, at: np.ndarray, bits:
 
 
 def _compare(all_pairs: bool):
-    """Rows in order of unit; for each line with earlier partners in its unit: all of them, or the :data:`FEW` with most room, and whether there are others."""
+    """Rows in order of unit; for each line with earlier partners in its unit: all of them, or some with most room, and at the last of these whether there are others."""
     columns = ["unit", "shape", "set", "doc", "line", "bits", "half"]
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
@@ -251,9 +253,11 @@ def _compare(all_pairs: bool):
             late, early, room = late[order], early[order], room[order]
             first = np.flatnonzero(np.concatenate(([True], late[1:] != late[:-1])))
             nth = np.arange(len(late)) - np.repeat(first, np.diff(np.concatenate((first, [len(late)]))))
-            more = np.concatenate((nth[1:], [0])) == FEW
-            late, early, room, more = (x[nth < FEW] for x in (late, early, room, more))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[late], sets[early], room, more.astype(np.int64))], ["a", "b", "room", "more"])
+            most = np.where(room[first] >= CLEAR, FEW, MANY)[np.cumsum(nth == 0) - 1]
+            more = np.concatenate((nth[1:], [0])) == most
+            late, early, room, more = (x[nth < most] for x in (late, early, room, more))
+        token = unit[late].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[late], sets[early], room, more, token)], ["a", "b", "room", "more", "token"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -273,10 +277,9 @@ def _compare(all_pairs: bool):
 
 
 def _rows_asked(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The prefix rows of all tokens that the sets of ``wanted`` (column set) have, and those sets marked; by bitmaps, so some others may be among them."""
-    context = firsts.sparkSession.sparkContext
-    tokens = firsts.join(wanted, "set", "left_semi").select(F.explode("prefix").alias("token")).select(F.col("token").cast("long").alias("token")).distinct()
-    shared = context.broadcast((bitmap(wanted), bitmap(cut(tokens))))
+    """The prefix rows of the tokens of ``wanted`` (set, token), its sets marked; by bitmaps, so some others may be among them."""
+    asked = bitmap(wanted.select("set").distinct()), bitmap(wanted.select(F.col("token").cast("long").alias("token")).distinct())
+    shared = firsts.sparkSession.sparkContext.broadcast(asked)
     names = ["set", "doc", "line", "n", "bits", "half"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,17 +299,17 @@ def _rows_asked(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _proposed(firsts: DataFrame, wanted: DataFrame | None, tile: int, frequent: int) -> DataFrame:
-    """Pairs a, b (b earlier) of sets that pass the filters: the best few of each unit for each a, or all for the sets a of ``wanted``."""
+    """Pairs a, b (b earlier) of sets that pass the filters: the best few of each unit for each a, or all for the sets and tokens of ``wanted``."""
     if wanted is None:
         rows = firsts.select("set", "doc", "line", "n", "bits", "half", F.lit(1).alias("wanted"), F.posexplode("prefix").alias("at", "token"))
     else:
         rows = _rows_asked(firsts, wanted)
     parts = (F.shiftleft(F.col(c).cast("long"), k) for c, k in (("n", 32), ("at", 3), ("side", 1), ("wanted", 0)))
     shape = sum(parts, F.lit(0).cast("long"))
-    units = _units(rows, tile, frequent).select("unit", shape.alias("shape"), "set", "doc", F.col("line").cast("long").alias("line"), "bits", "half")
+    rows = units(rows, tile, frequent).select("unit", shape.alias("shape"), "set", "doc", F.col("line").cast("long").alias("line"), "bits", "half")
     # By one number alone, so Spark sorts without comparing rows; the lengths are put in order in the batches.
-    units = units.repartition("unit").sortWithinPartitions("unit")
-    return units.mapInArrow(_compare(wanted is not None), "a long, b long, room long, more long")
+    rows = rows.repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(_compare(wanted is not None), "a long, b long, room long, more boolean, token int")
 
 
 def _asked_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -362,17 +365,17 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
 
 def _dropped(firsts: DataFrame, docs: DataFrame, tile: int, frequent: int) -> DataFrame:
     """The sets whose first line is similar to an earlier one."""
-    few = stored(_proposed(firsts, None, tile, frequent).groupBy("a", "b").agg(F.max("room").alias("room"), F.max("more").alias("more")))
+    proposed = stored(_proposed(firsts, None, tile, frequent))
+    few = cut(proposed.groupBy("a", "b").agg(F.max("room").alias("room")))
     best = cut(few.groupBy("a").agg(F.max_by("b", "room").alias("b")))
     similar = cut(_verified(best, firsts, docs))
     # Lines whose best partner failed: the others that they have, then all that a group had more of.
-    left = few.join(similar.toDF("a"), "a", "left_anti")
-    others = cut(left.join(best, ["a", "b"], "left_anti").select("a", "b"))
+    others = cut(few.join(similar.toDF("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
     if not others.isEmpty():
         similar = cut(similar.union(_verified(others, firsts, docs)))
-    failed = cut(left.filter("more = 1").select(F.col("a").alias("set")).distinct().join(similar, "set", "left_anti"))
+    failed = cut(proposed.filter("more").select(F.col("a").alias("set"), "token").distinct().join(similar, "set", "left_anti"))
     if not failed.isEmpty():
-        every = _proposed(firsts, failed, tile, frequent).select("a", "b").distinct().join(failed.toDF("a"), "a", "left_semi")
+        every = _proposed(firsts, failed, tile, frequent).select("a", "b").distinct().join(failed.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
         similar = cut(similar.union(_verified(cut(every.join(few, ["a", "b"], "left_anti")), firsts, docs)))
     return similar
 
