@@ -36,6 +36,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def spaced(text: Column) -> Column:
+    """A text with a space for each other blank."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
+
+
+def fast_words(text: Column) -> Column:
+    """As :func:`words` for a text that isn't null, split at spaces without a pattern, which Spark does many times faster."""
+    return F.array_remove(F.split(spaced(text), " "), "")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

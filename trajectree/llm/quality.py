@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import cut, words
+from trajectree.llm.common import cut, fast_words, spaced
 
 BUCKETS = 1 << 14
 WORD_BUCKETS = 1 << 16
@@ -33,26 +33,27 @@ MOST_REPEATS = 50
 
 
 def _shapes(text: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Ll}+", "a")
-    return words(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}+", "A"), r"\p{N}+", "0"))
+    for kind, letter in ((r"\p{Ll}+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")):
+        text = F.regexp_replace(text, kind, letter)
+    return text
 
 
-def _bucket(*parts: Column, buckets: int = BUCKETS) -> Column:
-    return F.xxhash64(*parts).bitwiseAND(F.lit(buckets - 1)).cast("int")
+def _pairs(name: str) -> Column:
+    """The hash of each of a column's hashes with the next."""
+    m = F.greatest(F.size(name) - 1, F.lit(0))
+    return F.zip_with(F.slice(name, 1, m), F.slice(name, 2, m), lambda a, b: F.xxhash64(a, b))
 
 
-def _grams(docs: DataFrame, words: Column, buckets: int, name: str) -> DataFrame:
-    """docs with the hashed words and neighbouring pairs as a column."""
-    docs = docs.withColumn("_hashes", F.transform(words, lambda s: F.xxhash64(s)))
-    n = F.size("_hashes")
-    pair = lambda a, b: _bucket(a, b, buckets=buckets)
-    pairs = F.zip_with(F.slice("_hashes", 1, F.greatest(n - 1, F.lit(0))), F.slice("_hashes", 2, F.greatest(n - 1, F.lit(0))), pair)
-    return docs.withColumn(name, F.concat(F.transform("_hashes", lambda h: _bucket(h, buckets=buckets)), pairs)).drop("_hashes")
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with the hashes of each text's words, shapes and neighbouring pairs of both: _words, _word_pairs, _shapes, _shape_pairs."""
+    text = F.coalesce("text", F.lit(""))
+    each = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    docs = docs.withColumn("_words", each(fast_words(text))).withColumn("_shapes", each(fast_words(_shapes(text))))
+    return docs.withColumn("_word_pairs", _pairs("_words")).withColumn("_shape_pairs", _pairs("_shapes"))
 
 
-def ngrams(docs: DataFrame) -> DataFrame:
-    """docs with _buckets (the hashed shapes and neighbouring pairs of each text) and _word_buckets (those of its words)."""
-    return _grams(_grams(docs, _shapes(F.col("text")), BUCKETS, "_buckets"), words(F.lower("text")), WORD_BUCKETS, "_word_buckets")
+def _bucket(hash: Column, buckets: int) -> Column:
+    return hash.bitwiseAND(F.lit(buckets - 1)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
@@ -65,8 +66,10 @@ def ratios(docs: DataFrame, labels: DataFrame) -> tuple[Column, Column]:
     """The log ratio of each bucket's trusted and raw likelihood, add-one smoothed: for shapes and for words, each as one constant array of doubles."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("_trusted"), "left")
     # Words' buckets follow those of shapes, so all are counted at once.
-    both = F.concat("_buckets", F.transform("_word_buckets", lambda b: b + BUCKETS))
-    grams = ngrams(marked).select("_trusted", F.explode(both).alias("bucket"))
+    each = {"_shapes": (0, BUCKETS), "_shape_pairs": (0, BUCKETS), "_words": (BUCKETS, WORD_BUCKETS), "_word_pairs": (BUCKETS, WORD_BUCKETS)}
+    both = F.array(*(F.col(c) for c in each))
+    spread = hashed(marked).select("_trusted", F.posexplode(both).alias("kind", "hashes")).select("_trusted", "kind", F.explode("hashes").alias("h"))
+    grams = spread.select("_trusted", F.when(F.col("kind") < 2, _bucket(F.col("h"), BUCKETS)).otherwise(_bucket(F.col("h"), WORD_BUCKETS) + BUCKETS).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_trusted").alias("good")))
 
     def made(first: int, buckets: int) -> Column:
@@ -82,11 +85,11 @@ def ratios(docs: DataFrame, labels: DataFrame) -> tuple[Column, Column]:
 
 
 def _repeats(docs: DataFrame) -> DataFrame:
-    """docs (with _words) with n_repeat_words: the words in three-word windows that the text has twice or more."""
-    docs = docs.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    m = F.greatest(F.size("_hashes") - 2, F.lit(0))
-    first_two = F.zip_with(F.slice("_hashes", 1, m), F.slice("_hashes", 2, m), lambda a, b: F.xxhash64(a, b))
-    docs = docs.withColumn("_windows", F.zip_with(first_two, F.slice("_hashes", 3, m), lambda a, b: F.xxhash64(a, b))).drop("_hashes")
+    """docs (with _words and _word_pairs) with n_repeat_words: the words in three-word windows that the text has twice or more."""
+    m = F.greatest(F.size("_words") - 2, F.lit(0))
+    docs = docs.withColumn("_windows", F.zip_with(F.slice("_word_pairs", 1, m), F.slice("_words", 3, m), lambda a, b: F.xxhash64(a, b)))
+    # Most texts repeat no window and are done here.
+    docs = docs.withColumn("_windows", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.col("_windows")).otherwise(F.array().cast("array<bigint>")))
     docs = docs.withColumn("_bits", F.length(F.bin(F.size("_windows"))))
     packed = F.transform("_windows", lambda h, i: F.call_function("shiftleft", F.coalesce(h, F.lit(0)), F.col("_bits")).bitwiseOR(i.cast("long")))
     docs = docs.withColumn("_sorted", F.sort_array(packed)).drop("_windows")
@@ -102,36 +105,36 @@ def _repeats(docs: DataFrame) -> DataFrame:
 
 
 def rules(docs: DataFrame) -> DataFrame:
-    """docs with the counts of the base rules and base_failed."""
+    """docs (with :func:`hashed`'s columns) with the counts of the base rules and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.withColumn("_words", words(F.col("text")))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    blank = F.lit(" \t\n\x0b\x0c\r")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, blank) != "")
     docs = docs.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "word_chars": F.length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
             "_lines": lines,
         }
     )
     docs = docs.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    docs = _repeats(docs).drop("_words")
+    docs = _repeats(docs)
     return docs.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATS * F.col("n_words")))
 
 
-def _adding(ratio: Column) -> Callable[[Column, Column], Column]:
-    return lambda s, b: s + F.get(ratio, b)
+def _score(ratio: Column, buckets: int, *names: str) -> Column:
+    """The mean ratio of some columns' hashes, 0 if there are none."""
+    add: Callable[[Column, Column], Column] = lambda s, h: s + F.get(ratio, _bucket(h, buckets))
+    total = sum((F.aggregate(c, F.lit(0.0), add) for c in names), F.lit(0.0))
+    return F.coalesce(F.try_divide(total, sum((F.size(c) for c in names), F.lit(0)).cast("double")), F.lit(0.0))
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and others) with the rules' counts, score and kept."""
-    scored = ngrams(docs)
-    for name, ratio in zip(("_buckets", "_word_buckets"), ratios(docs, labels)):
-        total = F.aggregate(name, F.lit(0.0), _adding(ratio))
-        scored = scored.withColumn(f"{name}_sum", total)
-    mean = lambda name: F.when(F.size(name) > 0, F.col(f"{name}_sum") / F.size(name)).otherwise(0.0)
-    scored = scored.withColumn("score", F.least(mean("_buckets"), mean("_word_buckets"))).drop("_buckets", "_word_buckets", "_buckets_sum", "_word_buckets_sum")
-    return rules(scored).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
+    shapes, words = ratios(docs, labels)
+    score = F.least(_score(shapes, BUCKETS, "_shapes", "_shape_pairs"), _score(words, WORD_BUCKETS, "_words", "_word_pairs"))
+    scored = rules(hashed(docs).withColumn("score", score)).drop("_words", "_word_pairs", "_shapes", "_shape_pairs")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LEAST_SCORE))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
