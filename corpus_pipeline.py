@@ -11,7 +11,7 @@ from trajectree.llm.common import shared_folder, table
 
 #: Bits within which fingerprints propose near copies in the pipeline. It only says which pairs are tried first: all that are near copies are found by their
 #: shingles, and each pair is verified.
-NEAR_COPY_RADIUS = 6
+NEAR_COPY_RADIUS = 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
