@@ -45,7 +45,9 @@ def test_edit_distance_is_a_metric(a, b, c):
         ("while n:\n    n -= 1", "while True:\n    if not n:\n        break\n    n = n - 1"),
         ("while True:\n    pass", "while True:\n    pass"),
         ("for i in range(3):\n    print(i)", "_it1 = iter(range(0, 3, 1))\nwhile True:\n    try:\n        i = next(_it1)\n    except StopIteration:\n        break\n    print(i)"),
+        ("for x in [1]:\n    pass\nelse:\n    print(x > 0)", "for x in [1]:\n    pass\nelse:\n    print(0 < x)"),
         ("a =", None),
+        ("x = " + "-" * 3000 + "1", None),
     ],
 )
 def test_standard_form(code, form):
@@ -60,6 +62,11 @@ def test_nodes():
     assert [r[5] for r in rows if r[7] == 0] == ["Assign/Name", "Assign/BinOp/Name", "Assign/BinOp/Add", "Assign/BinOp/Name"]
     assert rows[0][7:9] == (3, 7) and rows[1][10] and nodes_of("x =") is None
     assert nodes_of("y = 1\nx = a + b")[4][9] == rows[1][9]
+    whole = lambda code: nodes_of(code)[0][9]
+    assert whole("import a as b") != whole("import a as c") != whole("import a") and whole("from m import a as b") == whole("from m import a as b")
+    assert [r[4] for r in nodes_of("import a as b, c")[2:]] == ["alias:a:b", "alias:c:None"]
+    deep = "x = " + "-" * 3000 + "1"
+    assert len(nodes_of(deep)) > 6000 and edit_distance(deep, "x = 1") is None
 
 
 def test_unparsable_programs_have_no_nodes(spark):
@@ -93,6 +100,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "data" / "p2").mkdir()
     (tmp_path / "data" / "p2" / "meta.json").write_text("not json")
     path = str(tmp_path / "data")
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        tables.trajectories(spark, path).collect()
+    (folder / "trajectories.jsonl").write_text(json.dumps(record, ensure_ascii=False) + "\n")
     assert [(r["seq"], r["sid"], r["code"]) for r in tables.trajectories(spark, path).orderBy("seq").collect()] == [(0, "s1", "x"), (1, "s2", "é")]
     assert sorted((r["pid"], r["test_id"], r["input"]) for r in tables.tests(spark, path).collect()) == [("p1", 0, "1"), ("p1", 1, "3")]
     assert dict(tables.time_limits(spark, path).collect()) == {"p1": 1.5, "p2": 2.0}

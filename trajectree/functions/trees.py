@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ast
 
+#: What parsing and walking a program may raise: bad code, or code nested too deeply.
+UNREADABLE = (SyntaxError, ValueError, RecursionError, MemoryError)
 #: Kinds whose value is part of the label in distances (fixed values).
 VALUED = {"Name": "id", "Constant": "value", "arg": "arg", "Attribute": "attr"}
 
@@ -31,7 +33,7 @@ def edit_distance(a: str | None, b: str | None) -> int | None:
     """Least inserts, deletes and relabels between two programs' trees (Zhang and Shasha); None if one can't be parsed."""
     try:
         (la, fa), (lb, fb) = _postorder(a or ""), _postorder(b or "")
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return None
     if a is None or b is None:
         return None
@@ -93,20 +95,22 @@ class _Standard(ast.NodeTransformer):
         leave = ast.If(ast.UnaryOp(ast.Not(), node.test), [ast.Break()], [])
         return ast.While(ast.Constant(True), [leave, *node.body], [])
 
-    def visit_For(self, node: ast.For) -> list[ast.AST]:
+    def visit_For(self, node: ast.For) -> ast.AST | list[ast.AST]:
         self.generic_visit(node)
+        if node.orelse:  # what follows a loop that ends by itself would be left with the rewritten loop's break
+            return node
         self.loops += 1
         name = f"_it{self.loops}"
         call = lambda f, x: ast.Call(ast.Name(f, ast.Load()), [x], [])
         step = ast.Assign([node.target], call("next", ast.Name(name, ast.Load())))
         stop = ast.ExceptHandler(ast.Name("StopIteration", ast.Load()), None, [ast.Break()])
-        loop = ast.While(ast.Constant(True), [ast.Try([step], [stop], [], []), *node.body], node.orelse)
+        loop = ast.While(ast.Constant(True), [ast.Try([step], [stop], [], []), *node.body], [])
         return [ast.Assign([ast.Name(name, ast.Store())], call("iter", node.iter)), loop]
 
 
 def standard_form(code: str | None) -> str | None:
-    """A program with ranges, comparisons, updates and loops in one form; None if it can't be parsed."""
+    """A program with ranges, comparisons, updates and loops in one form; loops with an else stay. None if it can't be parsed or is nested too deeply."""
     try:
         return ast.unparse(ast.fix_missing_locations(_Standard().visit(ast.parse(code)))) if code is not None else None
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return None

@@ -14,26 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajectree.functions.trees import edit_distance, standard_form
+from trajectree.functions.trees import UNREADABLE, edit_distance, standard_form
 from trajectree.registry import query
 from trajectree.sources.programs import programs
 
 NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean"
 #: The attribute whose value is part of a node's label, for the kinds that have one (fixed values).
-VALUED = {"Name": "id", "arg": "arg", "keyword": "arg", "Attribute": "attr", "ImportFrom": "module", "alias": "name", "FunctionDef": "name"}
+VALUED = {"Name": "id", "arg": "arg", "keyword": "arg", "Attribute": "attr", "ImportFrom": "module", "FunctionDef": "name"}
 
 
 def nodes_of(code: str) -> list[tuple] | None:
-    """The nodes of a program in preorder, contexts (Load, Store, Del) left out; None if it can't be parsed."""
+    """The nodes of a program in preorder, contexts (Load, Store, Del) left out; None if it can't be parsed or is nested too deeply."""
     try:
         todo = [(ast.parse(code), -1, "", "", 0)]
-    except (SyntaxError, ValueError):
+    except UNREADABLE:
         return None
     out: list[list] = []
     while todo:
         tree, parent, slot, path, depth = todo.pop()
         kind = type(tree).__name__
         label = f"Const:{tree.value!r}" if kind == "Constant" else f"{kind}:{getattr(tree, VALUED[kind])}" if kind in VALUED else kind
+        if kind == "alias":  # import a as b
+            label = f"alias:{tree.name}:{tree.asname}"
         path = path + "/" + kind if path else kind * (parent >= 0)
         out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt)])
         below = []

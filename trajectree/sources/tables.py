@@ -13,8 +13,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """One row per submission of <path>/<pid>/trajectories.jsonl, in order (seq); malformed lines are dropped."""
-    read = spark.read.schema(SUBMISSIONS).option("mode", "DROPMALFORMED").json(f"{path}/*/trajectories.jsonl")
+    """One row per submission of <path>/<pid>/trajectories.jsonl, in order (seq); a malformed line is an error, as none may be lost unseen."""
+    read = spark.read.schema(SUBMISSIONS).option("mode", "FAILFAST").json(f"{path}/*/trajectories.jsonl")
     return read.select("problem_id", "user_id", F.posexplode("submissions").alias("seq", "s")).select("problem_id", "user_id", "seq", "s.*")
 
 
