@@ -239,6 +239,21 @@ def test_packing_places_each_id_once(odd, empty, limits):
     assert packing.pack(empty).count() == 0
 
 
+def test_prompts_bear_no_loss(spark):
+    rows = [(k, words(10 + k, 600 + k), 5 * k if k % 3 else None) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, silent long").withColumn("offset", F.lit("x")).withColumn("_prompt", F.lit(9))
+    limits = packing.Limits(256, 16, 60)
+    found = packing.pack(docs, limits, prompt="silent").collect()
+    silent = {d: p if p is not None else 1 for d, _, p in rows}
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append(r)
+        assert r["loss_tokens"] == max(0, r["start"] + r["length"] - max(r["start"], silent[r["doc_id"]]))
+    sums = [(sum(r["length"] for r in s), len(s), sum(r["loss_tokens"] for r in s)) for s in sequences.values()]
+    assert all(a <= 256 and b <= 16 and c <= 60 for a, b, c in sums) and sum(c == 60 for *_, c in sums) > len(sums) / 2
+    assert sum(r["length"] for r in found) == sum(r["doc_tokens"] for r in found if r["start"] == 0)
+
+
 def test_suffix_array_of_any_string():
     import random
 
@@ -341,6 +356,14 @@ def test_embedding_links(spark, tile):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
 
 
+def test_labels_keep_their_type(spark):
+    v = [1.0, 2.0, 3.0]
+    for kind, labels in (("double", [1.2, 1.7, 1.2]), ("string", ["x", "y", "x"]), ("long", [3_000_000_000, 5, 3_000_000_000])):
+        rows = [(k, v, label) for k, label in enumerate(labels)]
+        frame = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}").withColumn("rep", F.lit("x")).withColumn("n", F.lit(1))
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(frame).collect()) == [(0, 1, 0), (1, 0, 1), (2, 1, 0)]
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -361,6 +384,23 @@ def test_language_of_held_out_rows(spark, odd, empty):
     assert nothing.languages == [] and langid.identify(empty, model).count() == 0 and langid.identify(odd, nothing).first()["lang_pred"] == "und"
 
 
+def test_language_against_plain_naive_bayes(spark, odd):
+    train = [(r[1], r[2]) for r in odd_rows() if r[1] is not None and r[2] is not None]
+    counts = {x: sum(langid.buckets(t) for t, lang in train if lang == x) for x in {lang for _, lang in train}}
+    model = langid.train(odd)
+    for most in (1, 2, langid.MOST_LANGUAGES):
+        for (_, text, *_), r in zip(odd_rows(), langid.identify(odd.coalesce(1), model, most).collect()):
+            if text is None or not any(c.isalpha() for c in text):
+                assert (r["lang_pred"], r["score"]) == ("und", 0)
+                continue
+            logs = {}
+            for x, c in counts.items():
+                p = np.log((c + 1) / (c.sum() + langid.BUCKETS))
+                logs[x] = (math.log(sum(lang == x for _, lang in train) / len(train)) + float(langid.buckets(text) @ p)) / len(text)
+            best = max(sorted(logs), key=logs.get)
+            assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values())) and r["score"] < 1
+
+
 def test_hashed_ngrams_of_long_texts_are_cut_alike(monkeypatch):
     text = "Über den Fluß " * 50
     whole = langid.buckets(text)

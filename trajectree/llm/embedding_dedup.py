@@ -7,7 +7,7 @@ products of leading dimensions come first; the rest of a product is at most the
 there. Those left are decided by the cosine of the vectors as given, in double precision. Equal vectors of a label are compared once, with their number.
 
 Defined results: a vector that is null, empty, zero or has null or non-finite components, or whose label is null, links with nothing (n_links 0, its own
-component); vectors of different lengths never link; repeated rows are copies, and a row doesn't count itself; an empty table gives an empty result.
+component); labels are compared as they are, of any type that can be grouped; vectors of different lengths never link; repeated rows are copies, and a row doesn't count itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def _lead(reps: DataFrame, fitted: dict[int, np.ndarray]) -> DataFrame:
                     band[at] = np.floor(lead / (width + SLACK))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(band)], [*batch.schema.names, "band"])
 
-    return reps.mapInArrow(run, "rep long, n long, label int, vector array<double>, band long")
+    return reps.mapInArrow(run, f"rep long, n long, label {reps.schema['label'].dataType.simpleString()}, vector array<double>, band long")
 
 
 def close_pairs(x: np.ndarray, y: np.ndarray, basis: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +143,7 @@ def _links(reps: DataFrame, tile: int) -> DataFrame:
 def near_duplicates(vectors: DataFrame, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding, label)."""
     as_double = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), as_double.alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", as_double.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = F.coalesce(F.col("label").isNotNull() & finite, F.lit(False))
     rows = cut(rows.withColumn("key", F.when(usable, F.col("vector"))))

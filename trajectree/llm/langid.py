@@ -2,7 +2,8 @@
 
 Characters are lower-cased; n-grams of one to three code points are hashed into a fixed number of buckets. Training sums bucket counts per language over
 every labelled row in Spark; the log-probability matrix (languages x buckets, a size fixed by parameters) goes to the tasks, which score whole texts in
-numpy, a sparse count vector for each document.
+numpy, as a product of the batch's sparse counts and the matrix. More than :data:`MOST_LANGUAGES` languages are scored in blocks of so many, one after the
+other, with the best and the sum carried along. The score is the posterior of the evidence a character has on average, so it doesn't end at 1 for any long text.
 
 Defined results: null text, or a text without a letter, is ``und`` with score 0; so is every text if nothing was learned. Rows with null language are not
 learned from. Equal scores go to the first language by code point. Other columns are ignored.
@@ -19,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajectree.llm.common import cut
+
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 #: Texts are hashed in pieces of so many code points, so a task's memory doesn't follow the longest text.
 PIECE = 1 << 18
-#: More distinct language values than this are refused, so the matrix has a fixed bound.
+#: Languages in one matrix; beyond, there are several.
 MOST_LANGUAGES = 200
+#: Counts that one sparse product holds, about.
+COUNTS = 1 << 18
 UNKNOWN = "und"
 
 
@@ -68,48 +73,95 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass(frozen=True)
-class Model:
+class Block:
+    """Some languages: log probabilities (buckets x languages) and log priors."""
+
     languages: list[str]
-    #: Log probabilities, buckets x languages, and log priors.
     matrix: np.ndarray
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
-        counts = buckets(text)
-        at = np.flatnonzero(counts)
-        log = self.prior + counts[at] @ self.matrix[at]
-        best = int(log.argmax())
-        return self.languages[best], float(1 / np.exp(log - log[best]).sum())
+    def logs(self, counts: list[np.ndarray]) -> np.ndarray:
+        """Texts x languages: log prior and log likelihood of each text's bucket counts."""
+        at = [np.flatnonzero(c) for c in counts]
+        begin = np.cumsum([0, *map(len, at[:-1])])
+        columns, values = np.concatenate(at), np.concatenate([c[a] for c, a in zip(counts, at)])
+        return np.add.reduceat(self.matrix[columns] * values[:, None], begin, axis=0) + self.prior
+
+
+@dataclass(frozen=True)
+class Model:
+    languages: list[str]
+    #: Log priors, and the counts of the training rows (lang, bucket, n).
+    prior: dict[str, float]
+    counts: DataFrame
+    smoothing: float
+
+    def blocks(self, most: int) -> Iterator[Block]:
+        """The languages in code-point order, so many at a time; only one block's counts are gathered at a time."""
+        for first in range(0, len(self.languages), most):
+            mine = self.languages[first : first + most]
+            rows = self.counts.filter(F.col("lang").isin(mine)).toArrow()
+            place = {x: i for i, x in enumerate(mine)}
+            sums = np.zeros((BUCKETS, len(mine)))
+            sums[rows["bucket"].to_numpy(), [place[x] for x in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+            matrix = np.log(sums + self.smoothing) - np.log((sums + self.smoothing).sum(0))
+            yield Block(mine, matrix, np.array([self.prior[x] for x in mine]))
 
 
 def train(docs: DataFrame, smoothing: float = 1.0) -> Model:
     """The model of all rows of ``docs`` (text, lang) that have both."""
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
-    counts = known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    per_lang = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(per_lang) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    languages = sorted(per_lang)
-    sums = np.zeros((BUCKETS, len(languages)))
-    if languages:
-        rows = counts.toPandas()
-        sums[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(languages)})] = rows["n"]
-    matrix = np.log(sums + smoothing) - np.log((sums + smoothing).sum(0)) if languages else sums
-    prior = np.log(np.array([per_lang[x] for x in languages], float) / max(1, sum(per_lang.values())))
-    return Model(languages, matrix, prior)
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row; only the text is looked at for the prediction."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    counts = cut(known.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    per_lang = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(per_lang.values()))
+    return Model(sorted(per_lang), {x: float(np.log(n / total)) for x, n in per_lang.items()}, counts, smoothing)
+
+
+def _scorer(shared):
+    """Adds a block's languages to what earlier blocks found: the best, its log, and the sum of all relative to it (logs are per character)."""
+
+    def texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray], list[int]]]:
+        rows, counts, lengths, held = [], [], [], 0
+        for k, text in enumerate(batch["text"]):
+            said = text.as_py()
+            if said is None or not has_letter(said):
+                continue
+            rows.append(k)
+            counts.append(buckets(said))
+            lengths.append(len(said))
+            held += int((counts[-1] > 0).sum())
+            if held > COUNTS:
+                yield rows, counts, lengths
+                rows, counts, lengths, held = [], [], [], 0
+        if rows:
+            yield rows, counts, lengths
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        names = np.array(block.languages, object)
         for batch in batches:
-            found = [shared.value.predict(x.as_py()) for x in batch["text"]]
-            arrays = [batch["doc_id"], batch["held_out"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+            best = np.array(batch["lang_pred"].to_pylist(), object)
+            log, total = (batch[c].to_numpy().copy() for c in ("_log", "_sum"))
+            for rows, counts, lengths in texts(batch):
+                logs = block.logs(counts) / np.array(lengths)[:, None]
+                top = logs.max(1)
+                sums, at = np.exp(logs - top[:, None]).sum(1), np.array(rows)
+                new = top > log[at]
+                both = np.maximum(top, log[at])
+                total[at] = total[at] * np.exp(log[at] - both) + sums * np.exp(top - both)
+                best[at[new]] = names[logs.argmax(1)[new]]
+                log[at] = both
+            done = [pa.array(best, pa.string()), pa.array(log), pa.array(total)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], batch["text"], *done], ["doc_id", "held_out", "text", "lang_pred", "_log", "_sum"])
+
+    return score
+
+
+def identify(docs: DataFrame, model: Model, most: int = MOST_LANGUAGES) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row; only the text is looked at for the prediction."""
+    start = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(float("-inf")).alias("_log"), F.lit(0.0).alias("_sum")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", *start)
+    for block in model.blocks(most):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        rows = rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, text string, lang_pred string, _log double, _sum double")
+    return rows.select("doc_id", "held_out", "lang_pred", F.when(F.col("_sum") > 0, 1 / F.col("_sum")).otherwise(0.0).alias("score"))

@@ -123,8 +123,11 @@ class Packer:
         self.packed += 1
 
 
-def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None) -> DataFrame:
-    """A row for each piece of each document (doc_id, text), see :data:`SCHEMA`."""
+def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None, prompt: str | None = None) -> DataFrame:
+    """A row for each piece of each document (doc_id, text), see :data:`SCHEMA`.
+
+    prompt: a column with the number of leading ids of each document that bear no loss (null, or no such column: the first only).
+    """
     path = path or default_path()
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -138,13 +141,14 @@ def pack(docs: DataFrame, limits: Limits = Limits(), path: str | None = None) ->
             return out
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
+            for doc_id, text, silent in zip(batch["doc_id"].to_pylist(), batch["text"], batch["_prompt"].to_pylist()):
                 ids = np.array([*encode.ids(text.as_py() or ""), END], "<u4")
-                rows.extend(packer.add(Piece(doc_id, ids, 0, len(ids))))
+                rows.extend(packer.add(Piece(doc_id, ids, 0, len(ids), silent)))
                 if len(rows) > 10_000:
                     yield batch_of()
         rows.extend(packer.finish())
         if rows:
             yield batch_of()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    silent = F.coalesce(F.col(prompt).cast("long") if prompt else F.lit(None).cast("long"), F.lit(1).cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", silent.alias("_prompt")).mapInArrow(run, SCHEMA)
