@@ -13,6 +13,9 @@ from trajectree.llm.common import shared_folder, table
 #: shingles, and each pair is verified.
 NEAR_COPY_RADIUS = 3
 
+#: Part of a document (of 50 words or more) that line dedup must leave, or the document goes: what is left of a near copy is no document.
+LEAST_LEFT = 0.5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -20,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go, however short, and documents of which nothing is left."""
-    return line_dedup.deduplicate(docs, least_words=1)
+    """Lines similar to an earlier line go, however short, and documents of which less than half is left: by lines, they are near copies."""
+    return line_dedup.deduplicate(docs, least_words=1, least_left=LEAST_LEFT)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
