@@ -42,7 +42,10 @@ select user_id, max_by(event_id, seq) as event_id, cast(sum(case when event_type
 def stream_first_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table read as a stream, once through what is there."""
     events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = f"{shared or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
     run = first_accepts(events).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{folder}/out")
