@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajectree.functions.text import tokens
@@ -17,22 +17,22 @@ def token_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream(docs: DataFrame, key: str) -> DataFrame:
-    """key, pos, tok and the three tokens after it, by one window."""
-    order = Window.partitionBy(key).orderBy("pos")
-    rows = docs.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
-    return rows.select("*", *(F.lead("tok", k).over(order).alias(f"t{k}") for k in (1, 2, 3)))
+    """key, tok and the three tokens after it, by shifting each text's array of tokens: nothing is shuffled."""
+    rows = docs.select(key, tokens(F.col("text")).alias("all"))
+    ahead = F.transform("all", lambda tok, at: F.struct(tok.alias("tok"), *(F.get("all", at + k).alias(f"t{k}") for k in (1, 2, 3))))
+    return rows.select(key, F.inline(ahead))
 
 
 def _grams(spark: SparkSession, sf_dir: str, gram: Column) -> DataFrame:
-    rows = stream(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", gram.alias("gram")).filter("gram is not null")
-    return rows.groupBy("item_id", "gram").agg(F.count("*").alias("cnt"))
+    rows = stream(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", gram.alias("gram")).filter("gram is not null")
+    return rows.groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
 
 
 def _sql(gram: str) -> str:
     return f"""
-with t as (select item_id, unnest({_TOK}) as tok, generate_subscripts({_TOK}, 1) as pos from benchmark),
-s as (select item_id, tok, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2, lead(tok, 3) over w as t3 from t window w as (partition by item_id order by pos))
-select item_id, {gram} as gram, count(*) as cnt from s where {gram} is not null group by all"""
+with t as (select doc_id, unnest({_TOK}) as tok, generate_subscripts({_TOK}, 1) as pos from documents),
+s as (select doc_id, tok, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2, lead(tok, 3) over w as t3 from t window w as (partition by doc_id order by pos))
+select doc_id, {gram} as gram, count(*) as cnt from s where {gram} is not null group by all"""
 
 
 @query(_sql("tok || '/' || t1"))
@@ -56,14 +56,14 @@ def four_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with t as (select item_id, unnest({_TOK}) as tok, generate_subscripts({_TOK}, 1) as pos from benchmark),
-s as (select item_id, tok, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2 from t window w as (partition by item_id order by pos)),
-f as (select item_id, 'U:' || tok as feature, 2 as n from s union all select item_id, 'B:' || tok || '/' || t1, 1 from s
-  union all select item_id, 'T:' || tok || '/' || t1 || '/' || t2, 1 from s union all select item_id, 'S:' || tok || '/' || t2, 1 from s)
-select item_id, feature, cast(sum(n) as bigint) as cnt from f where feature is not null group by all""")
+with t as (select doc_id, unnest({_TOK}) as tok, generate_subscripts({_TOK}, 1) as pos from documents),
+s as (select doc_id, tok, lead(tok, 1) over w as t1, lead(tok, 2) over w as t2 from t window w as (partition by doc_id order by pos)),
+f as (select doc_id, 'U:' || tok as feature, 2 as n from s union all select doc_id, 'B:' || tok || '/' || t1, 1 from s
+  union all select doc_id, 'T:' || tok || '/' || t1 || '/' || t2, 1 from s union all select doc_id, 'S:' || tok || '/' || t2, 1 from s)
+select doc_id, feature, cast(sum(n) as bigint) as cnt from f where feature is not null group by all""")
 def weighted_feature_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigrams at weight 2; bigrams, trigrams and one-skip bigrams at 1."""
     kinds = {"U": ("tok",), "B": ("tok", "t1"), "T": ("tok", "t1", "t2"), "S": ("tok", "t2")}
     parts = [F.struct(F.expr(f"'{k}:' || " + " || '/' || ".join(c)).alias("feature"), F.lit(1 + (k == "U")).alias("n")) for k, c in kinds.items()]
-    rows = stream(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", F.inline(F.array(*parts))).filter("feature is not null")
-    return rows.groupBy("item_id", "feature").agg(F.sum("n").alias("cnt"))
+    rows = stream(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.inline(F.array(*parts))).filter("feature is not null")
+    return rows.groupBy("doc_id", "feature").agg(F.sum("n").alias("cnt"))

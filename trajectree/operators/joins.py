@@ -38,12 +38,20 @@ def complete_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select a.p_partkey as part, count(*) as n_candidates, min(b.p_partkey) as first_candidate from part a join part b
 on a.p_type = b.p_type and a.p_brand = b.p_brand and b.p_size between 0.5 * a.p_size and 2.0 * a.p_size and a.p_partkey <> b.p_partkey group by 1""")
 def band_join_size_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same type, sizes within a factor of two: the ratio stays in the join's condition, before any costly comparison."""
+    """Parts of the same type and sizes within a factor of two. Sizes are joined, not parts: a part's candidates are counted by size, so none are paired."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    a, b = part.alias("a"), part.alias("b")
-    near = F.col("b.p_size").between(0.5 * F.col("a.p_size"), 2.0 * F.col("a.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey"))
-    met = a.join(b, (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_brand") == F.col("b.p_brand")) & near)
-    return met.groupBy(F.col("a.p_partkey").alias("part")).agg(F.count("*").alias("n_candidates"), F.min("b.p_partkey").alias("first_candidate"))
+    of = ["p_type", "p_brand"]
+    first = F.row_number().over(Window.partitionBy(*of, "p_size").orderBy("p_partkey"))
+    two = part.withColumn("k", first).filter("k <= 2").groupBy(*of, "p_size").agg(F.sort_array(F.collect_list("p_partkey")).alias("two"))
+    sizes = part.groupBy(*of, "p_size").agg(F.count("*").alias("n")).join(two, [*of, "p_size"])
+    other = sizes.select(*of, F.col("p_size").alias("size"), F.col("n").alias("m"), F.col("two").alias("others"))
+    near = F.col("size").between(0.5 * F.col("p_size"), 2.0 * F.col("p_size"))
+    bands = sizes.join(other, of).filter(near).groupBy(*of, "p_size")
+    others = F.slice(F.sort_array(F.flatten(F.collect_list("others"))), 1, 2)
+    bands = bands.agg(F.sum("m").alias("m"), others.alias("two"))
+    found = part.join(bands, [*of, "p_size"]).filter("m > 1")
+    pick = F.when(F.col("two")[0] == F.col("p_partkey"), F.col("two")[1]).otherwise(F.col("two")[0])
+    return found.select(F.col("p_partkey").alias("part"), (F.col("m") - 1).alias("n_candidates"), pick.alias("first_candidate"))
 
 
 @query("""

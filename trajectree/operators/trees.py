@@ -74,6 +74,25 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flattened(programs(spark, sf_dir).select(F.col("event_id").alias("prog"), "code"))
 
 
+#: Depth and label of each template's nodes in preorder, for the queries' SQL; {u} and {e} as in the templates (fixed values).
+_OUTLINES = {
+    "error": "0 Module,1 Assign,2 Name:x,2 Const:{u},1 Expr,2 Call,3 Name:print,3 Name:x",
+    "click": "0 Module,1 For,2 Name:i,2 Call,3 Name:range,3 Const:{u},2 Expr,3 Call,4 Name:print,4 Name:i",
+    "view": "0 Module,1 Assign,2 Name:n,2 Call,3 Name:int,3 Call,4 Name:input,1 If,2 Compare,3 Name:n,3 Gt,3 Const:{e},2 Expr,3 Call,4 Name:print,4 Name:n",
+    "signup": "0 Module,1 Assign,2 Name:total,2 Const:0,1 AugAssign,2 Name:total,2 Add,2 Const:{u},1 Expr,2 Call,3 Name:print,3 Name:total",
+    "purchase": "0 Module,1 Assign,2 Name:x,2 Const:{u},1 Assign,2 Name:y,2 Const:{e},1 Expr,2 Call,3 Name:print,3 Name:x,3 Name:y",
+}
+_ROWS = ", ".join(f"('{kind}', {k}, {node[0]}, '{node[2:]}')" for kind, nodes in _OUTLINES.items() for k, node in enumerate(nodes.split(",")))
+#: SQL: t, the templates' nodes; b, each node with the nodes below it and itself; n, the nodes of all events.
+_NODES = f"""t as (select *, replace(split_part(label, ':', 1), 'Const', 'Constant') as type from (values {_ROWS}) v(kind, node, depth, label)),
+b as (select a.kind, a.node as top, a.depth as top_depth, a.type as top_type, d.node, d.depth, d.label, d.type from t a join t d on a.kind = d.kind and d.node >= a.node
+  and not exists (select 1 from t m where m.kind = a.kind and m.node > a.node and m.node <= d.node and m.depth <= a.depth)),
+n as (select event_id as prog, user_id, ts, kind, node, depth, type, replace(replace(label, '{{u}}', user_id::varchar), '{{e}}', (event_id % 7)::varchar) as label from events join t on kind = event_type)"""
+#: SQL: s, the statements of all events, each with its subtree as text.
+_STATEMENTS = _NODES + """,
+f as (select kind, top, string_agg((depth - top_depth) || label, ',' order by node) as form from b where top_type in ('Assign', 'AugAssign', 'Expr', 'For', 'If') group by all),
+s as (select event_id as prog, user_id, ts, replace(replace(form, '{u}', user_id::varchar), '{e}', (event_id % 7)::varchar) as stmt from events join f on kind = event_type)"""
+
 #: Nodes of each template, Module and calls included.
 _SIZES = "case event_type when 'error' then 8 when 'click' then 10 when 'view' then 16 when 'signup' then 12 when 'purchase' then 12 end"
 
@@ -91,24 +110,20 @@ def flatten_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constants.select("prog", F.regexp_extract("label", "Const:(.*)", 1).cast("long").alias("value"))
 
 
-@query("""select event_id as prog, p as path, cast(c as bigint) as n from (select event_id, event_type from events where event_type in ('error', 'purchase')),
-(select * from (values ('error', 'Assign/Name', 1), ('error', 'Assign/Constant', 1), ('error', 'Expr/Call/Name', 2),
-('purchase', 'Assign/Name', 2), ('purchase', 'Assign/Constant', 2), ('purchase', 'Expr/Call/Name', 3)) t(kind, p, c)) where kind = event_type""")
+@query(f"""with {_NODES}, leaf as (select kind, top as node from b group by all having count(*) = 1),
+p as (select kind, b.node, string_agg(top_type, '/' order by top) as path from b join leaf using (kind, node) where top_depth > 0 group by all)
+select prog, path, count(*) as n from n join p using (kind, node) group by all""")
 def root_leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bags of type paths from root to leaf, of the assigning programs."""
-    n = flattened(programs(spark, sf_dir).filter("event_type in ('error', 'purchase')").select(F.col("event_id").alias("prog"), "code"))
-    return n.filter("height = 0").groupBy("prog", "path").agg(F.count("*").alias("n"))
+    """Bags of type paths from root to leaf."""
+    return _nodes(spark, sf_dir).filter("height = 0").groupBy("prog", "path").agg(F.count("*").alias("n"))
 
 
-@query("""with s as (select user_id, 'x = ' || user_id as stmt, event_id from events where event_type in ('error', 'purchase')
-union all select user_id, 'print(x)', event_id from events where event_type = 'error' union all select user_id, 'y = ' || event_id % 7, event_id from events where event_type = 'purchase'
-union all select user_id, 'print(x, y)', event_id from events where event_type = 'purchase')
-select user_id, count(distinct stmt) as n_distinct, count(*) as n_stmts from s group by 1""")
+@query(f"with {_STATEMENTS} select user_id, count(distinct stmt) as n_distinct, count(*) as n_stmts from s group by 1")
 def subtree_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct statement subtrees of a user's assigning programs, by their hashes."""
-    p = programs(spark, sf_dir).filter("event_type in ('error', 'purchase')")
-    n = flattened(p.select("event_id", "user_id", "code")).filter("is_stmt")
-    return n.groupBy("user_id").agg(F.countDistinct("hash").alias("n_distinct"), F.count("*").alias("n_stmts"))
+    """Distinct statement subtrees of a user's programs, by their hashes: counted by hash first, so a user of many programs is no large group."""
+    n = flattened(programs(spark, sf_dir).select("event_id", "user_id", "code")).filter("is_stmt")
+    each = n.groupBy("user_id", "hash").agg(F.count("*").alias("n"))
+    return each.groupBy("user_id").agg(F.count("*").alias("n_distinct"), F.sum("n").alias("n_stmts"))
 
 
 @query("""with e as (select user_id, max(event_id) as prog from events where event_type = 'error' group by 1), p as (select user_id, max(event_id) as ref from events where event_type = 'purchase' group by 1)
@@ -122,11 +137,13 @@ def subtree_hash_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side("error", "prog").join(side("purchase", "ref"), ["user_id", "hash", "k"]).groupBy("prog", "ref").agg(F.count("*").alias("n_matched"))
 
 
-@query("""with e as (select user_id, event_id, lead(event_id) over (partition by user_id order by event_id) as next from events where event_type = 'purchase')
-select event_id as prog, next, 2 * cast(event_id % 7 <> next % 7 as bigint) as dist from e where next is not null""")
+@query(f"""with {_NODES}, e as (select event_id as prog, lead(event_id) over (partition by user_id order by event_id) as next from events),
+g as (select prog, label, count(*) as n from n group by all),
+d as (select e.prog, e.next, label, g.n as c from e join g using (prog) where next is not null union all select e.prog, e.next, label, -g.n from e join g on g.prog = e.next)
+select prog, next, cast(sum(abs(c)) as bigint) as dist from (select prog, next, label, sum(c) as c from d group by all) group by all""")
 def label_bag_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiset distance of the label bags of a user's consecutive purchase programs: totals less twice what they share."""
-    p = programs(spark, sf_dir).filter("event_type = 'purchase'")
+    """Multiset distance of the label bags of a user's consecutive programs: totals less twice what they share."""
+    p = programs(spark, sf_dir)
     pairs = p.select(F.col("event_id").alias("prog"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("next")).filter("next is not null")
     bag = flattened(p.select("event_id", "code")).groupBy("event_id", "label").agg(F.count("*").alias("n"))
     total = bag.groupBy("event_id").agg(F.sum("n").alias("t"))
@@ -134,17 +151,16 @@ def label_bag_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = bag.select(F.col("event_id").alias("next"), "label", F.col("n").alias("b"))
     shared = pairs.join(one, "prog").join(two, ["next", "label"]).groupBy("prog", "next").agg(F.sum(F.least("a", "b")).alias("s"))
     t = lambda name: total.select(F.col("event_id").alias(name), F.col("t").alias(f"{name}_t"))
-    return shared.join(t("prog"), "prog").join(t("next"), "next").select("prog", "next", (F.col("prog_t") + F.col("next_t") - 2 * F.col("s")).alias("dist"))
+    both = pairs.join(t("prog"), "prog").join(t("next"), "next").join(shared, ["prog", "next"], "left")
+    return both.select("prog", "next", (F.col("prog_t") + F.col("next_t") - 2 * F.coalesce("s", F.lit(0))).alias("dist"))
 
 
-@query("""with p as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type in ('error', 'purchase')),
-l as (select user_id, max_by(event_id, k) as anchor, max_by(event_type, k) as kind, count(*) as n from p group by 1),
-c as (select user_id, sum(case when event_type = 'error' then 1 else 0 end) as errors, sum(case when event_type = 'purchase' then 1 else 0 end) as purchases, count(distinct case when event_type = 'purchase' then event_id % 7 end) as ys from p group by 1)
-select anchor as prog, cast(case when n = 1 then case kind when 'error' then 2 else 3 end
-  when errors > 0 and purchases > 0 then case kind when 'error' then 1 else 2 end when kind = 'error' then 0 when ys = 1 then 0 else 1 end as bigint) as n_holes from l join c using (user_id)""")
+@query(f"""with {_STATEMENTS}, l as (select user_id, max_by(event_id, (ts, event_id)) as prog, count(*) as n from events group by 1),
+m as (select user_id, stmt, count(distinct prog) as m from s group by all)
+select prog, count(case when n = 1 or m < n then 1 end) as n_holes from l join s using (user_id, prog) join m using (user_id, stmt) group by 1""")
 def sketch_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holes of each user's last assigning program: its statements that not all of the user's programs have; all, if it is the only one."""
-    p = programs(spark, sf_dir).filter("event_type in ('error', 'purchase')")
+    """Holes of each user's last program: its statements that not all of the user's programs have; all, if it is the only one."""
+    p = programs(spark, sf_dir)
     stmts = flattened(p.select("user_id", "event_id", "code")).filter("is_stmt").select("user_id", "event_id", "node", "hash")
     last = p.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
     found = stmts.groupBy("user_id", "hash").agg(F.countDistinct("event_id").alias("m"))
@@ -153,23 +169,19 @@ def sketch_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor.groupBy(F.col("event_id").alias("prog")).agg(F.count_if(hole).alias("n_holes"))
 
 
-@query("select user_id, count(*) as uses, count(distinct event_id) as programs from (select user_id, event_id, unnest(case event_type when 'error' then [1, 2] when 'purchase' then [1, 2] else [1, 2, 3] end) as i from events where event_type in ('error', 'purchase', 'view')) group by 1")
+@query(f"with {_NODES} select user_id, count(*) as uses, count(distinct prog) as programs from n where type = 'Name' group by 1")
 def variable_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses of each program's first variable with the types of parent and grandparent, summed by user: two joins of the node table with itself."""
-    p = programs(spark, sf_dir).filter("event_type in ('error', 'purchase', 'view')").select("event_id", "user_id", "code")
-    n = flattened(p)
-    named = n.filter("label in ('Name:x', 'Name:n')").select("event_id", "user_id", "node", "parent")
-    above = n.select("event_id", F.col("node").alias("parent"), F.col("type").alias("parent_type"), F.col("parent").alias("grandparent"))
-    top = n.select("event_id", F.col("node").alias("grandparent"), F.col("type").alias("grandparent_type"))
-    uses = named.join(above, ["event_id", "parent"]).join(top, ["event_id", "grandparent"])
-    return uses.groupBy("user_id").agg(F.count("*").alias("uses"), F.countDistinct("event_id").alias("programs"))
-
-
-@query("""with e as (select user_id, event_id, event_type, lead(event_id) over (partition by user_id, event_type order by event_id) as next from events where event_type in ('purchase', 'error', 'view'))
-select event_id as prog, next, cast(case when event_type = 'error' then 0 else event_id % 7 <> next % 7 end as bigint) as ted from e where next is not null""")
+    """Uses of names and the programs that have any, by user; counted by program first."""
+    names = flattened(programs(spark, sf_dir).select("event_id", "user_id", "code")).filter("type = 'Name'")
+    each = names.groupBy("user_id", "event_id").agg(F.count("*").alias("n"))
+    return each.groupBy("user_id").agg(F.sum("n").alias("uses"), F.count("*").alias("programs"))
+
+
+@query("""with e as (select user_id, event_id, event_type, lead(event_id) over (partition by user_id, event_type order by event_id) as next from events)
+select event_id as prog, next, cast(event_type in ('purchase', 'view') and event_id % 7 <> next % 7 as bigint) as ted from e where next is not null""")
 def ted_value_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree edit distance of each program and the user's next of its kind; equal pairs of programs are compared once."""
-    p = programs(spark, sf_dir).filter("event_type in ('purchase', 'error', 'view')")
+    p = programs(spark, sf_dir)
     after = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     pairs = p.select(F.col("event_id").alias("prog"), F.lead("event_id").over(after).alias("next"), "code", F.lead("code").over(after).alias("next_code")).filter("next is not null")
 
@@ -223,14 +235,13 @@ def code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("prog", "feature").agg(F.count("*").alias("n"))
 
 
-@query("""select event_id as prog, g as gram, cast(count(*) as bigint) as n from (select event_id from events where event_type = 'error'),
-(select unnest(['Module/Assign/Name/Constant', 'Assign/Name/Constant/Expr', 'Name/Constant/Expr/Call', 'Constant/Expr/Call/Name', 'Expr/Call/Name/Name']) as g) group by all""")
+@query(f"""with {_NODES}, g as (select prog, type || '/' || lead(type, 1) over w || '/' || lead(type, 2) over w || '/' || lead(type, 3) over w as gram from n window w as (partition by prog order by node))
+select prog, gram, count(*) as n from g where gram is not null group by all""")
 def type_four_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four types in a row, in preorder, of the error programs."""
-    n = flattened(programs(spark, sf_dir).filter("event_type = 'error'").select(F.col("event_id").alias("prog"), "code"))
+    """Four types in a row, in preorder."""
     order = Window.partitionBy("prog").orderBy("node")
     ahead = [F.lead("type", k).over(order) for k in (1, 2, 3)]
-    rows = n.select("prog", F.when(ahead[2].isNotNull(), F.concat_ws("/", "type", *ahead)).alias("gram")).filter("gram is not null")
+    rows = _nodes(spark, sf_dir).select("prog", F.when(ahead[2].isNotNull(), F.concat_ws("/", "type", *ahead)).alias("gram")).filter("gram is not null")
     return rows.groupBy("prog", "gram").agg(F.count("*").alias("n"))
 
 

@@ -26,16 +26,16 @@ def build_trajectories(submissions: DataFrame, sources: DataFrame, least_wrong:
 
 
 @query("""
-with s as (select 'p' || event_id % 50 as pid, user_id, event_id, event_type, row_number() over (partition by event_id % 50, user_id order by ts, event_id) as n from events where event_type in ('error', 'purchase', 'view')),
+with s as (select 'p' || event_id % 50 as pid, user_id, event_id, event_type, value, row_number() over (partition by event_id % 50, user_id order by ts, event_id) as n from events),
 f as (select *, min(case when event_type = 'purchase' then n end) over (partition by pid, user_id) as last from s),
-t as (select pid, user_id, count(*) as n, bool_and(event_id % 97 <> 0) as whole from f where n <= last and last > 2 group by all),
+t as (select pid, user_id, count(*) as n, bool_and(coalesce(value >= 1, false)) as whole from f where n <= last and last > 2 group by all),
 k as (select *, count(*) over (partition by pid) as k from t where whole)
 select pid, count(*) as n_trajectories, cast(sum(n) as bigint) as n_submissions, max(n) as longest from k where k >= 2 group by 1""")
 def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trajectories made of events: problems by number, purchases accepted, others wrong; some sources are missing."""
-    rows = programs(spark, sf_dir).filter("event_type in ('error', 'purchase', 'view')")
+    """Trajectories made of events: problems by number, purchases accepted, others wrong; an event of value under 1 has no source."""
+    rows = programs(spark, sf_dir)
     verdict = F.when(F.col("event_type") == "purchase", "Accepted").otherwise("Wrong Answer")
     submissions = rows.select(F.concat(F.lit("p"), (F.col("event_id") % 50).cast("string")).alias("pid"), "user_id", F.col("event_id").alias("sid"), "ts", verdict.alias("verdict"))
-    sources = rows.filter("event_id % 97 <> 0").select(F.col("event_id").alias("sid"), "code")
+    sources = rows.filter("value >= 1").select(F.col("event_id").alias("sid"), "code")
     n = F.size("submissions").cast("long")
     return build_trajectories(submissions, sources).groupBy("pid").agg(F.count("*").alias("n_trajectories"), F.sum(n).alias("n_submissions"), F.max(n).alias("longest"))

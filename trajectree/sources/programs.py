@@ -18,10 +18,10 @@ TEMPLATES = {
 
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, user_id, ts, event_type, e and code."""
+    """event_id, user_id, ts, event_type, value, e and code."""
     events = table(spark, sf_dir, "events").withColumn("e", F.col("event_id") % 7)
     code = None
     for kind, template in TEMPLATES.items():
         filled = F.replace(F.replace(F.lit(template), F.lit("{u}"), F.col("user_id").cast("string")), F.lit("{e}"), F.col("e").cast("string"))
         code = F.when(F.col("event_type") == kind, filled) if code is None else code.when(F.col("event_type") == kind, filled)
-    return events.select("event_id", "user_id", "ts", "event_type", "e", code.alias("code"))
+    return events.select("event_id", "user_id", "ts", "event_type", "value", "e", code.alias("code"))
