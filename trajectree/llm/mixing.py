@@ -1,10 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are put in a fixed shuffled order. A document's virtual finish time is the words of its source up to its own end, divided by the
-source's target. All sources' clocks reach 1 together, when the words taken add up to the total budget, so the mix is the global order of finish times,
-truncated at time 1. The document that straddles the end of the budget gives its leading words, so each source meets its target to a word.
+source's target. Copies of documents are range-sorted by finish time over all sources, and the order is truncated where its running total of words reaches
+the budget, the sum of the targets in whole words. Documents in service near that place are queued by the word, sorted again, and cut at what is left of
+the budget; so the last document of a source gives its leading words, and each source comes within a word of its target. The words that each source got
+before the cut decide what is taken of its documents.
 
-A source may hold any share of the rows: its running sum is taken in ranges of the shuffle hash, with the ranges' totals added first.
+A source may hold any share of the rows: its running sum is taken in ranges of the shuffle hash, with the ranges' totals added first. The order's running
+total is the totals of its partitions, and a sum inside the one partition where the cut falls.
 
 Defined results: null text has size 0 and is never taken; null source is a source of its own, last in order; equal rows share their places in either
 order; an empty table gives an empty mix; columns besides ``doc_id``, ``text`` and ``source`` are kept as they are by :func:`mix`.
@@ -17,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import WORD, cut, ranked, word_count
+from trajectree.llm.common import WORD, cut, ranked, stored, word_count
 
 SEED = 20240501
 WEIGHTS = (1, 2, 3)
@@ -69,30 +72,81 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     )
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """``docs`` with size, source_size, target, _start (its source's words before it) and taken (the words that the mix takes, repeats counted)."""
+def _place_at(order: DataFrame, total: int) -> float:
+    """The finish time of the row at which the running total of _words in the sorted ``order`` (with its partitions as _part) reaches total; 0 for none.
+
+    Gathers one row per partition, and sums inside one partition only.
+    """
+    sums = {r["_part"]: r["n"] for r in order.groupBy("_part").agg(F.sum("_words").alias("n")).collect()}
+    before = 0
+    for part in sorted(sums):
+        if before + sums[part] >= total > 0:
+            upto = F.sum("_words").over(Window.partitionBy("_part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+            return order.filter(F.col("_part") == part).withColumn("_upto", upto).filter(F.col("_upto") >= total - before).agg(F.min("_finish")).first()[0]
+        before += sums[part]
+    return math.inf if before and total > 0 else 0.0
+
+
+#: The global order of copies and of words: by finish time, equal ones by source.
+ORDER = ("_finish", "_no_source", "_source", "_begin")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return stored(rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("_part", F.spark_partition_id()))
+
+
+def served(placed: DataFrame, goal: DataFrame, epochs: int) -> DataFrame:
+    """The words that each source gets before the global order of finish times is truncated at the budget: _source, _no_source, _served.
+
+    placed: _source, _no_source, _size, _start, source_size and target of each document; goal: the targets. Copies that finish before the running total comes
+    within a largest document of each source to the budget are served whole, and those that begin after it reaches the budget not at all; the others, a few
+    of each source, are queued by the word.
+    """
+    budget = goal.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0]
+    largest = placed.groupBy("_source", "_no_source").agg(F.max("_size").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys = ["_source", "_no_source"]
+    copies = placed.filter("_size > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    copies = copies.select(*keys, "target", F.col("_size").alias("_words"), (F.col("_epoch") * F.col("source_size") + F.col("_start")).alias("_begin"))
+    order = _in_order(copies.withColumn("_finish", (F.col("_begin") + F.col("_words")) / F.col("target")))
+    early, late = _place_at(order, budget - largest), _place_at(order, budget)
+    whole = order.filter(F.col("_finish") <= early).groupBy(*keys).agg(F.sum("_words").alias("_words"))
+    near = order.filter((F.col("_finish") > early) & (F.col("_begin") / F.col("target") < late))
+    near = near.select(*keys, "target", F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_words") - 1)).alias("_begin"))
+    near = _in_order(near.select(*keys, "_begin", F.lit(1).cast("long").alias("_words"), ((F.col("_begin") + 1) / F.col("target")).alias("_finish")))
+    last = _place_at(near, budget - (whole.agg(F.sum("_words")).first()[0] or 0))
+    parts = near.filter(F.col("_finish") <= last).groupBy(*keys).agg(F.sum("_words").alias("_words"))
+    return whole.unionByName(parts).groupBy(*keys).agg(F.sum("_words").alias("_served"))
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, texts: bool = True) -> DataFrame:
+    """``docs`` with size, source_size, target, _start (its source's words before it), _served (what its source gets) and taken (the words that the mix takes).
+
+    Repeats are counted in taken. Without texts, only doc_id and source are kept, and texts are read once.
+    """
     rows = docs.count()
     ranges = 1 << max(int(math.log2(LEAST_RANGES)), math.ceil(math.log2(max(1, rows / RANGE_ROWS))))
     shuffled = _shuffled(docs, ranges)
-    ranges_of = cut(shuffled.groupBy(*_key()).agg(F.sum("_size").alias("_range_size")))
-    goal = targets(ranges_of.groupBy("_source", "_no_source").agg(F.sum("_range_size").alias("source_size")), weights, epochs)
+    sizes = stored(shuffled.select("doc_id", "source", "_size", "_place", *_key()))
+    ranges_of = cut(sizes.groupBy(*_key()).agg(F.sum("_size").alias("_range_size")))
+    goal = cut(targets(ranges_of.groupBy("_source", "_no_source").agg(F.sum("_range_size").alias("source_size")), weights, epochs))
     in_order = Window.partitionBy("_source", "_no_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges_of = ranges_of.withColumn("_before", F.coalesce(F.sum("_range_size").over(in_order), F.lit(0))).drop("_range_size")
     ranges_of = ranges_of.join(goal, ["_source", "_no_source"])
     in_range = Window.partitionBy(*_key()).orderBy("_place", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shuffled.withColumn("_in_range", F.coalesce(F.sum("_size").over(in_range), F.lit(0)))
-    start = F.col("_before") + F.col("_in_range")
-    return (
-        placed.join(ranges_of, _key())
-        .withColumn("_start", start)
-        .withColumn("taken", sum((words_taken(e) for e in range(epochs)), F.lit(0).cast("long")))
-        .drop(*_key(), "_before", "_in_range", "_place")
-    )
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_in_range", F.coalesce(F.sum("_size").over(in_range), F.lit(0)))
+        return rows.join(ranges_of, _key()).withColumn("_start", F.col("_before") + F.col("_in_range")).drop("_before", "_in_range", "_place")
+
+    got = cut(served(placed(sizes), goal, epochs))
+    taken = sum((words_taken(e) for e in range(epochs)), F.lit(0).cast("long"))
+    out = placed(shuffled if texts else sizes).join(got, ["_source", "_no_source"], "left").withColumn("_served", F.coalesce("_served", F.lit(0)))
+    return out.withColumn("taken", taken).drop(*_key())
 
 
 def words_taken(epoch: int | Column) -> Column:
-    """The words of a document's copy in this pass over its source that come before virtual time 1."""
-    left = F.floor("target") - (epoch * F.col("source_size") + F.col("_start"))
+    """The words of a document's copy in this pass over its source that are among those its source gets."""
+    left = F.col("_served") - (epoch * F.col("source_size") + F.col("_start"))
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), left))
 
 
@@ -103,7 +157,7 @@ def finish_time(epoch: int | Column) -> Column:
 
 def mixed_plan(docs: DataFrame) -> DataFrame:
     """One row per document, globally in the order of its first finish time: doc_id, size, source_size, target, taken, finish."""
-    done = plan(docs).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", finish_time(0).alias("finish"))
+    done = plan(docs, texts=False).select("doc_id", F.col("_size").alias("size"), "source_size", "target", "taken", finish_time(0).alias("finish"))
     return done.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 
 
