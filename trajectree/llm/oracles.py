@@ -42,4 +42,28 @@ l as (select a.vec_id as a, b.vec_id as b from e a join e b on a.label = b.label
 r as (select vec_id, vec_id as root from embeddings union select r.vec_id, l.b from r join l on l.a = r.root),
 c as (select vec_id, min(root) as component_id from r group by 1), n as (select a, count(*) as n from l group by 1)
 select c.vec_id, coalesce(n, 0) as n_links, component_id, c.vec_id = component_id as kept from c left join n on n.a = c.vec_id""",
+    # Counts by part and set of failing filters; each order and step reads them.
+    "op12_filter_audit": r"""
+with w as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+f as (select part, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t))::int
+  + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask,
+  (doc_id in (select doc_id from labels where quality = 1 and doc_id is not null))::int as good, (doc_id in (select doc_id from labels where toxic = 1 and doc_id is not null))::int as toxic from w),
+g as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from f group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+o as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s as (select filter_order, step, filter_order[step] as x, 1 << (ascii(filter_order[step]) - 65) as bit,
+  coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(filter_order[k]) - 65))), 0)::int as before from o, (select unnest(range(1, 6))::int as step)),
+r as (select part, filter_order, step, x, sum(case when mask & (before | bit) = 0 then n else 0 end) as kept, sum(case when mask & bit > 0 and mask & before = 0 then n else 0 end) as removed,
+  sum(case when mask & bit > 0 and mask & before > 0 then n else 0 end) as redundant, sum(case when mask = bit then n else 0 end) as unique_fails,
+  sum(case when mask & bit > 0 and mask & before = 0 then good else 0 end) as good_lost, sum(case when mask & bit > 0 and mask & before = 0 then toxic else 0 end) as toxic_lost from g, s group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost,
+  toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, x))::bigint as shapley from r""",
+    "op13_hard_negatives": """
+with e as (select vec_id, (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select *, row_number() over () as anchor from (select distinct * from e where vec_id % 100 = 0)),
+s as (select anchor, a.vec_id as anchor_id, e.vec_id, a.label = e.label as same, list_sum(list_transform(list_zip(a.v, e.v), lambda z: z[1] * z[2]))::bigint as score from a join e on len(a.v) = len(e.v)),
+p as (select anchor, anchor_id, vec_id as positive_id, score as positive_score, row_number() over (partition by anchor order by score desc, vec_id) as k from s where same and vec_id <> anchor_id qualify k <= 5)
+select anchor_id, positive_id, (row_number() over (partition by p.anchor, k order by score desc, vec_id))::int as rank, vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor, anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score qualify rank <= 10""",
 }
