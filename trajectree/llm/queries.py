@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.llm import chat, embedding_dedup, filter_audit, hard_negatives, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts
+from trajectree.llm import chat, embedding_dedup, filter_audit, hard_negatives, langid, line_dedup, mixing, packing, private_data, quality, simhash, suffix_dedup, token_counts
 from trajectree.llm.common import table
 from trajectree.llm.oracles import ORACLE_SQL
 
@@ -74,6 +74,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: fixed patterns, and what the field adds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private_data.find(docs, private_data.trained(docs))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove from all documents in each of their orders, by source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embeddings": op8_embeddings,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op11_private_data": op11_private_data,
     "op12_filter_audit": op12_filter_audit,
     "op13_hard_negatives": op13_hard_negatives,
 }
