@@ -47,7 +47,7 @@ _RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 _DIGITS = re.compile(r"[0-9]+")
 _LETTER = re.compile(r"[A-Za-z]")
 #: What may stand between neighbours: signs, and anything short on one line between tokens with letters (`` at ``).
-_GAP, _WIDE_GAP = re.compile(r"[ ().@/-]{0,4}"), re.compile(r"[^\n]{0,6}")
+_GAP, _WIDE_GAP = re.compile(r"[ ().@/-]{0,4}"), re.compile(r"[^\n,;:]{0,6}")
 _WORD = re.compile(r"([A-Za-z]+)[^A-Za-z]*\Z")
 
 
