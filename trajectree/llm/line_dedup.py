@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import cut, fast_words, stored
+from trajectree.llm.common import cut, stored
 from trajectree.llm.wordhash import joined, mixed, word_hashes
 
 SIMILARITY = 0.8
@@ -55,8 +55,6 @@ TILE = 4096
 #: Bits of the bitmap that lets lines that nobody asks for go before they are read again: from so many, with the number asked for, to so many.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
-#: Words of a document from which the least part of it that must be left counts.
-WHOLE = 50
 #: 64-bit words of the constant bitmap that lets documents that lose nothing pass by.
 CONSTANT_WORDS = 1 << 14
 
@@ -418,9 +416,10 @@ def _places(keys: DataFrame) -> np.ndarray:
 
 
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = 0.0) -> DataFrame:
-    """docs without the lines removed, and without the documents that have no word left, or of :data:`WHOLE` words less than ``least_left`` of their characters.
+    """docs without the lines removed, and without the documents that have no word left.
 
-    ``n_chars``, if there, is set to match.
+    A document of which less than ``least_left`` of the characters would be left keeps its whole text: it is a copy of others for the most part, and near-dedup,
+    which comes after and needs whole texts, decides about it. ``n_chars``, if there, is set to match.
     """
     key = F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("_key")
     removed = stored(removed_by_document(docs.select("doc_id", "text"), least_words).select(F.struct("doc_id", "text_id").alias("_key"), "removed"))
@@ -433,10 +432,10 @@ def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: flo
     others = rows.filter(~_in_constant(F.col("_key"), table)).withColumn("removed", F.lit(None).cast("array<int>"))
     rows = touched.unionByName(others)
     left = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("removed", k))
-    rows = rows.withColumn("_left", F.when(F.col("removed").isNotNull(), left)).filter(F.col("_left").isNull() | F.exists("_left", lambda x: x.rlike("[^\x20\x09-\x0D]")))
+    rows = rows.withColumn("_left", F.when(F.col("removed").isNotNull(), left))
     if least_left > 0:
-        enough = F.length(F.array_join("_left", "\n")) >= least_left * F.length("text")
-        rows = rows.filter(F.col("_left").isNull() | enough | (F.size(fast_words(F.col("text"))) < WHOLE))
+        rows = rows.withColumn("_left", F.when(F.length(F.array_join("_left", "\n")) >= least_left * F.length("text"), F.col("_left")))
+    rows = rows.filter(F.col("_left").isNull() | F.exists("_left", lambda x: x.rlike("[^\x20\x09-\x0D]")))
     text = F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "\n"))
     of = {c: F.col(f"_row.`{c}`") for c in rest} | {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": text}
     if "n_chars" in rest:
