@@ -13,7 +13,7 @@ from trajectree.llm.common import shared_folder, table
 #: shingles, and each pair is verified.
 NEAR_COPY_RADIUS = 3
 
-#: Part of a document (of 50 words or more) that line dedup must leave, or the document goes: what is left of a near copy is no document.
+#: Part of a document that line dedup must leave; documents that would lose more stay whole, as near-dedup can only judge whole texts.
 LEAST_LEFT = 0.5
 
 
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines similar to an earlier line go, however short, and documents of which less than half is left: by lines, they are near copies."""
+    """Lines similar to an earlier line go, however short; documents that would lose more than half are left to near-dedup as they are."""
     return line_dedup.deduplicate(docs, least_words=1, least_left=LEAST_LEFT)
 
 
