@@ -11,15 +11,14 @@ VALUED = {"Name": "id", "Constant": "value", "arg": "arg", "Attribute": "attr"}
 
 
 def _postorder(code: str) -> tuple[list[str], list[int]]:
-    """Labels in postorder, and for each node the place of its leftmost leaf."""
+    """Labels in postorder, contexts (Load, Store, Del) included, and for each node the place of its leftmost leaf."""
     labels, leftmost = [], []
 
     def visit(tree: ast.AST) -> int:
         first = -1
         for child in ast.iter_child_nodes(tree):
-            if not isinstance(child, ast.expr_context):
-                left = visit(child)
-                first = left if first < 0 else first
+            left = visit(child)
+            first = left if first < 0 else first
         kind = type(tree).__name__
         labels.append(f"{kind}:{getattr(tree, VALUED[kind])!r}" if kind in VALUED else kind)
         leftmost.append(len(labels) - 1 if first < 0 else first)

@@ -147,7 +147,7 @@ def edit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variable_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses of all variables of a user's programs: stored or loaded, under which parent and grandparent."""
     n = flattened(programs(spark, sf_dir).select("user_id", "event_id", "code"))
-    access = F.when(F.col("slot").rlike(r"^targets?(\[\d+\])?$"), "store").otherwise("load")
+    access = F.when(F.col("ctx") == "Store", "store").otherwise("load")
     names = n.filter("type = 'Name'").select("user_id", "event_id", "parent", F.regexp_extract("label", "Name:(.*)", 1).alias("variable"), access.alias("access"))
     above = n.select("event_id", F.col("node").alias("parent"), F.col("type").alias("parent_type"), F.col("parent").alias("grandparent"))
     top = n.select("event_id", F.col("node").alias("grandparent"), F.col("type").alias("grandparent_type"))

@@ -11,20 +11,25 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajectree.functions.trees import UNREADABLE, edit_distance, standard_form
+from trajectree.operators.outlines import NODES as _NODES
+from trajectree.operators.outlines import STATEMENTS as _STATEMENTS
 from trajectree.registry import query
 from trajectree.sources.programs import programs
 
-NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean"
+NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean, is_expr boolean, ctx string, const string, walk int"
 #: The attribute whose value is part of a node's label, for the kinds that have one (fixed values).
 VALUED = {"Name": "id", "arg": "arg", "keyword": "arg", "Attribute": "attr", "ImportFrom": "module", "FunctionDef": "name"}
 
 
 def nodes_of(code: str) -> list[tuple] | None:
-    """The nodes of a program in preorder, contexts (Load, Store, Del) left out; None if it can't be parsed or is nested too deeply."""
+    """The nodes of a program in preorder, None if it can't be parsed or is nested too deeply.
+
+    Contexts (Load, Store, Del) are no nodes but a column, ctx; walk counts a node and all below it with their contexts. const is the type of a constant's value.
+    """
     try:
         todo = [(ast.parse(code), -1, "", "", 0)]
     except UNREADABLE:
@@ -37,7 +42,8 @@ def nodes_of(code: str) -> list[tuple] | None:
         if kind == "alias":  # import a as b
             label = f"alias:{tree.name}:{tree.asname}"
         path = path + "/" + kind if path else kind * (parent >= 0)
-        out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt)])
+        ctx, const = type(tree.ctx).__name__ if hasattr(tree, "ctx") else None, type(tree.value).__name__ if kind == "Constant" else None
+        out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt), isinstance(tree, ast.expr), ctx, const, 1 + (ctx is not None)])
         below = []
         for name, value in ast.iter_fields(tree):
             several = isinstance(value, list)
@@ -50,7 +56,7 @@ def nodes_of(code: str) -> list[tuple] | None:
         n[9] = hashlib.md5("(".join([parts[n[0]][0], *reversed(parts[n[0]][1:])]).encode()).hexdigest()[:12]
         if n[1] >= 0:
             above = out[n[1]]
-            above[7], above[8] = max(above[7], n[7] + 1), above[8] + n[8]
+            above[7], above[8], above[14] = max(above[7], n[7] + 1), above[8] + n[8], above[14] + n[14]
             parts[n[1]].append(f"{n[2]}={n[9]}")
     return [tuple(n) for n in out]
 
@@ -58,48 +64,31 @@ def nodes_of(code: str) -> list[tuple] | None:
 def flattened(code: DataFrame) -> DataFrame:
     """code (key, code) to key and the nodes of each program; equal programs are parsed once, those that can't be parsed have no nodes."""
     names = [x.split()[0] for x in NODE.split(", ")]
-    kinds = [pa.int32(), pa.int32(), *[pa.string()] * 4, *[pa.int32()] * 3, pa.string(), pa.bool_()]
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    columns_of = [pa.binary(), *(kinds[x.split()[1]] for x in NODE.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(text, *n) for text in batch["code"].to_pylist() for n in nodes_of(text) or ()]
-            columns = list(zip(*rows)) or [[]] * 12
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), *kinds])], ["code", *names])
+            rows = [(key, *n) for key, text in zip(batch["_code"].to_pylist(), batch["code"].to_pylist()) for n in nodes_of(text) or ()]
+            columns = list(zip(*rows)) or [[]] * len(columns_of)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, columns_of)], ["_code", *names])
 
-    distinct = code.select("code").filter("code is not null").distinct()
-    return code.join(distinct.mapInArrow(run, "code string, " + NODE), "code").drop("code")
+    # Nodes meet their programs by a digest, so the texts are shuffled once at most.
+    keyed = code.withColumn("_code", F.unhex(F.sha2("code", 256)))
+    distinct = keyed.filter("code is not null").groupBy("_code").agg(F.first("code").alias("code"))
+    return keyed.drop("code").join(distinct.mapInArrow(run, "_code binary, " + NODE), "_code").drop("_code")
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flattened(programs(spark, sf_dir).select(F.col("event_id").alias("prog"), "code"))
 
 
-#: Depth and label of each template's nodes in preorder, for the queries' SQL; {u} and {e} as in the templates (fixed values).
-_OUTLINES = {
-    "error": "0 Module,1 Assign,2 Name:x,2 Const:{u},1 Expr,2 Call,3 Name:print,3 Name:x",
-    "click": "0 Module,1 For,2 Name:i,2 Call,3 Name:range,3 Const:{u},2 Expr,3 Call,4 Name:print,4 Name:i",
-    "view": "0 Module,1 Assign,2 Name:n,2 Call,3 Name:int,3 Call,4 Name:input,1 If,2 Compare,3 Name:n,3 Gt,3 Const:{e},2 Expr,3 Call,4 Name:print,4 Name:n",
-    "signup": "0 Module,1 Assign,2 Name:total,2 Const:0,1 AugAssign,2 Name:total,2 Add,2 Const:{u},1 Expr,2 Call,3 Name:print,3 Name:total",
-    "purchase": "0 Module,1 Assign,2 Name:x,2 Const:{u},1 Assign,2 Name:y,2 Const:{e},1 Expr,2 Call,3 Name:print,3 Name:x,3 Name:y",
-}
-_ROWS = ", ".join(f"('{kind}', {k}, {node[0]}, '{node[2:]}')" for kind, nodes in _OUTLINES.items() for k, node in enumerate(nodes.split(",")))
-#: SQL: t, the templates' nodes; b, each node with the nodes below it and itself; n, the nodes of all events.
-_NODES = f"""t as (select *, replace(split_part(label, ':', 1), 'Const', 'Constant') as type from (values {_ROWS}) v(kind, node, depth, label)),
-b as (select a.kind, a.node as top, a.depth as top_depth, a.type as top_type, d.node, d.depth, d.label, d.type from t a join t d on a.kind = d.kind and d.node >= a.node
-  and not exists (select 1 from t m where m.kind = a.kind and m.node > a.node and m.node <= d.node and m.depth <= a.depth)),
-n as (select event_id as prog, user_id, ts, kind, node, depth, type, replace(replace(label, '{{u}}', user_id::varchar), '{{e}}', (event_id % 7)::varchar) as label from events join t on kind = event_type)"""
-#: SQL: s, the statements of all events, each with its subtree as text.
-_STATEMENTS = _NODES + """,
-f as (select kind, top, string_agg((depth - top_depth) || label, ',' order by node) as form from b where top_type in ('Assign', 'AugAssign', 'Expr', 'For', 'If') group by all),
-s as (select event_id as prog, user_id, ts, replace(replace(form, '{u}', user_id::varchar), '{e}', (event_id % 7)::varchar) as stmt from events join f on kind = event_type)"""
-
-#: Nodes of each template, Module and calls included.
-_SIZES = "case event_type when 'error' then 8 when 'click' then 10 when 'view' then 16 when 'signup' then 12 when 'purchase' then 12 end"
-
-
-@query(f"select event_id as prog, cast({_SIZES} as bigint) as n_nodes, cast(case event_type when 'click' then 4 when 'view' then 4 else 3 end as bigint) as height from events")
+@query(f"""with {_NODES} select prog, count(*) - 1 + count(case when type = 'Name' then 1 end) as n_nodes, cast(case any_value(kind) when 'click' then 4 when 'view' then 4 else 3 end as bigint) as height
+from n group by 1""")
 def node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).groupBy("prog").agg(F.count("*").alias("n_nodes"), F.max("height").cast("long").alias("height"))
+    """Nodes of each program, contexts counted and the Module not, and its height."""
+    top = _nodes(spark, sf_dir).filter("parent < 0")
+    return top.select("prog", (F.col("walk") - 1).cast("long").alias("n_nodes"), F.col("height").cast("long").alias("height"))
 
 
 @query("""select event_id as prog, user_id as value from events where event_type in ('error', 'click', 'purchase', 'signup')
@@ -212,10 +201,31 @@ def standardize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(forms, "code").select("prog", F.col("standard").alias("code"))
 
 
-#: Types of operators that compare (fixed values).
+#: Kinds of nodes that are operators (fixed values): those that compare, and the others.
 COMPARING = ("Eq", "NotEq", "Lt", "LtE", "Gt", "GtE", "Is", "IsNot", "In", "NotIn")
-#: Slots of a node that hold an operator (fixed values).
-OPERATOR_SLOT = r"^(op|ops\[\d+\])$"
+COMBINING = ("Add", "Sub", "Mult", "MatMult", "Div", "Mod", "Pow", "LShift", "RShift", "BitOr", "BitXor", "BitAnd", "FloorDiv", "Invert", "Not", "UAdd", "USub", "And", "Or")
+
+
+def small(value: Column) -> Column:
+    """Whether an integer as text is between -2 and 2; constants are never negative, a minus sign is an operator."""
+    return value.isin("0", "1", "2")
+
+
+def value_tokens() -> Column:
+    """Tokens of a node's constant or operator, as an array; empty for other nodes."""
+    value = F.substring("label", 7, 1 << 30)  # after "Const:"
+    const = F.col("const")
+    of_const = (
+        F.when(const == "bool", F.concat(F.lit("C:bool="), value))
+        .when(const == "int", F.concat(F.lit("C:int="), F.when(small(value), value).otherwise("big")))
+        .when(const == "float", F.lit("C:float"))
+        .when(const == "str", F.when(value.isin("''", '""'), "C:str=empty").otherwise("C:str"))
+        .otherwise(F.concat(F.lit("C:"), const))
+    )
+    operator = F.concat(F.lit("OP:"), "type")
+    compared = F.array(operator, F.concat(F.lit("CMP:"), "type"))
+    none = F.array().cast("array<string>")
+    return F.when(const.isNotNull(), F.array(of_const)).when(F.col("type").isin(*COMPARING), compared).when(F.col("type").isin(*COMBINING), F.array(operator)).otherwise(none)
 
 
 @query("""with c as (select event_id, user_id as k from events where event_type in ('error', 'click', 'signup', 'purchase') union all select event_id, event_id % 7 from events where event_type in ('view', 'purchase')
@@ -224,14 +234,8 @@ f as (select event_id, 'C:int=' || case when k between -2 and 2 then k::varchar
   union all select event_id, 'OP:Gt' from events where event_type = 'view' union all select event_id, 'CMP:Gt' from events where event_type = 'view')
 select event_id as prog, feature, count(*) as n from f group by all""")
 def code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constants (small integers by value, others together), operators, and comparisons once more, of each program."""
-    n = _nodes(spark, sf_dir)
-    value = F.regexp_extract("label", r"^Const:(-?\d+)$", 1)
-    small = F.when(value.isin("0", "1", "2"), value).otherwise("big")
-    constant = F.when((F.col("type") == "Constant") & (value != ""), F.array(F.concat(F.lit("C:int="), small)))
-    compares = F.col("type").isin(*COMPARING)
-    operator = F.when(F.col("slot").rlike(OPERATOR_SLOT), F.concat(F.array(F.concat(F.lit("OP:"), "type")), F.when(compares, F.array(F.concat(F.lit("CMP:"), "type"))).otherwise(F.array().cast("array<string>"))))
-    rows = n.select("prog", F.explode(F.coalesce(constant, operator)).alias("feature"))
+    """Constants by kind (small integers and booleans by value, strings by whether they are empty), operators, and comparisons once more, of each program."""
+    rows = _nodes(spark, sf_dir).select("prog", F.explode(value_tokens()).alias("feature"))
     return rows.groupBy("prog", "feature").agg(F.count("*").alias("n"))
 
 
