@@ -121,21 +121,6 @@ def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("pid", F.coalesce(F.col("pid").cast("string"), F.lit("OVERALL")))
 
 
-@query("""with e as (select user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before from events),
-o as (select user_id, event_type, case when before is null then 'insert' when before = event_type then 'keep' else 'replace' end as op from e),
-f as (select distinct user_id from events where event_type = 'purchase')
-select op, event_type, user_id in (select user_id from f) as solved, count(*) as n from o group by all""")
-def edit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps between a user's consecutive events by kind, by whether the user has an accepted one."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    steps = table(spark, sf_dir, "events").withColumn("before", before)
-    op = F.when(F.col("before").isNull(), "insert").when(F.col("before") == F.col("event_type"), "keep").otherwise("replace")
-    each = steps.groupBy("user_id", op.alias("op"), "event_type").agg(F.count("*").alias("n"))
-    solved = each.filter("event_type = 'purchase'").select("user_id").distinct().withColumn("solved", F.lit(True))
-    marked = each.join(solved, "user_id", "left").withColumn("solved", F.coalesce("solved", F.lit(False)))
-    return marked.groupBy("op", "event_type", "solved").agg(F.sum("n").alias("n"))
-
-
 @query("""select user_id, v as variable, a as access, p as parent_type, g as grandparent_type, count(*) as n from events join (values
 ('error', 'x', 'store', 'Assign', 'Module'), ('error', 'print', 'load', 'Call', 'Expr'), ('error', 'x', 'load', 'Call', 'Expr'),
 ('click', 'i', 'store', 'For', 'Module'), ('click', 'range', 'load', 'Call', 'For'), ('click', 'print', 'load', 'Call', 'Expr'), ('click', 'i', 'load', 'Call', 'Expr'),
