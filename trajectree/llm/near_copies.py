@@ -3,8 +3,9 @@
 Texts of equal sets are one set (the 64-bit hash of its shingles' hashes is its key). Candidates come from two sides and are verified by whole sets:
 
 * First round: what SimHash fingerprints (of five-word shingles) link, and each set with the least set under a shingle of its prefix.
-* Second round: no radius of fingerprints covers all similar pairs, so a prefix join does: in the order of the hashes, two sets that are similar enough share
-  one of their first n - ceil(0.8 n) + 1 shingles. Only shingles that sets of different groups share are looked at. Pairs are made inside a shingle's group of
+* Second round: no radius of fingerprints covers all similar pairs, so a prefix join does: in any order common to all, two sets that are similar enough share
+  one of their first n - ceil(0.8 n) + 1 shingles. Rare shingles come first: a shingle is one number, the size class of its count's bucket (:data:`BUCKETS`
+  counts over all texts, a table of fixed size) in the leading bits and its hash in the others, so passages of many documents stay out of prefixes. Only shingles that sets of different groups share are looked at. Pairs are made inside a shingle's group of
   sets, in numpy, where they pass the length and positional filters, weren't met at a shingle just before, and aren't too far apart by parity bitmaps of
   :data:`SKETCH` bits; so a pair comes out about once, and only if it is near the threshold or over it.
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ WIDTH = 5
 SIMILARITY = 0.8
 #: Bits of the parity bitmap of a set, which bounds the symmetric difference of two sets from below.
 SKETCH = 1024
+#: Buckets of shingles whose counts order them, and parts that the counts are summed in.
+BUCKETS, PARTS = 1 << 18, 64
+#: Tasks whose counts are added up first.
+MET = 256
+#: Bits of a shingle's number below its size class.
+HASH_BITS = 58
 
 _EPS = 1e-9
 
@@ -46,6 +54,41 @@ def _hashes(text: str | None) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *simhash.shingles(text, WIDTH)])
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).view(np.int64)
+
+
+def size_classes(docs: DataFrame) -> np.ndarray:
+    """For each bucket of shingles, the number of bits of its count over all texts."""
+    width = BUCKETS // PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                for hashes in simhash.shingles(text.as_py(), WIDTH):
+                    at, n = np.unique(_bucket(hashes), return_counts=True)
+                    sums[at] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([part.tobytes() for part in sums.reshape(PARTS, -1)])], ["part", "sums"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in parts["sums"].to_pylist())
+        return pa.table({"part": parts["part"][:1], "sums": [total.tobytes()]})
+
+    kinds = "part int, sums binary"
+    counted = docs.select("text").mapInArrow(count, kinds).withColumn("of", F.floor(F.spark_partition_id() / MET))
+    found = counted.groupBy("of", "part").applyInArrow(add, kinds).groupBy("part").applyInArrow(add, kinds).collect()
+    out = np.zeros(BUCKETS, np.int64)
+    for part, sums in found:
+        out[part * width : (part + 1) * width] = np.frombuffer(sums, np.int64)
+    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+
+
+def _ranked(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Hashes as numbers in the order of their size classes."""
+    return classes[_bucket(hashes)].astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> np.uint64(64 - HASH_BITS)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
@@ -66,7 +109,7 @@ def prefix_length(n: int) -> int:
     return n - math.ceil(SIMILARITY * n - 1e-9) + 1 if n else 0
 
 
-def sets(docs: DataFrame) -> DataFrame:
+def sets(docs: DataFrame, classes: Broadcast) -> DataFrame:
     """doc_id, text_id, set_id, fp, n, sketch, wide (a larger one) and prefix of every row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +117,7 @@ def sets(docs: DataFrame) -> DataFrame:
             keys, prints, sizes, sketches, wide, prefixes = [], [], [], [], [], []
             for text in batch["text"]:
                 hashes = _hashes(text.as_py())
-                key, members = _set(hashes)
+                key, members = _set(_ranked(hashes, classes.value))
                 keys.append(key)
                 prints.append(simhash.majority([hashes]))
                 sizes.append(len(members))
@@ -88,12 +131,12 @@ def sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "doc_id long, text_id long, set_id long, fp long, n int, sketch binary, wide binary, prefix array<long>")
 
 
-def _members(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _members(pairs: DataFrame, reps: DataFrame, docs: DataFrame, classes: Broadcast) -> DataFrame:
     """set_id and members (all shingles' hashes, from the text again) of the sets of some pairs."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_set(_hashes(text.as_py())) for text in batch["text"]]
+            made = [_set(_ranked(_hashes(text.as_py()), classes.value)) for text in batch["text"]]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), _lists([m for _, m in made])], ["set_id", "members"])
 
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
@@ -219,7 +262,8 @@ def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable by pairs that are similar enough) of every row; radius: that of the fingerprints' candidates."""
     # Tables are written and read rather than checkpointed: a checkpoint remembers how it was partitioned, and plans over many of them grow without end.
     docs = docs.select("doc_id", "text")
-    made = stored(sets(docs))
+    classes = docs.sparkSession.sparkContext.broadcast(size_classes(docs))
+    made = stored(sets(docs, classes))
     least = [F.min(c).alias(d) for c, d in (("doc_id", "least"), ("text_id", "text_id"), ("fp", "fp"), ("n", "n"))]
     least += [F.first(c).alias(c) for c in ("sketch", "wide")]
     reps = stored(made.groupBy("set_id").agg(*least, F.first("prefix").alias("prefix")))
@@ -231,9 +275,9 @@ def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     led = common.filter("set_id <> leader").groupBy(F.col("set_id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
     every = F.lit(1 << 30).alias("shared")  # proposed pairs are only held to the ratio of sizes
     tried = stored(_ordered(_possible(led, reps).union(_possible(proposed.select("a", "b", every), reps))))
-    linked = stored(_similar(tried, _members(tried, reps, docs)))
+    linked = stored(_similar(tried, _members(tried, reps, docs, classes)))
     rest = stored(_with_room(_left_open(common, linked, tried, reps), reps))
-    members = _members(rest, reps, docs)
+    members = _members(rest, reps, docs, classes)
     # First the most similar partner of each set, then what is still between two groups.
     best = cut(rest.groupBy("a").agg(F.max_by("b", "room").alias("b")))
     linked = stored(linked.union(_similar(best, members)))
