@@ -85,3 +85,25 @@ s(prog, ref, step, m) as (select prog, ref, 1::bigint, list_transform(range(size
     group by all)),
 matches as (select prog, ref, node, ref_node from (select prog, ref, unnest(range(len(m))) as node, unnest(m) as ref_node from s where step = (select count(*) + 1 from st where st.prog = s.prog)) where ref_node >= 0)
 """
+
+#: Kinds of statements and of operators in order programs (fixed values).
+_STMTS = "'Assign', 'For', 'If', 'Expr', 'ImportFrom', 'AugAssign', 'FunctionDef', 'Return', 'With', 'Delete'"
+_OPERATORS = "'Add', 'Mod', 'Eq', 'Or', 'Not', 'Is', 'Gt'"
+#: SQL: sg, the signature of each statement of the order programs that can be parsed (prog, node, sig), and fe, their features (prog, feature, n).
+FEATURES = f"""with {ORDER_NODES},
+cl as (select fragment, k, max(top) as stmt from fb join (select fragment, k as top, type as top_type from ft) using (fragment, top) where top_type in ({_STMTS}) group by all),
+fo as (select fill.prog, fill.node, fill.type, fill.label, fill.slot, os.begin_ + cl.stmt as stmt from fill join os on os.prog = fill.prog and fill.node between os.begin_ and os.begin_ + os.size - 1
+  join cl on cl.fragment = os.fragment and cl.k = fill.node - os.begin_),
+tk as (select prog, stmt, case when type in ({_OPERATORS}) then type when type = 'Subscript' then 'sub' when label = 'Const:True' then 'kB' when label in ('Const:0', 'Const:1', 'Const:2') then 'k' || label[7:]
+  when label = 'Const:1.5' then 'kF' when label[1:7] = 'Const:''' then 'kS' when label = 'Const:None' then null when type = 'Constant' then 'kI' when slot <> 'func' then null
+  when label in ('Name:int', 'Name:input', 'Name:range', 'Name:print') then 'call:' || label[6:] when type = 'Attribute' then 'meth:' || label[11:] else 'call' end as tok from fo),
+sg as (select fo.prog, fo.node, fo.type || coalesce('|' || toks, '') as sig from fo left join (select prog, stmt, string_agg(distinct tok, ',' order by tok) as toks from tk where tok is not null group by all) t
+  on t.prog = fo.prog and t.stmt = fo.node where fo.node = fo.stmt),
+sl as (select prog, sig, lead(sig, 1) over w as s1, lead(sig, 2) over w as s2 from sg window w as (partition by prog order by node)),
+tl as (select prog, type || '/' || lead(type, 1) over w || '/' || lead(type, 2) over w || '/' || lead(type, 3) over w as gram from on_ window w as (partition by prog order by node)),
+fe as (select prog, feature, sum(n)::bigint as n from (select prog, 'EU:' || sig as feature, 2 as n from sl union all select prog, 'E2:' || sig || '/' || s1, 1 from sl union all select prog, 'E3:' || sig || '/' || s1 || '/' || s2, 1 from sl
+  union all select prog, 'Es1b:' || sig || '/' || s2, 1 from sl union all select prog, 'F4:' || gram, 1 from tl union all select prog, 'OP:' || type, 1 from on_ where type in ({_OPERATORS})
+  union all select prog, 'CMP:' || type, 1 from on_ where type in ('Eq', 'Is', 'Gt') union all select prog, case when label = 'Const:True' then 'C:bool=True' when label = 'Const:None' then 'C:NoneType'
+  when label = 'Const:1.5' then 'C:float' when label = 'Const:''''' then 'C:str=empty' when label[1:7] = 'Const:''' then 'C:str' when label in ('Const:0', 'Const:1', 'Const:2') then 'C:int=' || label[7:] else 'C:int=big' end, 1
+  from on_ where type = 'Constant') x where feature is not null group by all)
+"""

@@ -20,7 +20,7 @@ from trajectree.operators.outlines import STATEMENTS as _STATEMENTS
 from trajectree.registry import query
 from trajectree.sources.programs import programs
 
-NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean, is_expr boolean, ctx string, const string, walk int"
+NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean, is_expr boolean, ctx string, const string, walk int, stmt int"
 #: The attribute whose value is part of a node's label, for the kinds that have one (fixed values).
 VALUED = {"Name": "id", "arg": "arg", "keyword": "arg", "Attribute": "attr", "ImportFrom": "module", "FunctionDef": "name"}
 
@@ -28,28 +28,30 @@ VALUED = {"Name": "id", "arg": "arg", "keyword": "arg", "Attribute": "attr", "Im
 def nodes_of(code: str) -> list[tuple] | None:
     """The nodes of a program in preorder, None if it can't be parsed or is nested too deeply.
 
-    Contexts (Load, Store, Del) are no nodes but a column, ctx; walk counts a node and all below it with their contexts. const is the type of a constant's value.
+    Contexts (Load, Store, Del) are no nodes but a column, ctx; walk counts a node and all below it with their contexts. const is the type of a constant's value,
+    stmt the nearest statement that holds the node, or the node itself (-1: none).
     """
     try:
-        todo = [(ast.parse(code), -1, "", "", 0)]
+        todo = [(ast.parse(code), -1, "", "", 0, -1)]
     except UNREADABLE:
         return None
     out: list[list] = []
     while todo:
-        tree, parent, slot, path, depth = todo.pop()
+        tree, parent, slot, path, depth, stmt = todo.pop()
         kind = type(tree).__name__
         label = f"Const:{tree.value!r}" if kind == "Constant" else f"{kind}:{getattr(tree, VALUED[kind])}" if kind in VALUED else kind
         if kind == "alias":  # import a as b
             label = f"alias:{tree.name}:{tree.asname}"
         path = path + "/" + kind if path else kind * (parent >= 0)
         ctx, const = type(tree.ctx).__name__ if hasattr(tree, "ctx") else None, type(tree.value).__name__ if kind == "Constant" else None
-        out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt), isinstance(tree, ast.expr), ctx, const, 1 + (ctx is not None)])
+        stmt = len(out) if isinstance(tree, ast.stmt) else stmt
+        out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt), isinstance(tree, ast.expr), ctx, const, 1 + (ctx is not None), stmt])
         below = []
         for name, value in ast.iter_fields(tree):
             several = isinstance(value, list)
             for k, child in enumerate(value if several else [value]):
                 if isinstance(child, ast.AST) and name != "ctx":
-                    below.append((child, len(out) - 1, f"{name}[{k}]" if several else name, path, depth + 1))
+                    below.append((child, len(out) - 1, f"{name}[{k}]" if several else name, path, depth + 1, stmt))
         todo.extend(reversed(below))
     parts = [[n[4]] for n in out]
     for n in reversed(out):
