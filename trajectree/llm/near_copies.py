@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajectree.llm import simhash
-from trajectree.llm.common import cut, stored
+from trajectree.llm.common import cut, released, stored
 from trajectree.llm.components import components
 from trajectree.llm.line_dedup import TILE, overlap, units
 
@@ -260,37 +260,55 @@ def _left_open(common: DataFrame, linked: DataFrame, tried: DataFrame, reps: Dat
 
 def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable by pairs that are similar enough) of every row; radius: that of the fingerprints' candidates."""
-    # Tables are written and read rather than checkpointed: a checkpoint remembers how it was partitioned, and plans over many of them grow without end.
-    docs = docs.select("doc_id", "text")
-    classes = docs.sparkSession.sparkContext.broadcast(size_classes(docs))
+    # Tables are written and read rather than checkpointed: a checkpoint remembers how it was partitioned, and plans over many of them grow without end. Each is
+    # deleted when nothing reads it any more, and so are the shuffle files behind it.
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    classes = spark.sparkContext.broadcast(size_classes(docs))
     made = stored(sets(docs, classes))
     least = [F.min(c).alias(d) for c, d in (("doc_id", "least"), ("text_id", "text_id"), ("fp", "fp"), ("n", "n"))]
     least += [F.first(c).alias(c) for c in ("sketch", "wide")]
     reps = stored(made.groupBy("set_id").agg(*least, F.first("prefix").alias("prefix")))
-    tokens = reps.select("set_id", F.explode("prefix").alias("token")).repartition("token")
-    # Both sides are the same rows, so they are dealt out once.
-    met = tokens.groupBy("token").agg(F.count("*").alias("_sets"), F.min("set_id").alias("leader")).filter("_sets > 1").drop("_sets")
-    common = stored(tokens.join(met, "token"))
-    proposed = simhash.links(reps.select(F.col("set_id").alias("rep"), "fp"), radius)
-    led = common.filter("set_id <> leader").groupBy(F.col("set_id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
-    every = F.lit(1 << 30).alias("shared")  # proposed pairs are only held to the ratio of sizes
-    tried = stored(_ordered(_possible(led, reps).union(_possible(proposed.select("a", "b", every), reps))))
-    linked = stored(_similar(tried, _members(tried, reps, docs, classes)))
-    rest = stored(_with_room(_left_open(common, linked, tried, reps), reps))
+    ids = stored(made.select("doc_id", "set_id"))
+    released(spark, made)
+    linked, rest = _candidates(reps, docs, classes, radius)
     members = _members(rest, reps, docs, classes)
     # First the most similar partner of each set, then what is still between two groups.
     best = cut(rest.groupBy("a").agg(F.max_by("b", "room").alias("b")))
     linked = stored(linked.union(_similar(best, members)))
+    released(spark)
     roots = stored(components(linked))
     for c in "ab":
         rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
     rest = stored(rest.filter("_a <> _b").select("a", "b").join(best, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = components(stored(linked.union(_similar(rest, members))))
+        roots = stored(components(stored(linked.union(_similar(rest, members)))))
     groups = reps.select("set_id", "least").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     groups = cut(groups)
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.select("doc_id", "set_id").join(groups.select("set_id", "root").join(ids, "root"), "set_id").select("doc_id", "component_id")
+    released(spark, members, reps)
+    chosen = groups.groupBy("root").agg(F.min("least").alias("component_id"))
+    return ids.join(groups.select("set_id", "root").join(chosen, "root"), "set_id").select("doc_id", "component_id")
+
+
+def _candidates(reps: DataFrame, docs: DataFrame, classes: Broadcast, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) that the first round finds, and the pairs (a, b, room) that it leaves open."""
+    spark = docs.sparkSession
+    tokens = reps.select("set_id", F.explode("prefix").alias("token")).repartition("token")
+    # Both sides are the same rows, so they are dealt out once.
+    met = tokens.groupBy("token").agg(F.count("*").alias("_sets"), F.min("set_id").alias("leader")).filter("_sets > 1").drop("_sets")
+    common = stored(tokens.join(met, "token"))
+    del tokens, met
+    released(spark)
+    proposed = simhash.links(reps.select(F.col("set_id").alias("rep"), "fp"), radius)
+    led = common.filter("set_id <> leader").groupBy(F.col("set_id").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
+    every = F.lit(1 << 30).alias("shared")  # proposed pairs are only held to the ratio of sizes
+    tried = stored(_ordered(_possible(led, reps).union(_possible(proposed.select("a", "b", every), reps))))
+    del led, proposed
+    members = _members(tried, reps, docs, classes)
+    linked = stored(_similar(tried, members))
+    released(spark, members)
+    rest = stored(_with_room(_left_open(common, linked, tried, reps), reps))
+    released(spark, common, tried)
+    return linked, rest
 
 
 def deduplicate(docs: DataFrame, radius: int) -> DataFrame:
