@@ -87,11 +87,11 @@ matches as (select prog, ref, node, ref_node from (select prog, ref, unnest(rang
 """
 
 #: Kinds of statements and of operators in order programs (fixed values).
-_STMTS = "'Assign', 'For', 'If', 'Expr', 'ImportFrom', 'AugAssign', 'FunctionDef', 'Return', 'With', 'Delete'"
+STATEMENT_KINDS = "'Assign', 'For', 'If', 'Expr', 'ImportFrom', 'AugAssign', 'FunctionDef', 'Return', 'With', 'Delete'"
 _OPERATORS = "'Add', 'Mod', 'Eq', 'Or', 'Not', 'Is', 'Gt'"
 #: SQL: sg, the signature of each statement of the order programs that can be parsed (prog, node, sig), and fe, their features (prog, feature, n).
 FEATURES = f"""with {ORDER_NODES},
-cl as (select fragment, k, max(top) as stmt from fb join (select fragment, k as top, type as top_type from ft) using (fragment, top) where top_type in ({_STMTS}) group by all),
+cl as (select fragment, k, max(top) as stmt from fb join (select fragment, k as top, type as top_type from ft) using (fragment, top) where top_type in ({STATEMENT_KINDS}) group by all),
 fo as (select fill.prog, fill.node, fill.type, fill.label, fill.slot, os.begin_ + cl.stmt as stmt from fill join os on os.prog = fill.prog and fill.node between os.begin_ and os.begin_ + os.size - 1
   join cl on cl.fragment = os.fragment and cl.k = fill.node - os.begin_),
 tk as (select prog, stmt, case when type in ({_OPERATORS}) then type when type = 'Subscript' then 'sub' when label = 'Const:True' then 'kB' when label in ('Const:0', 'Const:1', 'Const:2') then 'k' || label[7:]

@@ -9,18 +9,19 @@ from trajectree.registry import query
 from trajectree.sources.programs import programs
 
 
-def build_trajectories(submissions: DataFrame, sources: DataFrame, least_wrong: int = 2, least_trajectories: int = 2) -> DataFrame:
-    """pid, user_id and submissions (ts, sid, verdict, code in order).
+def build_trajectories(submissions: DataFrame, sources: DataFrame, least_wrong: int = 2, least_trajectories: int = 2, tie: str = "sid") -> DataFrame:
+    """pid, user_id and submissions (ts, sid, verdict, code in order; equal times by ``tie``).
 
-    submissions: pid, user_id, sid, ts, verdict; sources: sid, code. A trajectory ends at its first accepted submission with enough wrong ones before it;
+    submissions: pid, user_id, sid, ts, verdict; sources: sid, code, and pid if ids are a problem's own. A trajectory ends at its first accepted submission with enough wrong ones before it;
     it goes if a source is missing, and so do problems of too few trajectories.
     """
     history = Window.partitionBy("pid", "user_id")
-    rows = submissions.withColumn("_n", F.row_number().over(history.orderBy("ts", "sid")))
+    rows = submissions.withColumn("_n", F.row_number().over(history.orderBy("ts", tie)))
     rows = rows.withColumn("_end", F.min(F.when(F.col("verdict") == "Accepted", F.col("_n"))).over(history)).filter("_n <= _end").filter(F.col("_end") > least_wrong)
-    rows = rows.join(sources.select("sid", "code"), "sid", "left")
-    submission = F.struct("ts", "sid", "verdict", "code")
-    kept = rows.groupBy("pid", "user_id").agg(F.array_sort(F.collect_list(submission)).alias("submissions"), F.bool_and(F.col("code").isNotNull()).alias("_whole"))
+    keys = [c for c in ("pid", "sid") if c in sources.columns]
+    rows = rows.join(sources.select(*keys, "code"), keys, "left")
+    ordered = F.array_sort(F.collect_list(F.struct("_n", F.struct("ts", "sid", "verdict", "code").alias("s"))))
+    kept = rows.groupBy("pid", "user_id").agg(ordered["s"].alias("submissions"), F.bool_and(F.col("code").isNotNull()).alias("_whole"))
     kept = kept.filter("_whole").drop("_whole")
     return kept.withColumn("_k", F.count("*").over(Window.partitionBy("pid"))).filter(F.col("_k") >= least_trajectories).drop("_k")
 

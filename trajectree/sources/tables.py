@@ -32,7 +32,8 @@ def time_limits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qualifying_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Accepted and wrong Python submissions of <path>/metadata/<pid>.csv: pid, sid, user_id, ts, status."""
+    """Accepted and wrong Python submissions of <path>/metadata/<pid>.csv: pid, sid, user_id, ts, status, and at, which follows the order of the file's rows."""
     kinds = "sid string, problem string, user_id string, ts bigint, language string, original string, filename string, status string"
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
     read = spark.read.schema(kinds).csv(f"{path}/metadata/*.csv", header=True).withColumn("pid", F.regexp_extract("_metadata.file_path", r"([^/]+)\.csv$", 1))
-    return read.filter((F.col("language") == "Python") & F.col("status").isin("Accepted", "Wrong Answer")).select("pid", "sid", "user_id", "ts", "status")
+    return read.filter((F.col("language") == "Python") & F.col("status").isin("Accepted", "Wrong Answer")).select("pid", "sid", "user_id", "ts", "status", at)
