@@ -28,8 +28,8 @@ ORDERS = (1, 2, 3)
 PIECE = 1 << 18
 #: Languages in one matrix; beyond, there are several.
 MOST_LANGUAGES = 200
-#: Counts that one sparse product holds, about.
-COUNTS = 1 << 18
+#: Log probabilities that one sparse product holds, about: counts times languages.
+CELLS = 1 << 22
 UNKNOWN = "und"
 
 
@@ -80,11 +80,10 @@ class Block:
     matrix: np.ndarray
     prior: np.ndarray
 
-    def logs(self, counts: list[np.ndarray]) -> np.ndarray:
-        """Texts x languages: log prior and log likelihood of each text's bucket counts."""
-        at = [np.flatnonzero(c) for c in counts]
-        begin = np.cumsum([0, *map(len, at[:-1])])
-        columns, values = np.concatenate(at), np.concatenate([c[a] for c, a in zip(counts, at)])
+    def logs(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Texts x languages: log prior and log likelihood of each text's counts (buckets that have any, and how many)."""
+        begin = np.cumsum([0, *(len(at) for at, _ in counts[:-1])])
+        columns, values = (np.concatenate(x) for x in zip(*counts))
         return np.add.reduceat(self.matrix[columns] * values[:, None], begin, axis=0) + self.prior
 
 
@@ -120,17 +119,20 @@ def train(docs: DataFrame, smoothing: float = 1.0) -> Model:
 def _scorer(shared):
     """Adds a block's languages to what earlier blocks found: the best, its log, and the sum of all relative to it (logs are per character)."""
 
-    def texts(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[np.ndarray], list[int]]]:
+    def texts(batch: pa.RecordBatch, most: int) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]], list[int]]]:
+        """Texts with a letter, some at a time: their rows, counts and lengths."""
         rows, counts, lengths, held = [], [], [], 0
         for k, text in enumerate(batch["text"]):
             said = text.as_py()
             if said is None or not has_letter(said):
                 continue
             rows.append(k)
-            counts.append(buckets(said))
+            dense = buckets(said)
+            at = np.flatnonzero(dense)
+            counts.append((at, dense[at]))
             lengths.append(len(said))
-            held += int((counts[-1] > 0).sum())
-            if held > COUNTS:
+            held += len(at)
+            if held > most:
                 yield rows, counts, lengths
                 rows, counts, lengths, held = [], [], [], 0
         if rows:
@@ -142,7 +144,7 @@ def _scorer(shared):
         for batch in batches:
             best = np.array(batch["lang_pred"].to_pylist(), object)
             log, total = (batch[c].to_numpy().copy() for c in ("_log", "_sum"))
-            for rows, counts, lengths in texts(batch):
+            for rows, counts, lengths in texts(batch, CELLS // len(names)):
                 logs = block.logs(counts) / np.array(lengths)[:, None]
                 top = logs.max(1)
                 sums, at = np.exp(logs - top[:, None]).sum(1), np.array(rows)
