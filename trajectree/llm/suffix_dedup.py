@@ -268,7 +268,7 @@ def repeated_spans(docs: DataFrame, most: int = GROUP) -> DataFrame:
 def remaining(docs: DataFrame, most: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text")
-    spans = repeated_spans(docs, most).groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = repeated_spans(docs, most).groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))  # repeated rows give equal spans
     both = docs.join(spans, [docs["doc_id"].eqNullSafe(spans["doc_id"]), docs["text_id"] == spans["text_id"]], "left").select(docs["doc_id"], "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
