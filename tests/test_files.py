@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajectree.operators import bands
 from trajectree.plans import build
-from trajectree.sources import catalogue, quarantine, store, tables
+from trajectree.sources import catalogue, quarantine, sinks, store
 from trajectree.streaming import progress
 
 
@@ -157,3 +157,17 @@ def test_band_join(spark, monkeypatch, low, high, piece):
     want = sorted((a, b) for a, k, s in one for b, j, t in two if k == j and low * s <= t <= high * s)
     assert rows(bands.band_join(left, right, ["kind"], low, high).select("a", "b")) == want
     assert bands.band_join(left.limit(0), right, ["kind"]).count() == 0
+
+
+def test_report_is_added_to(spark, tmp_path):
+    results = [("p2", "pass", 4.0, 0.5), ("p1", "fail", None, None), ("p1", "pass", 2.0, -0.5), ("p1", "skip", None, None), ("p3", "skip", None, None)]
+    df = spark.createDataFrame(results, "pid string, status string, ted double, ip double")
+    for _ in range(2):
+        sinks.append_report(df, f"{tmp_path}/out")
+    want = [
+        "p1       RR= 50.0% (1/2) skip=1 | TED=   2.0 IP mean=-0.50", "p2       RR=100.0% (1/1) skip=0 | TED=   4.0 IP mean=+0.50", "p3       RR=  0.0% (0/0) skip=1 | TED=   0.0 IP mean=+0.00",
+        "=== OVERALL: micro-RR=66.7% (2/3) macro-RR=50.0% over 3 problems | TED=3.0 IP mean=+0.00 ===",
+    ]
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted(want * 2)
+    assert [f.read_text().splitlines() for f in (tmp_path / "out").glob("part-*")] == [want] * 2
+    assert sinks.report(df.limit(0)).count() == 1

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 
 from tests.programs import edited, program
-from trajectree.operators.matching import matched
+from trajectree.operators.matching import edit_operations, frozen, holes, matched, variable_map
 from trajectree.operators.trees import flattened
 
 #: Attributes that labels show (fixed values).
@@ -128,3 +128,30 @@ def test_no_pairs_and_broken_programs(spark):
     assert mapped(spark, {0: ("x =", "x = 1"), 1: ("x = 1", "x ="), 2: ("", "")}) == {2: {0: 0}}
     nodes = flattened(spark.createDataFrame([(1, "x = 1")], "prog long, code string"))
     assert matched(nodes, spark.createDataFrame([], "pair long, prog long, ref long")).collect() == []
+
+
+def test_edits_and_variables_by_hand(spark):
+    both = {0: ("x = f(1)\nprint(x)", "y = f(2)\nprint(y)"), 1: ("a = 1", "a = 1\nb = a"), 2: ("a = b\ndel c", "a = b"), 3: ("n = n", "n = n")}
+    nodes = flattened(spark.createDataFrame([(2 * p + k, code) for p, pair in both.items() for k, code in enumerate(pair)], "prog long, code string"))
+    pairs = spark.createDataFrame([(p, 2 * p, 2 * p + 1) for p in both], "pair long, prog long, ref long")
+    found = matched(nodes, pairs)
+    ops = defaultdict(list)
+    for r in edit_operations(nodes, pairs, found).orderBy("pair", "op", "node").collect():
+        ops[r["pair"]].append((r["op"], r["node"]))
+    # 0: the first statements' targets contradict each other, so all but the equal f and what the votes and slots reach is gone and new.
+    a, v = Tree(both[0][0]), Tree(both[0][1])
+    by_hand = plain(a, v)
+    assert set(ops[0]) == {("delete", i) for i in range(len(a.kind)) if i not in by_hand} | {("insert", j) for j in range(len(v.kind)) if j not in by_hand.values()} | {("replace", i) for i, j in by_hand.items() if a.label[i] != v.label[j]}
+    assert ops[1] == [("insert", 4), ("insert", 5), ("insert", 6)] and ops[2] == [("delete", 4), ("delete", 5)] and ops[3] == []
+    names = {(r["pair"], r["ref_name"]): r["name"] for r in variable_map(nodes, pairs, found).collect()}
+    assert names[3, "n"] == "n" and names[2, "a"] == "a" and names[2, "b"] == "b" and names[1, "a"] == "a" and (1, "b") not in names
+
+
+def test_holes_are_what_changed(spark):
+    codes = ["x = 1\ny = 2", "x = 1\ny = 3", "x = 1\nif z:\n    y = 2\ny = 2", "q ="]
+    nodes = flattened(spark.createDataFrame([(k, 7, k, code) for k, code in enumerate(codes)] + [(9, 8, 0, "x = 1")], "prog long, owner long, ts long, code string"))
+    got = defaultdict(list)
+    for r in holes(nodes).orderBy("prog", "node").collect():
+        got[r["prog"]].append((r["node"], r["hole"]))
+    assert got == {0: [(1, "__HOLE_0"), (4, "__HOLE_1")], 1: [(4, "__HOLE_0")], 2: [(4, "__HOLE_0"), (9, "__HOLE_1")], 9: [(1, "__HOLE_0")]}
+    assert {(r["prog"], r["node"]) for r in frozen(nodes).filter("prog = 1").collect()} == {(1, 1), (1, 2), (1, 3), (1, 5)}

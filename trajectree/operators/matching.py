@@ -18,12 +18,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajectree.operators.outlines import ORDER_MATCHES
+from trajectree.operators.outlines import ORDER_MATCHES, ORDER_NODES
 from trajectree.operators.trees import flattened
 from trajectree.registry import query
 from trajectree.sources.order_programs import order_programs
 from trajectree.sources.shared import cut
 
+#: What names of holes begin with (fixed value).
+HOLE = "__HOLE_"
+#: Kinds of nodes in order programs that are neither statements nor expressions (fixed values).
+_PARTS = "'Module', 'alias', 'arguments', 'arg', 'withitem', 'Add', 'Mod', 'Eq', 'Or', 'Not', 'Is', 'Gt'"
 #: Slots that hold what a node is named by (fixed values).
 NAMING = r"^(func|target|targets.*)$"
 
@@ -175,8 +179,21 @@ def frozen(nodes: DataFrame) -> DataFrame:
     return nodes.filter("is_stmt or is_expr").join(always, ["prog", "hash"]).select("prog", "node")
 
 
-#: Kinds of nodes in order programs that are neither statements nor expressions (fixed values).
-_PARTS = "'Module', 'alias', 'arguments', 'arg', 'withitem', 'Add', 'Mod', 'Eq', 'Or', 'Not', 'Is', 'Gt'"
+def holes(nodes: DataFrame) -> DataFrame:
+    """prog, node and hole of the statements at the top of each program that not all of the owner's programs up to it have, named in preorder; all, if it is the first."""
+    first = nodes.filter("parent < 0").groupBy("owner").agg(F.min_by("prog", F.struct("ts", "prog")).alias("prog")).select("prog", F.lit(True).alias("first"))
+    tops = nodes.filter("is_stmt and depth = 1").select("prog", "node").join(first, "prog", "left").join(frozen(nodes).withColumn("fixed", F.lit(True)), ["prog", "node"], "left")
+    open_ = tops.filter(F.col("first").isNotNull() | F.col("fixed").isNull())
+    return open_.select("prog", "node", F.concat(F.lit(HOLE), F.row_number().over(Window.partitionBy("prog").orderBy("node")) - 1).alias("hole"))
+
+
+@query(f"""with {ORDER_NODES}, sq as (select prog, owner, row_number() over (partition by owner order by ts, prog) as seq from on_ where node = 0),
+se as (select distinct on_.owner, form, seq, prog from on_ join sq using (prog) where type not in ({_PARTS})),
+fr as (select prog, form from se qualify row_number() over (partition by owner, form order by seq) = seq)
+select prog, node, '__HOLE_' || (row_number() over (partition by prog order by node) - 1) as hole from on_ join sq using (prog) left join fr using (prog, form) where depth = 1 and (seq = 1 or fr.prog is null)""")
+def sketch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The holes of every program's sketch against the customer's earlier ones."""
+    return holes(consecutive(spark, sf_dir)[0])
 
 
 @query(ORDER_MATCHES + f""", accepted as (select o_orderkey as ref, o_orderstatus = 'F' as accepted from orders),
