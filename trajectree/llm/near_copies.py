@@ -249,10 +249,12 @@ def _left_open(common: DataFrame, linked: DataFrame, tried: DataFrame, reps: Dat
     roots = components(linked)
     rows = cut(common.join(roots, common["set_id"] == roots["node"], "left").select("token", "set_id", F.coalesce("root", "set_id").alias("root")))
     mixed = cut(rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("token"))
-    open_sets = cut(rows.join(mixed, "token", "left_semi").select("set_id", "root").distinct())
+    # Only shared tokens' places are looked up, and a set's bitmap meets them once: a row for each token of each prefix would be many times as much.
+    shared = rows.join(mixed, "token", "left_semi").groupBy("set_id").agg(F.first("root").alias("root"), F.collect_list("token").alias("met"))  # as long as a prefix at most
+    places = F.transform("met", lambda token: (F.array_position("prefix", token) - 1).cast("int"))
     before = lambda i, k: F.coalesce(F.get("prefix", i - k), F.lit(-1)).alias(f"p{k}")
-    each = F.transform("prefix", lambda x, i: F.struct(x.alias("token"), i.alias("at"), before(i, 1), before(i, 2), before(i, 3)))
-    rows = reps.join(open_sets, "set_id").select(F.col("set_id").alias("set"), "root", "n", "sketch", F.inline(each)).join(mixed, "token", "left_semi")
+    each = F.transform("places", lambda i: F.struct(F.get("prefix", i).alias("token"), i.alias("at"), before(i, 1), before(i, 2), before(i, 3)))
+    rows = reps.join(shared, "set_id").withColumn("places", places).select(F.col("set_id").alias("set"), "root", "n", "sketch", F.inline(each))
     rows = units(rows, TILE, 0).select("unit", "side", "root", "n", "at", "set", "p1", "p2", "p3", "sketch")
     met = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_compare, "a long, b long")
     return _ordered(met).join(tried, ["a", "b"], "left_anti")
