@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajectree.operators import bands
-from trajectree.plans import build
-from trajectree.sources import catalogue, quarantine, sinks, store
+from trajectree.plans import build, loading
+from trajectree.sources import catalogue, quarantine, sinks, store, tables
 from trajectree.streaming import progress
 
 
@@ -171,3 +171,20 @@ def test_report_is_added_to(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()) == sorted(want * 2)
     assert [f.read_text().splitlines() for f in (tmp_path / "out").glob("part-*")] == [want] * 2
     assert sinks.report(df.limit(0)).count() == 1
+
+
+def test_problems_as_loaded(spark, tmp_path):
+    both = {"trajectories.jsonl": "{}", "tests.jsonl": "{}"}
+    for pid, more in {"p1": {"meta.json": '{"time_limit_ms": 5000}', "problem.html": "<h1>A</h1>\n b" + "c" * 2000}, "p2": {"meta.json": "bad"}, "p3": {}, "p4": {"meta.json": '{"time_limit_ms": null}'}}.items():
+        put(tmp_path, {f"{pid}/{n}": t for n, t in (both | more).items()})
+    put(tmp_path, {"p5/tests.jsonl": "{}"})
+    assert rows(loading.problems(spark, str(tmp_path)).select("pid", "seconds")) == [("p1", 5.0), ("p2", 2.0), ("p3", 2.0), ("p4", 2.0)]
+    assert rows(loading.problems(spark, str(tmp_path), 3.0, 4.0).select("pid", "seconds")) == [("p1", 4.0), ("p2", 2.0), ("p3", 3.0), ("p4", 2.0)]
+    texts = {r["pid"]: r["statement"] for r in loading.problems(spark, str(tmp_path)).collect()}
+    assert texts["p1"].startswith("A bccc") and len(texts["p1"]) == 1200 and texts["p3"] == ""
+
+
+def test_submissions_by_verdict(spark, tmp_path):
+    runs = {"u1": [("Wrong Answer", "a"), ("Accepted", "b"), ("Wrong Answer", "c"), ("Accepted", "d")], "u2": [("Wrong Answer", "e")], "u3": [("Accepted", None)]}
+    put(tmp_path, {"p/trajectories.jsonl": "\n".join(json.dumps({"problem_id": "p", "user_id": u, "submissions": [{"sid": f"s{k}", "ts": k, "verdict": v, "code": c} for k, (v, c) in enumerate(run)]}) for u, run in runs.items())})
+    assert rows(loading.by_verdict(tables.trajectories(spark, str(tmp_path)))) == [("p", "u1", ["a", "c"], "d"), ("p", "u2", ["e"], None), ("p", "u3", [], None)]
