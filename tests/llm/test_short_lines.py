@@ -27,9 +27,12 @@ def test_short_lines_are_removed_and_whole_copies_dropped(spark):
     got = {(r["doc_id"], r["line"]) for r in line_dedup.removed_lines(docs, least_words=1).collect()}
     # Of four tokens within five, the later line goes.
     assert got == plain(rows) and (4, 0) in got and (4, 1) not in got
-    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    out = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs, least_words=1).collect()}
+    assert set(out) == {1, 3, 4, 5} and out[1] == rows[0][1] and out[3] == f"{words(60, 2)}\na b c d e" and out[5] == "TITLE"
+    # In the pipeline, documents that would lose more than half are left to near-dedup as they are.
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert staged == dict(rows) | {k: out[k] for k in (3, 4)}
     more = [(7, f"{words(40, 4)}\n{words(60, 3)}"), (8, f"{words(40, 4)}\n{words(20, 5)}"), (9, f"{words(40, 4)}\n{words(60, 6)}"), (10, f"{words(9, 7)}\nx"), (11, f"{words(9, 7)}\ny")]
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, documents(spark, more), "").collect()}
-    # Of document 8 a third is left, of the short document 11 even less.
-    assert set(kept) == {7, 9, 10, 11} and kept[9] == words(60, 6) and kept[11] == "y"
-    assert set(out) == {1, 3, 4, 5} and out[1] == rows[0][1] and out[3] == f"{words(60, 2)}\na b c d e"
+    # Of documents 8 and 11 less than half would be left.
+    assert kept == dict(more) | {9: words(60, 6)}
