@@ -1,4 +1,8 @@
-"""The training-corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+"""The training-corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
+
+Defined results, for all stages: a null text is empty and fails the quality rules; rows that are repeated are documents of their own until near-dedup, which keeps one;
+a null doc_id takes part; columns beside doc_id, text, source and n_chars pass through; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
