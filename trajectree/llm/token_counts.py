@@ -1,15 +1,15 @@
 """Token counts that follow edits: only what an edit touches is encoded again.
 
 A document keeps a segment tree over blocks of its pre-tokens: a leaf has the lengths of its pre-tokens, their characters and their ids; an inner node the
-sums of its children. An edit replaces a range of characters. Pre-tokens are matched from left to right and look at most two characters ahead, so the
-text is split again from the pre-token that holds the second character before the edit, until a boundary after the edit falls on an old one; from there on nothing
-changes. The leaves touched are replaced and the sums on their paths to the root updated.
+sums of its children. An edit replaces a range of characters. Pre-tokens are matched from left to right and look at most two characters ahead, or as far as the
+string of a special token goes (:attr:`Encoder.reach`). So the text is split again from the pre-token that holds the character that far before the edit, with as
+many characters of context behind it, until a boundary after the edit falls on an old one; from there on nothing changes. The leaves touched are replaced and
+the sums on their paths to the root updated. Pre-tokens are the tokenizer's own for every script.
 
 Each row is counted on its own, so any split of the table into tasks works, and nothing is shuffled.
 
-Defined results: null text has 0 tokens and no edits; overlapping edits, and edits out of the text's range, raise an error; a text with strings of special
-tokens or with rare characters is encoded as a whole, before and after its edits (``encoded_chars`` shows it); repeated rows are counted each; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null text has 0 tokens and no edits; overlapping edits, and edits out of the text's range, raise an error; the string of a special token
+is that token, also where an edit makes it; repeated rows are counted each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ class Tree:
 
     def __init__(self, text: str, encode: Encoder):
         self.encode, self.encoded_chars = encode, len(text)
-        pieces = encode.split.findall(text)
+        pieces = encode.split(text)
         self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars = np.zeros(2 * self.size, np.int64)
@@ -87,35 +87,39 @@ class Tree:
         """Replace the characters from start to end (in the text as it is now)."""
         if not 0 <= start <= end <= self.chars[1]:
             raise ValueError(f"no such range: {start} to {end}")
-        leaf, at = self._leaf_at(max(0, start - 2))
+        reach = self.encode.reach
+        leaf, at = self._leaf_at(max(0, start - reach))
         window, last, stay = list(self.leaves[leaf]), leaf, 0
-        # Pre-tokens that end two characters or more before the edit stay.
-        while stay < len(window) and at + len(window[stay]) < start - 1:
+        # Pre-tokens that end out of reach before the edit stay.
+        while stay < len(window) and at + len(window[stay]) <= start - reach:
             at += len(window[stay])
             stay += 1
-        kept, window, taken, reach = window[:stay], window[stay:], 0, at
+        kept, window, taken, upto = window[:stay], window[stay:], 0, at
 
-        def another() -> bool:
+        def another(more: int = 0) -> bool:
             nonlocal last
-            while taken == len(window) and last + 1 < len(self.leaves):
+            while taken + more >= len(window) and last + 1 < len(self.leaves):
                 last += 1
                 window.extend(self.leaves[last])
-            return taken < len(window)
+            return taken + more < len(window)
 
-        while reach < end and another():
-            reach += len(window[taken])
+        while upto < end and another():
+            upto += len(window[taken])
             taken += 1
         while True:
             old = "".join(window[:taken])
             text = old[: start - at] + new + old[end - at :]
-            # One pre-token more as context: the end of the text is a boundary only if what follows leaves it so.
-            context = window[taken] if another() else ""
+            # Pre-tokens behind it as context: the end of the text is a boundary only if what follows leaves it so.
+            context, more = "", 0
+            while len(context) < reach and another(more):
+                context += window[taken + more]
+                more += 1
             split, length = [], 0
-            for m in self.encode.split.finditer(text + context):
+            for piece in self.encode.split(text + context):
                 if length >= len(text):
                     break
-                split.append(m[0])
-                length += len(m[0])
+                split.append(piece)
+                length += len(piece)
             if length == len(text):
                 break
             taken += 1
@@ -132,13 +136,6 @@ def counts(text: str | None, edits: list[Edit], encode: Encoder) -> tuple[int, i
     edits = sorted(edits)
     if any(a[1] > b[0] for a, b in zip(edits, edits[1:])):
         raise ValueError("edits overlap")
-    if not edits and encode.plain(text):
-        return (n := len(encode.fast.encode_ordinary(text))), n, 0, len(text)
-    if not encode.plain(text) or not all(encode.plain(x[2]) for x in edits):
-        after = text
-        for start, end, new in reversed(edits):
-            after = after[:start] + new + after[end:]
-        return len(encode.ids(text)), len(encode.ids(after)), len(edits), len(text) + len(after) * bool(edits)
     tree = Tree(text, encode)
     before = tree.count
     for start, end, new in reversed(edits):

@@ -43,7 +43,10 @@ class Encoder:
         self.special = [x["content"] for x in read["added_tokens"]]
         ranks = {bytes(_letters()[c] for c in word): i for word, i in read["model"]["vocab"].items() if word not in self.special}
         self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(PATTERN)
+        self.pattern = regex.compile(PATTERN)
+        self.around = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        #: Characters that a boundary of pre-tokens can depend on: two of the pattern, or a special token's string.
+        self.reach = max(2, *map(len, self.special)) if self.special else 2
         self.counts: dict[str, int] = {}
         self.remembered = remembered
 
@@ -53,13 +56,27 @@ class Encoder:
     def ids(self, text: str) -> list[int]:
         return self.fast.encode_ordinary(text) if self.plain(text) else self.slow.encode(text, add_special_tokens=False).ids
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text, end to end; the string of a special token is one, and what lies on either side is split on its own."""
+        if self.plain(text):
+            return self.pattern.findall(text)
+        out = []
+        for k, part in enumerate(self.around.split(text) if self.around else [text]):
+            if k % 2:
+                out.append(part)
+            elif COMMON.fullmatch(part):
+                out += self.pattern.findall(part)
+            else:
+                out += [part[a:b] for _, (a, b) in self.slow.pre_tokenizer.pre_tokenize_str(part)]
+        return out
+
     def count(self, piece: str) -> int:
         """Ids of one pre-token, remembered for up to a fixed number of them."""
         n = self.counts.get(piece)
         if n is None:
             if len(self.counts) >= self.remembered:
                 self.counts.clear()
-            n = self.counts[piece] = len(self.fast.encode_ordinary(piece))
+            n = self.counts[piece] = len(self.ids(piece))
         return n
 
 
