@@ -46,3 +46,18 @@ def test_taken_follows_the_order_of_words(spark, case):
 def test_empty_order(spark):
     assert mixing.plan(documents(spark, [])).count() == 0
     assert mixing.plan(documents(spark, [(1, None, None, None, None), (2, "  ", "en", "a", 0)])).select("taken").distinct().collect() == [(0,)]
+
+
+@pytest.mark.parametrize("few", [1, 50])
+def test_word_at_the_cut(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_WORDS", few)
+    targets = [10.0, 7.3, 400.25, 10.0, 1e9 + 0.5, 3.0]
+    copies = [(f"s{k}", False, t, b, n, (b + n) / t) for k, t in enumerate(targets) for b, n in ((int(t * 0.7), 40), (int(t * 0.7) + 40, 1), (int(t * 0.7) + 41, 200))]
+    near = spark.createDataFrame(copies, "_source string, _no_source boolean, target double, _begin long, _words long, _finish double").cache()
+    finish = sorted((b + j + 1) / t for _, _, t, b, n, _ in copies for j in range(n))
+    for total in (1, 2, 3, 77, len(finish) // 2, len(finish) - 1, len(finish)):
+        assert mixing._last_word(near, total) == finish[total - 1]
+    assert mixing._last_word(near, 0) == 0 and mixing._last_word(near, len(finish) + 1) == math.inf
+    for time in (0.0, 0.71, 1.0, finish[40], finish[-1], math.inf):
+        got = near.select(mixing._words_by(mixing.F.lit(time)).alias("n")).collect()
+        assert [r["n"] for r in got] == [sum((b + j + 1) / t <= time for j in range(n)) for _, _, t, b, n, _ in copies]

@@ -2,9 +2,9 @@
 
 Each source's documents are put in a fixed shuffled order. A document's virtual finish time is the words of its source up to its own end, divided by the
 source's target. Copies of documents are range-sorted by finish time over all sources, and the order is truncated where its running total of words reaches
-the budget, the sum of the targets in whole words. Documents in service near that place are queued by the word, sorted again, and cut at what is left of
-the budget; so the last document of a source gives its leading words, and each source comes within a word of its target. The words that each source got
-before the cut decide what is taken of its documents.
+the budget, the sum of the targets in whole words. Documents in service near that place give their leading words: the finish time of the word at which the
+total reaches the budget is found by narrowing an interval of time, a count of words a side, until few words lie in it, which are sorted; so each source
+comes within a word of its target. The words that each source got before the cut decide what is taken of its documents.
 
 A source may hold any share of the rows: its running sum is taken in ranges of the shuffle hash, with the ranges' totals added first. The order's running
 total is the totals of its partitions, and a sum inside the one partition where the cut falls.
@@ -28,6 +28,8 @@ EPOCHS = 3
 #: Rows of a source that one range of its shuffled order holds, about.
 RANGE_ROWS = 20_000
 LEAST_RANGES = 256
+#: Times at which a round counts the words near the cut, and words that are sorted at once.
+CUTS, FEW_WORDS = 31, 10_000
 
 
 def _key() -> list[str]:
@@ -87,7 +89,7 @@ def _place_at(order: DataFrame, total: int) -> float:
     return math.inf if before and total > 0 else 0.0
 
 
-#: The global order of copies and of words: by finish time, equal ones by source.
+#: The global order of copies and of single words: by finish time, equal ones by source.
 ORDER = ("_finish", "_no_source", "_source", "_begin")
 
 
@@ -100,7 +102,7 @@ def served(placed: DataFrame, goal: DataFrame, epochs: int) -> DataFrame:
 
     placed: _source, _no_source, _size, _start, source_size and target of each document; goal: the targets. Copies that finish before the running total comes
     within a largest document of each source to the budget are served whole, and those that begin after it reaches the budget not at all; the others, a few
-    of each source, are queued by the word.
+    of each source, up to the word at which it reaches the budget.
     """
     budget = goal.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0]
     largest = placed.groupBy("_source", "_no_source").agg(F.max("_size").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -111,13 +113,47 @@ def served(placed: DataFrame, goal: DataFrame, epochs: int) -> DataFrame:
     early, late = _place_at(order, budget - largest), _place_at(order, budget)
     whole = order.filter(F.col("_finish") <= early).groupBy(*keys).agg(F.sum("_words").alias("_words"))
     near = order.filter((F.col("_finish") > early) & (F.col("_begin") / F.col("target") < late))
-    near = near.select(*keys, "target", F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_words") - 1)).alias("_begin"))
-    near = _in_order(near.select(*keys, "_begin", F.lit(1).cast("long").alias("_words"), ((F.col("_begin") + 1) / F.col("target")).alias("_finish")))
-    last = _place_at(near, budget - (whole.agg(F.sum("_words")).first()[0] or 0))
-    parts = near.filter(F.col("_finish") <= last).groupBy(*keys).agg(F.sum("_words").alias("_words"))
+    near = stored(near.select(*keys, "target", "_begin", "_words", "_finish"))
+    last = _last_word(near, budget - (whole.agg(F.sum("_words")).first()[0] or 0))
+    parts = near.groupBy(*keys).agg(F.sum(_words_by(F.lit(last))).alias("_words"))
     return whole.unionByName(parts).groupBy(*keys).agg(F.sum("_words").alias("_served"))
 
 
+def _words_by(time: Column) -> Column:
+    """Words of a copy (_begin, _words, target) that finish by a time, the k-th word of a source at k / target."""
+    n = F.floor(F.least(time * F.col("target"), F.col("_begin") + F.col("_words") + 1)) - F.col("_begin")
+    # Rounding may leave one word on the wrong side.
+    more = F.when((F.col("_begin") + n + 1) / F.col("target") <= time, 1).otherwise(0)
+    less = F.when((F.col("_begin") + n) / F.col("target") > time, 1).otherwise(0)
+    return F.greatest(F.lit(0).cast("long"), F.least(F.col("_words"), n + more - less))
+
+
+def _last_word(near: DataFrame, total: int) -> float:
+    """The finish time of the word at which the words of copies near the cut (target, _begin, _words, _finish), in order, number total; 0 if total isn't positive.
+
+    Each round counts the words up to :data:`CUTS` times and keeps the interval that holds the word looked for. Words become rows, and are sorted, only when
+    there are no more of them in it than copies (or :data:`FEW_WORDS`), or no time lies between its ends.
+    """
+    copies, words, high = near.agg(F.count("*"), F.coalesce(F.sum("_words"), F.lit(0)), F.max("_finish")).first()
+    if total <= 0 or not copies:
+        return 0.0
+    if total > words:
+        return math.inf
+    low, before, upto = 0.0, 0, words
+    while upto - before > max(copies, FEW_WORDS):
+        times = sorted({low + (high - low) * k / (CUTS + 1) for k in range(1, CUTS + 1)} - {low, high})
+        if not times:
+            break
+        each = near.withColumn("_time", F.explode(F.array(*map(F.lit, times))))
+        by = dict(each.groupBy("_time").agg(F.sum(_words_by(F.col("_time"))).alias("n")).collect())
+        low, before = max([(low, before), *((t, n) for t, n in by.items() if n < total)])
+        high, upto = min([(high, upto), *((t, n) for t, n in by.items() if n >= total)])
+    first, end = (F.col("_begin") + _words_by(F.lit(t)) for t in (low, high))
+    left = near.filter(first < end).withColumn("_begin", F.explode(F.sequence(first, end - 1)))
+    left = left.withColumn("_words", F.lit(1).cast("long")).withColumn("_finish", (F.col("_begin") + 1) / F.col("target"))
+    return _place_at(_in_order(left), total - before)
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, texts: bool = True) -> DataFrame:
     """``docs`` with size, source_size, target, _start (its source's words before it), _served (what its source gets) and taken (the words that the mix takes).
 
