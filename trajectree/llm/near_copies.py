@@ -274,6 +274,7 @@ def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     released(spark, made)
     linked, rest = _candidates(reps, docs, classes, radius)
     members = _members(rest, reps, docs, classes)
+    released(spark)
     # First the most similar partner of each set, then what is still between two groups.
     best = cut(rest.groupBy("a").agg(F.max_by("b", "room").alias("b")))
     linked = stored(linked.union(_similar(best, members)))
@@ -305,7 +306,9 @@ def _candidates(reps: DataFrame, docs: DataFrame, classes: Broadcast, radius: in
     every = F.lit(1 << 30).alias("shared")  # proposed pairs are only held to the ratio of sizes
     tried = stored(_ordered(_possible(led, reps).union(_possible(proposed.select("a", "b", every), reps))))
     del led, proposed
+    released(spark)
     members = _members(tried, reps, docs, classes)
+    released(spark)
     linked = stored(_similar(tried, members))
     released(spark, members)
     rest = stored(_with_room(_left_open(common, linked, tried, reps), reps))
