@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.functions.text import tokens
+from trajectree.functions.text import counted, ngrams, tokens
 from trajectree.operators.retrieval import _TOK, bags
 from trajectree.registry import query
 from trajectree.sources.tables import table
@@ -16,16 +18,18 @@ def token_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def stream(docs: DataFrame, key: str) -> DataFrame:
-    """key, tok and the three tokens after it, by shifting each text's array of tokens: nothing is shuffled."""
-    rows = docs.select(key, tokens(F.col("text")).alias("all"))
-    ahead = F.transform("all", lambda tok, at: F.struct(tok.alias("tok"), *(F.get("all", at + k).alias(f"t{k}") for k in (1, 2, 3))))
-    return rows.select(key, F.inline(ahead))
+def by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the tokens of its texts, an array for each row of the id; only texts are shuffled, grams are made and counted inside a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    return docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts")).select("doc_id", F.transform("texts", tokens).alias("all"))
+
+
+def _every(*of: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform("all", lambda words: F.concat(*(make(words) for make in of))))
 
 
-def _grams(spark: SparkSession, sf_dir: str, gram: Column) -> DataFrame:
-    rows = stream(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", gram.alias("gram")).filter("gram is not null")
-    return rows.groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
+def _grams(spark: SparkSession, sf_dir: str, *ahead: int, sep: str = "/") -> DataFrame:
+    return counted(by_document(spark, sf_dir), _every(lambda words: ngrams(words, *ahead, sep=sep))).select("doc_id", F.col("item").alias("gram"), F.col("n").alias("cnt"))
 
 
 def _sql(gram: str) -> str:
@@ -37,22 +41,22 @@ select doc_id, {gram} as gram, count(*) as cnt from s where {gram} is not null g
 
 @query(_sql("tok || '/' || t1"))
 def bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grams(spark, sf_dir, F.expr("tok || '/' || t1"))
+    return _grams(spark, sf_dir, 0, 1)
 
 
 @query(_sql("tok || '/' || t1 || '/' || t2"))
 def trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grams(spark, sf_dir, F.expr("tok || '/' || t1 || '/' || t2"))
+    return _grams(spark, sf_dir, 0, 1, 2)
 
 
 @query(_sql("tok || '/*/' || t2"))
 def skip_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grams(spark, sf_dir, F.expr("tok || '/*/' || t2"))
+    return _grams(spark, sf_dir, 0, 2, sep="/*/")
 
 
 @query(_sql("tok || '/' || t1 || '/' || t2 || '/' || t3"))
 def four_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grams(spark, sf_dir, F.expr("tok || '/' || t1 || '/' || t2 || '/' || t3"))
+    return _grams(spark, sf_dir, 0, 1, 2, 3)
 
 
 @query(f"""
@@ -63,7 +67,7 @@ f as (select doc_id, 'U:' || tok as feature, 2 as n from s union all select doc_
 select doc_id, feature, cast(sum(n) as bigint) as cnt from f where feature is not null group by all""")
 def weighted_feature_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigrams at weight 2; bigrams, trigrams and one-skip bigrams at 1."""
-    kinds = {"U": ("tok",), "B": ("tok", "t1"), "T": ("tok", "t1", "t2"), "S": ("tok", "t2")}
-    parts = [F.struct(F.expr(f"'{k}:' || " + " || '/' || ".join(c)).alias("feature"), F.lit(1 + (k == "U")).alias("n")) for k, c in kinds.items()]
-    rows = stream(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.inline(F.array(*parts))).filter("feature is not null")
-    return rows.groupBy("doc_id", "feature").agg(F.sum("n").alias("cnt"))
+    kinds = {"U": (0,), "B": (0, 1), "T": (0, 1, 2), "S": (0, 2)}
+    makers = [lambda words, k=k, at=at: ngrams(words, *at, mark=f"{k}:") for k, at in kinds.items()]
+    rows = counted(by_document(spark, sf_dir), _every(*makers))
+    return rows.select("doc_id", F.col("item").alias("feature"), F.when(F.startswith("item", F.lit("U:")), 2 * F.col("n")).otherwise(F.col("n")).alias("cnt"))
