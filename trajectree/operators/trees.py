@@ -8,44 +8,69 @@ from __future__ import annotations
 
 import ast
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
+from trajectree.functions.text import counted, ngrams
 from trajectree.functions.trees import UNREADABLE, edit_distance, standard_form
 from trajectree.operators.outlines import NODES as _NODES
 from trajectree.operators.outlines import STATEMENTS as _STATEMENTS
 from trajectree.registry import query
 from trajectree.sources.programs import programs
 
-NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean, is_expr boolean, ctx string, const string, walk int, stmt int"
+NODE = "node int, parent int, slot string, type string, label string, path string, depth int, height int, size int, hash string, is_stmt boolean, is_expr boolean, ctx string, const string, walk int, stmt int, sig string"
 #: The attribute whose value is part of a node's label, for the kinds that have one (fixed values).
 VALUED = {"Name": "id", "arg": "arg", "keyword": "arg", "Attribute": "attr", "ImportFrom": "module", "FunctionDef": "name"}
-
-
-def nodes_of(code: str) -> list[tuple] | None:
-    """The nodes of a program in preorder, None if it can't be parsed or is nested too deeply.
-
-    Contexts (Load, Store, Del) are no nodes but a column, ctx; walk counts a node and all below it with their contexts. const is the type of a constant's value,
-    stmt the nearest statement that holds the node, or the node itself (-1: none).
-    """
-    try:
-        todo = [(ast.parse(code), -1, "", "", 0, -1)]
-    except UNREADABLE:
-        return None
-    out: list[list] = []
+#: Kinds of nodes that are operators (fixed values): those that compare, and the others.
+COMPARING = ("Eq", "NotEq", "Lt", "LtE", "Gt", "GtE", "Is", "IsNot", "In", "NotIn")
+COMBINING = ("Add", "Sub", "Mult", "MatMult", "Div", "Mod", "Pow", "LShift", "RShift", "BitOr", "BitXor", "BitAnd", "FloorDiv", "Invert", "Not", "UAdd", "USub", "And", "Or")
+#: Functions that signatures name (fixed values).
+BUILTINS = ("range", "len", "int", "str", "map", "list", "sum", "max", "min", "abs", "sorted", "print", "input", "set", "dict", "enumerate", "zip", "float", "round", "pow", "ord", "chr")
+_COLUMNS = [x.split()[0] for x in NODE.split(", ")]
+_AT = {name: k for k, name in enumerate(_COLUMNS)}
+_KINDS = [{"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in NODE.split(", ")]
+#: Pieces of programs that a task keeps the nodes of, at most.
+KEPT = 20_000
+#: Programs whose nodes are made at once.
+PROGRAMS = 1024
+
+
+def _own_tokens(tree: ast.AST, slot: str) -> list[str]:
+    """What a node adds to its statement's signature: operators, calls (of built-ins by name), methods, kinds of constants and subscripts."""
+    kind, out = type(tree).__name__, []
+    if kind in COMPARING or kind in COMBINING:
+        return [kind]
+    if kind == "Constant":
+        v = tree.value
+        out += {bool: ["kB"], int: ["k" + (str(v) if type(v) is int and v <= 2 else "I")], float: ["kF"], str: ["kS"]}.get(type(v), [])
+    elif kind == "Subscript":
+        out.append("sub")
+    if slot == "func":
+        out.append(f"call:{tree.id}" if kind == "Name" and tree.id in BUILTINS else f"meth:{tree.attr}" if kind == "Attribute" else "call")
+    return out
+
+
+def _subtree(tree: ast.AST, slot: str, depth: int) -> list[list]:
+    """The nodes of a subtree in preorder, numbered from 0; its own parent is -1."""
+    todo, out = [(tree, -1, slot, "", depth, -1)], []
+    tokens: dict[int, set[str]] = {}
     while todo:
         tree, parent, slot, path, depth, stmt = todo.pop()
         kind = type(tree).__name__
         label = f"Const:{tree.value!r}" if kind == "Constant" else f"{kind}:{getattr(tree, VALUED[kind])}" if kind in VALUED else kind
         if kind == "alias":  # import a as b
             label = f"alias:{tree.name}:{tree.asname}"
-        path = path + "/" + kind if path else kind * (parent >= 0)
+        path = path + "/" + kind if path else kind * (depth > 0)
         ctx, const = type(tree.ctx).__name__ if hasattr(tree, "ctx") else None, type(tree.value).__name__ if kind == "Constant" else None
         stmt = len(out) if isinstance(tree, ast.stmt) else stmt
-        out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt), isinstance(tree, ast.expr), ctx, const, 1 + (ctx is not None), stmt])
+        tokens.setdefault(stmt, set()).update(_own_tokens(tree, slot))
+        out.append([len(out), parent, slot, kind, label, path, depth, 0, 1, "", isinstance(tree, ast.stmt), isinstance(tree, ast.expr), ctx, const, 1 + (ctx is not None), stmt, None])
         below = []
         for name, value in ast.iter_fields(tree):
             several = isinstance(value, list)
@@ -53,36 +78,173 @@ def nodes_of(code: str) -> list[tuple] | None:
                 if isinstance(child, ast.AST) and name != "ctx":
                     below.append((child, len(out) - 1, f"{name}[{k}]" if several else name, path, depth + 1, stmt))
         todo.extend(reversed(below))
-    parts = [[n[4]] for n in out]
+    parts: list[list[str]] = [[] for _ in out]
     for n in reversed(out):
-        n[9] = hashlib.md5("(".join([parts[n[0]][0], *reversed(parts[n[0]][1:])]).encode()).hexdigest()[:12]
+        n[9] = _digest(n[4], parts[n[0]][::-1])
+        if n[10]:
+            n[16] = n[3] + "|" * bool(tokens[n[0]]) + ",".join(sorted(tokens[n[0]]))
         if n[1] >= 0:
             above = out[n[1]]
             above[7], above[8], above[14] = max(above[7], n[7] + 1), above[8] + n[8], above[14] + n[14]
             parts[n[1]].append(f"{n[2]}={n[9]}")
-    return [tuple(n) for n in out]
+    return out
+
+
+def _digest(label: str, below: list[str]) -> str:
+    return hashlib.md5("(".join([label, *below]).encode()).hexdigest()[:12]
+
+
+def _body(code: str) -> list[list[list]] | None:
+    """The nodes of each statement at the top of a text; None if it can't be parsed or is nested too deeply."""
+    try:
+        return [_subtree(s, "", 1) for s in ast.parse(code).body]
+    except UNREADABLE:
+        return None
+
+
+def _tops(code: str | None, kept: dict[str, list[list[list]] | None]) -> list[list[list]] | None:
+    """The nodes of each statement at the top of a program; None if it can't be parsed.
+
+    A program is cut before the lines that aren't indented. If each piece is a text of whole statements, the program is these statements, and ``kept`` has the
+    nodes of pieces met before; else (an ``else``, a decorator, a string over several lines) it is parsed as a whole.
+    """
+    if code is None:
+        return None
+    out = []
+    for piece in re.split(r"\n(?=\S)", code):
+        if piece not in kept:
+            if len(kept) >= KEPT:
+                kept.clear()
+            kept[piece] = _body(piece)
+        if kept[piece] is None:
+            return _body(code)
+        out += kept[piece]
+    return out
+
+
+def _module(tops: list[list[list]]) -> list:
+    hash_ = _digest("Module", [f"body[{k}]={t[0][9]}" for k, t in enumerate(tops)])
+    return [0, -1, "", "Module", "Module", "", 0, max((t[0][7] + 1 for t in tops), default=0), 1 + sum(len(t) for t in tops), hash_, False, False, None, None, 1 + sum(t[0][14] for t in tops), -1, None]
 
 
-def flattened(code: DataFrame) -> DataFrame:
-    """code (key, code) to key and the nodes of each program; equal programs are parsed once, those that can't be parsed have no nodes."""
-    names = [x.split()[0] for x in NODE.split(", ")]
-    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    columns_of = [pa.binary(), *(kinds[x.split()[1]] for x in NODE.split(", "))]
+def nodes_of(code: str, kept: dict | None = None) -> list[tuple] | None:
+    """The nodes of a program in preorder, None if it can't be parsed or is nested too deeply.
+
+    Contexts (Load, Store, Del) are no nodes but a column, ctx; walk counts a node and all below it with their contexts. const is the type of a constant's value,
+    stmt the nearest statement that holds the node, or the node itself (-1: none), sig a statement's type and the sorted set of its own tokens.
+    """
+    tops = _tops(code, {} if kept is None else kept)
+    if tops is None:
+        return None
+    out = [tuple(_module(tops))]
+    for k, top in enumerate(tops):
+        base = len(out)
+        for n in top:
+            node, parent = n[0] + base, n[1] + base if n[1] >= 0 else 0
+            out.append((node, parent, n[2] if n[1] >= 0 else f"body[{k}]", *n[3:15], n[15] + base if n[15] >= 0 else -1, n[16]))
+    return out
+
+
+class _Pool:
+    """The nodes of a batch of programs as columns: each statement's nodes once, and for every node of the batch its place there and what to add to its numbers."""
+
+    def __init__(self, wanted: list[str], kept: dict):
+        self.wanted, self.kept = wanted, kept
+
+    def columns(self, codes: list[str | None]) -> tuple[list[pa.Array], np.ndarray]:
+        """A column for each one wanted, and how many nodes each program has."""
+        rows: list[list] = []
+        starts: dict[int, int] = {}
+        start, size, base, place, sizes = [], [], [], [], []
+        alive = []  # statements that are no longer kept must live as long as their ids count
+        for code in codes:
+            tops = _tops(code, self.kept)
+            if tops is None:
+                sizes.append(0)
+                continue
+            module, at = _module(tops), 1
+            start.append(len(rows)), size.append(1), base.append(0), place.append(-1)
+            rows.append(module)
+            sizes.append(module[8])
+            for k, top in enumerate(tops):
+                if id(top) not in starts:
+                    starts[id(top)] = len(rows)
+                    alive.append(top)
+                    rows.extend(top)
+                start.append(starts[id(top)]), size.append(len(top)), base.append(at), place.append(k)
+                at += len(top)
+        size_, base_, place_ = (np.array(x, np.int64) for x in (size, base, place))
+        first = np.cumsum(size_) - size_
+        at = np.arange(size_.sum()) + np.repeat(np.array(start, np.int64) - first, size_)
+        shift, is_top = np.repeat(base_, size_), np.zeros(len(at), bool)
+        is_top[first[place_ >= 0]] = True
+        out = []
+        for name in self.wanted:
+            c, kind = _AT[name], _KINDS[_AT[name]]
+            values = [r[c] for r in rows]
+            if name in ("node", "parent", "stmt"):
+                own = np.array(values, np.int64)[at]
+                own = np.where(own >= 0, own + shift, -1)
+                if name == "parent":
+                    own[is_top] = 0
+                out.append(pa.array(own.astype(np.int32)))
+            elif name == "slot":
+                bodies = [f"body[{k}]" for k in range(int(place_.max(initial=-1)) + 1)]
+                where = at.copy()
+                where[is_top] = len(values) + place_[place_ >= 0]
+                out.append(pa.array(values + bodies, kind).take(pa.array(where)))
+            else:
+                out.append(pa.array(values, kind).take(pa.array(at)))
+        return out, np.array(sizes, np.int64)
+
+
+def parsed(code: DataFrame, *columns: str) -> DataFrame:
+    """code (key, code) to key and, for each program that can be parsed, its nodes' columns as arrays in preorder; all columns of :data:`NODE` if none is named."""
+    wanted = [c for c in _COLUMNS if not columns or c in columns]
+    keys = [c for c in code.columns if c != "code"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(wanted, {})
         for batch in batches:
-            rows = [(key, *n) for key, text in zip(batch["_code"].to_pylist(), batch["code"].to_pylist()) for n in nodes_of(text) or ()]
-            columns = list(zip(*rows)) or [[]] * len(columns_of)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, columns_of)], ["_code", *names])
+            for at in range(0, len(batch), PROGRAMS):
+                part = batch.slice(at, PROGRAMS)
+                flat, sizes = pool.columns(part["code"].to_pylist())
+                there = np.flatnonzero(sizes)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes[there])]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(part[c].take(pa.array(there)) for c in keys), *(pa.ListArray.from_arrays(ends, c) for c in flat)], [*keys, *wanted])
+
+    schema = StructType([*code.select(*keys).schema, *(StructField(f.name, ArrayType(f.dataType)) for f in StructType.fromDDL(NODE) if f.name in wanted)])
+    return code.select(*keys, "code").mapInArrow(run, schema)
 
-    # Nodes meet their programs by a digest, so the texts are shuffled once at most.
-    keyed = code.withColumn("_code", F.unhex(F.sha2("code", 256)))
-    distinct = keyed.filter("code is not null").groupBy("_code").agg(F.first("code").alias("code"))
-    return keyed.drop("code").join(distinct.mapInArrow(run, "_code binary, " + NODE), "_code").drop("_code")
+
+def flattened(code: DataFrame, *columns: str) -> DataFrame:
+    """code (key, code) to key and the nodes of each program, with all columns of :data:`NODE` or those named; programs that can't be parsed have no nodes.
+
+    Nodes are made where the program is, and none is shuffled; a task makes those of equal statements once.
+    """
+    wanted = [c for c in _COLUMNS if not columns or c in columns]
+    keys = [c for c in code.columns if c != "code"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = _Pool(wanted, {})
+        for batch in batches:
+            for at in range(0, len(batch), PROGRAMS):
+                part = batch.slice(at, PROGRAMS)
+                flat, sizes = pool.columns(part["code"].to_pylist())
+                of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                yield pa.RecordBatch.from_arrays([*(part[c].take(of) for c in keys), *flat], [*keys, *wanted])
+
+    schema = StructType([*code.select(*keys).schema, *(f for f in StructType.fromDDL(NODE) if f.name in wanted)])
+    return code.select(*keys, "code").mapInArrow(run, schema)
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flattened(programs(spark, sf_dir).select(F.col("event_id").alias("prog"), "code"))
+    return flattened(_codes(spark, sf_dir))
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prog and code of all events, dealt anew, as a small file that is read in one task holds many programs."""
+    return programs(spark, sf_dir).select(F.col("event_id").alias("prog"), "code").repartition("prog")
 
 
 @query(f"""with {_NODES} select prog, count(*) - 1 + count(case when type = 'Name' then 1 end) as n_nodes, cast(case any_value(kind) when 'click' then 4 when 'view' then 4 else 3 end as bigint) as height
@@ -203,20 +365,15 @@ def standardize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(forms, "code").select("prog", F.col("standard").alias("code"))
 
 
-#: Kinds of nodes that are operators (fixed values): those that compare, and the others.
-COMPARING = ("Eq", "NotEq", "Lt", "LtE", "Gt", "GtE", "Is", "IsNot", "In", "NotIn")
-COMBINING = ("Add", "Sub", "Mult", "MatMult", "Div", "Mod", "Pow", "LShift", "RShift", "BitOr", "BitXor", "BitAnd", "FloorDiv", "Invert", "Not", "UAdd", "USub", "And", "Or")
-
-
 def small(value: Column) -> Column:
     """Whether an integer as text is between -2 and 2; constants are never negative, a minus sign is an operator."""
     return value.isin("0", "1", "2")
 
 
-def value_tokens() -> Column:
-    """Tokens of a node's constant or operator, as an array; empty for other nodes."""
-    value = F.substring("label", 7, 1 << 30)  # after "Const:"
-    const = F.col("const")
+def value_tokens(of: Callable[[str], Column] = F.col) -> Column:
+    """Tokens of a node's constant or operator, as an array; empty for other nodes. ``of`` gives the node's columns."""
+    value = F.substring(of("label"), 7, 1 << 30)  # after "Const:"
+    const, kind = of("const"), of("type")
     of_const = (
         F.when(const == "bool", F.concat(F.lit("C:bool="), value))
         .when(const == "int", F.concat(F.lit("C:int="), F.when(small(value), value).otherwise("big")))
@@ -224,10 +381,10 @@ def value_tokens() -> Column:
         .when(const == "str", F.when(value.isin("''", '""'), "C:str=empty").otherwise("C:str"))
         .otherwise(F.concat(F.lit("C:"), const))
     )
-    operator = F.concat(F.lit("OP:"), "type")
-    compared = F.array(operator, F.concat(F.lit("CMP:"), "type"))
+    operator = F.concat(F.lit("OP:"), kind)
+    compared = F.array(operator, F.concat(F.lit("CMP:"), kind))
     none = F.array().cast("array<string>")
-    return F.when(const.isNotNull(), F.array(of_const)).when(F.col("type").isin(*COMPARING), compared).when(F.col("type").isin(*COMBINING), F.array(operator)).otherwise(none)
+    return F.when(const.isNotNull(), F.array(of_const)).when(kind.isin(*COMPARING), compared).when(kind.isin(*COMBINING), F.array(operator)).otherwise(none)
 
 
 @query("""with c as (select event_id, user_id as k from events where event_type in ('error', 'click', 'signup', 'purchase') union all select event_id, event_id % 7 from events where event_type in ('view', 'purchase')
@@ -245,10 +402,7 @@ def code_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 select prog, gram, count(*) as n from g where gram is not null group by all""")
 def type_four_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four types in a row, in preorder."""
-    order = Window.partitionBy("prog").orderBy("node")
-    ahead = [F.lead("type", k).over(order) for k in (1, 2, 3)]
-    rows = _nodes(spark, sf_dir).select("prog", F.when(ahead[2].isNotNull(), F.concat_ws("/", "type", *ahead)).alias("gram")).filter("gram is not null")
-    return rows.groupBy("prog", "gram").agg(F.count("*").alias("n"))
+    return counted(parsed(_codes(spark, sf_dir), "type"), ngrams("type", 0, 1, 2, 3)).select("prog", F.col("item").alias("gram"), "n")
 
 
 @query("""select event_id as prog, cast(case event_type when 'error' then 2 when 'click' then 1 when 'view' then 2 when 'signup' then 3 else 3 end as bigint) as n_stmts,
