@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajectree.operators.matching import consecutive
+from trajectree.operators.matching import consecutive, with_trees
 from trajectree.operators.outlines import ORDER_NODES, STATEMENT_KINDS
 from trajectree.registry import query
 
@@ -40,9 +40,13 @@ select pr.prog, pr.ref, a.node, b.node as ref_node, a.walk as size, b.walk as re
 where a.type in ({STATEMENT_KINDS}) and b.walk between 0.5 * a.walk and 2.0 * a.walk""")
 def statement_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each statement of a program, the statements of the customer's next one of its type and about its size."""
-    nodes, pairs = consecutive(spark, sf_dir)
-    stmts = nodes.filter("is_stmt").select("prog", "type", "node", F.col("walk").cast("long").alias("size"))
-    left = pairs.join(stmts, "prog").select("prog", "ref", "type", "node", F.col("size").alias("left_size"))
-    right = pairs.join(stmts.withColumnsRenamed({"prog": "ref"}), "ref").select("prog", "ref", "type", F.col("node").alias("ref_node"), F.col("size").alias("right_size"))
-    found = band_join(left, right, ["prog", "ref", "type"])
-    return found.select("prog", "ref", "node", "ref_node", F.col("left_size").alias("size"), F.col("right_size").alias("ref_size"))
+
+    def of(a: list[tuple], b: list[tuple]) -> tuple:
+        return [[(n[0], n[3], n[14]) for n in side if n[10]] for side in (a, b)]  # node, type and walk
+
+    stmt = "array<struct<node: int, type: string, size: bigint>>"
+    pairs = with_trees(consecutive(spark, sf_dir), "code", "ref_code", f"mine {stmt}, theirs {stmt}", of)
+    fits = lambda m, t: (m["type"] == t["type"]) & t["size"].between(LOW * m["size"], HIGH * m["size"])
+    # A program is as large as its text, so its statements meet the other's in the pair's row.
+    rows = pairs.select("prog", "ref", "theirs", F.explode("mine").alias("m")).select("prog", "ref", "m", F.explode("theirs").alias("t")).filter(fits(F.col("m"), F.col("t")))
+    return rows.select("prog", "ref", F.col("m.node").alias("node"), F.col("t.node").alias("ref_node"), F.col("m.size").alias("size"), F.col("t.size").alias("ref_size"))

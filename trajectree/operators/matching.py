@@ -1,28 +1,32 @@
-"""One-to-one matches between the nodes of two programs, for many pairs of programs at once, as joins and windows over node tables.
+"""One-to-one matches between the nodes of two programs, for many pairs of programs at once.
 
-Four phases, each over all pairs together; what a phase has matched is gone for those after it:
+Four phases, node by node, in the task that holds the pair (:func:`match_nodes`); what has matched stays so:
 
-1. Equal subtrees, tallest first, never lone leaves: the k-th of a kind in preorder takes the k-th of the other program, and a match takes all below it. A round
-   settles every kind of subtree that lies in no taller one that is still open, so there are as many rounds as open subtrees are nested, not as there are heights.
-2. Leaves of equal labels, k-th with k-th.
+1. Equal subtrees, tallest first, never lone leaves: the first free one takes the first free one of the other program, with all below it.
+2. Leaves of equal labels, first with first.
 3. Inner nodes from low to high: matched children vote for the ancestors of their matches of the node's type; most votes win, names in ``func`` and ``target``
-   slots must not contradict. Nodes of one height that want the same ancestor settle by proposals, earlier nodes first.
+   slots must not contradict.
 4. Nodes whose parents match take the child of the same slot.
 
-A pair's rows are dealt by pair alone, so the windows of a round need one shuffle; a pair is as large as its two programs. Nodes are numbered in preorder, which
-makes a subtree an interval.
+Spark makes the pairs from the owners' histories and deals them; their texts are shuffled, not their nodes, and a task parses what programs share once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from trajectree.operators.outlines import ORDER_MATCHES, ORDER_NODES
-from trajectree.operators.trees import flattened
+from trajectree.operators.trees import PROGRAMS, nodes_of, parsed, tops
 from trajectree.registry import query
 from trajectree.sources.order_programs import order_programs
-from trajectree.sources.shared import cut
 
 #: What names of holes begin with (fixed value).
 HOLE = "__HOLE_"
@@ -32,118 +36,137 @@ _PARTS = "'Module', 'alias', 'arguments', 'arg', 'withitem', 'Add', 'Mod', 'Eq',
 NAMING = r"^(func|target|targets.*)$"
 
 
-def _rank(*of: str, order: str = "node") -> Column:
-    return F.row_number().over(Window.partitionBy("pair", *of).orderBy(order))
-
-
-def sides(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair, side (0 and 1) and the nodes of both programs of each pair (pair, prog, ref), with the labels of each node's naming children."""
-    own = ["node", "parent", "slot", "type", "label", "depth", "height", "size", "hash"]
-    naming = nodes.filter(F.col("slot").rlike(NAMING)).groupBy("prog", F.col("parent").alias("node")).agg(F.collect_set("label").alias("named"))
-    full = nodes.join(naming, ["prog", "node"], "left").select("prog", *own, F.coalesce("named", F.array().cast("array<string>")).alias("named"))
-    side = lambda k, name: pairs.select("pair", F.col(name).alias("prog"), F.lit(k).alias("side")).join(full, "prog").drop("prog")
-    return side(0, "prog").union(side(1, "ref")).repartition("pair")
-
-
-def equal_subtrees(both: DataFrame) -> DataFrame:
-    """pair, node, ref_node and size: the roots of equal subtrees that match, tallest first."""
-    rows = both.filter("height >= 1").select("pair", "side", "node", "size", "hash")
-    kind, found = Window.partitionBy("pair", "hash"), None
-    before = Window.partitionBy("pair", "side").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    inside = lambda of: F.coalesce(F.max(of).over(before) > F.col("node"), F.lit(False))  # noqa: E731  in an interval that began earlier
-    end = F.col("node") + F.col("size")
-    while True:
-        counted = rows.withColumn("pairs", F.least(F.sum(1 - F.col("side")).over(kind), F.sum("side").over(kind))).filter("pairs > 0")
-        judged = counted.withColumn("nested", inside(end)).withColumn("waits", F.max("nested").over(kind)).withColumn("k", _rank("side", "hash"))
-        judged = judged.withColumn("matched", ~F.col("waits") & (F.col("k") <= F.col("pairs")))
-        state = cut(judged.withColumn("gone", inside(F.when(F.col("matched"), end))).select("pair", "side", "node", "size", "hash", "k", "matched", "waits", "gone"))
-        won = state.filter("matched").groupBy("pair", "hash", "k").agg(*(F.max(F.when(F.col("side") == s, F.col("node"))).alias(name) for s, name in ((0, "node"), (1, "ref_node"))), F.max("size").alias("size"))
-        found = won if found is None else found.union(won)
-        rows = state.filter("waits and not gone").select("pair", "side", "node", "size", "hash")
-        if rows.isEmpty():
-            return found.select("pair", "node", "ref_node", "size")
-
-
-def _free(both: DataFrame, found: DataFrame) -> DataFrame:
-    """The nodes of both sides that nothing has taken."""
-    taken = found.select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), "node"), F.struct(F.lit(1).alias("side"), F.col("ref_node").alias("node")))).alias("t")).select("pair", "t.*")
-    return both.join(taken, ["pair", "side", "node"], "left_anti")
-
-
-def equal_leaves(free: DataFrame) -> DataFrame:
-    """pair, node and ref_node of leaves of equal labels, k-th with k-th."""
-    leaves = free.filter("height = 0").withColumn("k", _rank("side", "label"))
-    met = leaves.groupBy("pair", "label", "k").agg(F.max(F.when(F.col("side") == 0, F.col("node"))).alias("node"), F.max(F.when(F.col("side") == 1, F.col("node"))).alias("ref_node"))
-    return met.filter("node is not null and ref_node is not null").select("pair", "node", "ref_node")
-
-
-def _voted(both: DataFrame, found: DataFrame, height: int) -> DataFrame:
-    """pair, node, ref_node and choice (from 1): for each free node of a height, the free ancestors of its children's matches, best first."""
-    free = _free(both, found)
-    mine = free.filter(f"side = 0 and height = {height}").select("pair", "node", "type", "named")
-    theirs = free.filter("side = 1 and height >= 1").select("pair", F.col("node").alias("ref_node"), "type", F.col("named").alias("ref_named"), F.col("depth").alias("ref_depth"), F.explode(F.sequence(F.col("node") + 1, F.col("node") + F.col("size") - 1)).alias("below"))
-    at = both.filter("side = 1").select("pair", F.col("node").alias("below"), F.col("depth").alias("below_depth"))
-    kids = both.filter("side = 0").select("pair", F.col("parent").alias("node"), F.col("node").alias("kid"))
-    votes = kids.join(mine, ["pair", "node"]).join(found.select("pair", F.col("node").alias("kid"), F.col("ref_node").alias("below")), ["pair", "kid"]).join(at, ["pair", "below"])
-    votes = votes.join(theirs, ["pair", "type", "below"])
-    away = F.col("below_depth") - F.col("ref_depth")
-    counted = votes.groupBy("pair", "node", "ref_node").agg(F.count("*").alias("votes"), F.min("kid").alias("first"), F.min_by(away, "kid").alias("away"), F.first("named").alias("named"), F.first("ref_named").alias("ref_named"))
-    shared, none = F.arrays_overlap("named", "ref_named"), F.size("named") == 0
-    counted = counted.filter(none | (F.size("ref_named") == 0) | shared)
-    order = Window.partitionBy("pair", "node").orderBy((none | shared).desc(), F.desc("votes"), "away", "first")
-    return counted.select("pair", "node", "ref_node", F.row_number().over(order).alias("choice")).repartition("pair")
-
-
-def settled(choices: DataFrame) -> DataFrame:
-    """pair, node and ref_node: each node proposes to its best choice left, and a choice keeps its earliest node, until no proposal is turned down.
-
-    As all prefer earlier nodes, this is what choosing one after the other in preorder gives.
-    """
-    while True:
-        best = choices.withColumn("asks", F.col("choice") == F.min("choice").over(Window.partitionBy("pair", "node")))
-        kept = F.min(F.when(F.col("asks"), F.col("node"))).over(Window.partitionBy("pair", "ref_node"))
-        asked = cut(best.withColumn("lost", F.col("asks") & (F.col("node") > kept)))
-        if asked.filter("lost").isEmpty():
-            return asked.filter("asks").select("pair", "node", "ref_node")
-        choices = asked.filter("not lost").drop("asks", "lost")
-
-
-def same_slots(both: DataFrame, found: DataFrame) -> DataFrame:
-    """Free nodes whose parents match, with the free child of the same slot there."""
-    free = _free(both, found)
-    mine = free.filter("side = 0").select("pair", "node", "parent", "slot").join(found.select("pair", F.col("node").alias("parent"), F.col("ref_node").alias("ref_parent")), ["pair", "parent"])
-    theirs = free.filter("side = 1").select("pair", F.col("node").alias("ref_node"), F.col("parent").alias("ref_parent"), "slot")
-    return mine.join(theirs, ["pair", "ref_parent", "slot"]).select("pair", "node", "ref_node")
+#: The columns of a node that matching reads.
+READ = ("node", "parent", "slot", "type", "label", "path", "depth", "height", "size", "hash")
+
+
+def _first_free(kinds: dict[str, list[int]], key: str, taken: list[int]) -> int:
+    """The first node of a kind that isn't taken, -1 if there is none; those passed are dropped."""
+    left = kinds.get(key, [])
+    while left and taken[left[-1]] >= 0:
+        left.pop()
+    return left[-1] if left else -1
+
+
+def match_nodes(a: list[tuple], b: list[tuple]) -> list[tuple[int, int, int]]:
+    """node, ref_node and phase of the nodes that match; a and b: nodes in preorder whose first columns are those of :data:`READ`."""
+    found, taken, phases = [-1] * len(a), [-1] * len(b), [0] * len(a)
+
+    def take(i: int, j: int, phase: int, size: int = 1) -> None:
+        found[i : i + size], taken[j : j + size], phases[i : i + size] = range(j, j + size), range(i, i + size), [phase] * size
+
+    equal: dict[str, list[int]] = {}
+    leaves: dict[str, list[int]] = {}
+    for n in reversed(b):
+        (equal if n[7] else leaves).setdefault(n[9] if n[7] else n[4], []).append(n[0])
+    low_first = sorted((n[0] for n in a if n[7]), key=lambda i: a[i][7])
+    for i in sorted(low_first, key=lambda i: (-a[i][7], i)):
+        if found[i] < 0 and (j := _first_free(equal, a[i][9], taken)) >= 0:
+            take(i, j, 1, a[i][8])
+    for n in a:
+        if found[n[0]] < 0 and not n[7] and (j := _first_free(leaves, n[4], taken)) >= 0:
+            take(n[0], j, 2)
+    kids: dict[int, list[int]] = {}
+    for n in a:
+        kids.setdefault(n[1], []).append(n[0])
+    names = [_named(nodes) for nodes in (a, b)]
+    for i in low_first:
+        if found[i] >= 0:
+            continue
+        votes: dict[int, list[int]] = {}
+        for c in kids[i]:
+            j, away = (b[found[c]][1], 0) if found[c] >= 0 else (-1, 0)
+            while j >= 0:
+                if taken[j] < 0 and b[j][3] == a[i][3]:
+                    votes.setdefault(j, []).append(away)
+                j, away = b[j][1], away + 1
+        mine = names[0].get(i, set())
+        shared = {j: bool(mine & names[1].get(j, set())) for j in votes}
+        fits = [j for j in votes if not mine or not names[1].get(j) or shared[j]]
+        if fits:
+            take(i, min(fits, key=lambda j: (bool(mine) and not shared[j], -len(votes[j]), votes[j][0])), 3)
+    slots = {(n[1], n[2]): n[0] for n in b}
+    for n in a[1:]:
+        j = slots.get((found[n[1]], n[2]), -1) if found[n[0]] < 0 <= found[n[1]] else -1
+        if j >= 0 and taken[j] < 0:
+            take(n[0], j, 4)
+    return [(i, j, phases[i]) for i, j in enumerate(found) if j >= 0]
+
+
+def _named(nodes: list[tuple]) -> dict[int, set[str]]:
+    """The labels of each node's naming children."""
+    out: dict[int, set[str]] = {}
+    for n in nodes:
+        if n[2].startswith(("func", "target")) and re.match(NAMING, n[2]):
+            out.setdefault(n[1], set()).add(n[4])
+    return out
+
+
+def with_trees(rows: DataFrame, one: str, two: str, fields: str, of: Callable[[list[tuple], list[tuple]], tuple]) -> DataFrame:
+    """rows without the programs of columns one and two, and fields: what ``of`` makes of the nodes of both programs, which must be such as can be parsed."""
+    keys, added = [c for c in rows.columns if c not in (one, two)], StructType.fromDDL(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        kinds = [to_arrow_type(f.dataType) for f in added]
+        for batch in (whole.slice(at, PROGRAMS) for whole in batches for at in range(0, len(whole), PROGRAMS)):
+            trees: dict[str, list[tuple]] = {}
+            texts = list(zip(batch[one].to_pylist(), batch[two].to_pylist()))
+            for text in chain.from_iterable(texts):
+                if text not in trees:
+                    trees[text] = nodes_of(text, kept)
+            found = list(zip(*(of(trees[x], trees[y]) for x, y in texts))) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), *(pa.array(c, k) for c, k in zip(found, kinds))], [*keys, *added.names])
+
+    return rows.mapInArrow(run, StructType([*rows.select(*keys).schema, *added]))
 
 
 def matched(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """pair, node, ref_node and phase (1 to 4) of all nodes that match, for each of pairs (pair, prog, ref) of programs in nodes."""
-    both = cut(sides(nodes, pairs))
-    at = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")
-    found = equal_subtrees(both).select("pair", "node", "ref_node", at).select("pair", (F.col("node") + F.col("i")).alias("node"), (F.col("ref_node") + F.col("i")).alias("ref_node"), F.lit(1).alias("phase"))
-    found = cut(found.union(equal_leaves(_free(both, found)).withColumn("phase", F.lit(2))))
-    heights = [r[0] for r in both.filter("side = 0 and height >= 1").select("height").distinct().orderBy("height").collect()]  # as many as the tallest program has levels
-    for height in heights:
-        found = found.union(settled(_voted(both, found, height)).withColumn("phase", F.lit(3)))
-    while True:
-        more = cut(same_slots(both, found).withColumn("phase", F.lit(4)))
-        if more.isEmpty():
-            return found
-        found = found.union(more)
-
-
-def consecutive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes of all order programs (prog, owner and the node's columns), and pairs (pair, prog, ref) of each customer's consecutive ones that can be parsed."""
-    nodes = cut(flattened(order_programs(spark, sf_dir).select("prog", "owner", "ts", "code")))
-    tops = nodes.filter("parent < 0").select("prog", F.lead("prog").over(Window.partitionBy("owner").orderBy("ts", "prog")).alias("ref"))
-    return nodes, cut(tops.filter("ref is not null").withColumn("pair", F.col("prog")))
+    trees = nodes.groupBy("prog").agg(F.array_sort(F.collect_list(F.struct(*READ))).alias("tree"))
+    side = lambda key, name: trees.select(F.col("prog").alias(key), F.col("tree").alias(name))
+    rows = pairs.join(side("prog", "one"), "prog").join(side("ref", "two"), "ref").select("pair", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [[[tuple(n.values()) for n in tree] for tree in batch[c].to_pylist()] for c in ("one", "two")]
+            pair, of = batch["pair"], list(map(match_nodes, *both))
+            flat = list(zip(*(r for rows_ in of for r in rows_))) or [[]] * 3
+            at = pa.array([k for k, rows_ in enumerate(of) for _ in rows_], pa.int32())
+            yield pa.RecordBatch.from_arrays([pair.take(at), *(pa.array(c, pa.int32()) for c in flat)], ["pair", "node", "ref_node", "phase"])
+
+    return rows.mapInArrow(run, StructType([pairs.schema["pair"], *StructType.fromDDL("node int, ref_node int, phase int")]))
+
+
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prog, owner, seq (its place among the owner's programs that can be parsed, from 1), code, the owner's first_code, and ref and ref_code, the next; texts are shuffled, no nodes."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for batch in batches:
+            yield batch.filter(pa.array([tops(code, kept) is not None for code in batch["code"].to_pylist()], pa.bool_()))
+
+    programs = order_programs(spark, sf_dir).select("prog", "owner", "ts", "code")
+    readable = programs.mapInArrow(parse, programs.schema)
+    order = Window.partitionBy("owner").orderBy("ts", "prog")
+    return readable.select("prog", "owner", F.row_number().over(order).alias("seq"), "code", F.first("code").over(order).alias("first_code"), F.lead("prog").over(order).alias("ref"), F.lead("code").over(order).alias("ref_code"))
+
+
+def consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """prog and ref, and their code and ref_code, of each customer's consecutive programs that can be parsed."""
+    return histories(spark, sf_dir).filter("ref is not null").select("prog", "ref", "code", "ref_code")
 
 
 @query(ORDER_MATCHES + "select prog, ref, node, ref_node from matches")
 def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which node of each program is which of the customer's next one."""
-    nodes, pairs = consecutive(spark, sf_dir)
-    return matched(nodes, pairs).join(pairs, "pair").select("prog", "ref", "node", "ref_node")
+
+    def of(a: list[tuple], b: list[tuple]) -> tuple:
+        found = match_nodes(a, b)
+        return [i for i, _, _ in found], [j for _, j, _ in found]
+
+    found = with_trees(consecutive(spark, sf_dir), "code", "ref_code", "node array<int>, ref_node array<int>", of)
+    return found.select("prog", "ref", F.inline(F.arrays_zip("node", "ref_node")))
 
 
 def variable_map(nodes: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -158,8 +181,16 @@ def variable_map(nodes: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFr
 join on_ a on a.prog = matches.prog and a.node = matches.node and a.type = 'Name' join on_ v on v.prog = matches.ref and v.node = ref_node and v.type = 'Name' group by all""")
 def first_variable_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which variable of each program is which of the customer's next one, by the first match."""
-    nodes, pairs = consecutive(spark, sf_dir)
-    return variable_map(nodes, pairs, matched(nodes, pairs)).join(pairs, "pair").select("prog", "ref", "ref_name", "name")
+
+    def of(a: list[tuple], b: list[tuple]) -> tuple:
+        names: dict[str, str] = {}
+        for i, j, _ in match_nodes(a, b):  # in preorder, so the first match stays
+            if a[i][3] == b[j][3] == "Name":
+                names.setdefault(b[j][4][5:], a[i][4][5:])  # after "Name:"
+        return list(names), list(names.values())
+
+    found = with_trees(consecutive(spark, sf_dir), "code", "ref_code", "ref_name array<string>, name array<string>", of)
+    return found.select("prog", "ref", F.inline(F.arrays_zip("ref_name", "name")))
 
 
 def edit_operations(nodes: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -179,6 +210,22 @@ def frozen(nodes: DataFrame) -> DataFrame:
     return nodes.filter("is_stmt or is_expr").join(always, ["prog", "hash"]).select("prog", "node")
 
 
+def fixed_hashes(history: DataFrame) -> DataFrame:
+    """prog and fixed, the hashes of statements and expressions that all of the owner's programs up to this one have; only for programs after the first that have any.
+
+    What all have, the first has: only hashes that a program shares with the first become rows, and the first itself none.
+    """
+
+    def of(a: list[tuple], first: list[tuple]) -> tuple:
+        return (sorted({n[9] for n in a if n[10] or n[11]} & {n[9] for n in first if n[10] or n[11]}),)
+
+    shared = with_trees(history.filter("seq > 1").select("prog", "owner", "seq", "code", "first_code"), "code", "first_code", "common array<string>", of)
+    seen = shared.select("owner", F.explode("common").alias("hash"), "seq", "prog")
+    # In the first n programs without a gap: the n-th program to have it is the owner's n-th.
+    always = seen.withColumn("k", F.row_number().over(Window.partitionBy("owner", "hash").orderBy("seq"))).filter("k = seq - 1")
+    return always.groupBy("prog").agg(F.collect_list("hash").alias("fixed"))
+
+
 def holes(nodes: DataFrame) -> DataFrame:
     """prog, node and hole of the statements at the top of each program that not all of the owner's programs up to it have, named in preorder; all, if it is the first."""
     first = nodes.filter("parent < 0").groupBy("owner").agg(F.min_by("prog", F.struct("ts", "prog")).alias("prog")).select("prog", F.lit(True).alias("first"))
@@ -193,7 +240,12 @@ fr as (select prog, form from se qualify row_number() over (partition by owner,
 select prog, node, '__HOLE_' || (row_number() over (partition by prog order by node) - 1) as hole from on_ join sq using (prog) left join fr using (prog, form) where depth = 1 and (seq = 1 or fr.prog is null)""")
 def sketch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The holes of every program's sketch against the customer's earlier ones."""
-    return holes(consecutive(spark, sf_dir)[0])
+    history = histories(spark, sf_dir)
+    trees = parsed(history.select("prog", "seq", "code"), "node", "depth", "hash")
+    statements = trees.select("prog", "seq", F.filter(F.arrays_zip("node", "depth", "hash"), lambda x: x["depth"] == 1).alias("tops"))
+    rows = statements.join(fixed_hashes(history), "prog", "left")
+    open_ = F.filter("tops", lambda x: (F.col("seq") == 1) | F.col("fixed").isNull() | ~F.array_contains("fixed", x["hash"]))
+    return rows.select("prog", F.posexplode(open_).alias("k", "top")).select("prog", F.col("top.node").alias("node"), F.concat(F.lit(HOLE), "k").alias("hole"))
 
 
 @query(ORDER_MATCHES + f""", accepted as (select o_orderkey as ref, o_orderstatus = 'F' as accepted from orders),
@@ -211,14 +263,21 @@ select uncovered, inserts, accepted as outcome, count(*) as n, cast(sum(n_replac
 from p join accepted using (ref) group by 1, 2, 3""")
 def edit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits from each program to the customer's next one: pairs by whether an edit touches what never changed before, whether nodes are inserted, and the outcome."""
-    nodes, pairs = consecutive(spark, sf_dir)
-    ops = edit_operations(nodes, pairs, matched(nodes, pairs))
-    fixed = frozen(nodes).join(pairs.select("pair", "prog"), "prog").select("pair", "node", F.lit(True).alias("fixed"))
-    number = lambda op: F.count_if(F.col("op") == op)
-    each = ops.join(fixed, ["pair", "node"], "left").groupBy("pair").agg(
-        (F.count_if((F.col("op") != "insert") & F.col("fixed")) > 0).alias("uncovered"), (number("insert") > 0).alias("inserts"), *(number(op).alias(f"n_{op}") for op in ("replace", "delete", "insert"))
-    )
+
+    def of(a: list[tuple], b: list[tuple]) -> tuple:
+        found = match_nodes(a, b)
+        replaced, kept = [i for i, j, _ in found if a[i][4] != b[j][4]], {i for i, _, _ in found}
+        deleted = [n[0] for n in a if n[0] not in kept]
+        touched = {a[i][9] for i in replaced + deleted if a[i][10] or a[i][11]}
+        return sorted(touched), len(replaced), len(deleted), len(b) - len(found)
+
+    history = histories(spark, sf_dir)
+    pairs = history.filter("ref is not null").select("prog", "seq", "ref", "code", "ref_code")
+    each = with_trees(pairs, "code", "ref_code", "touched array<string>, n_replace long, n_delete long, n_insert long", of).join(fixed_hashes(history), "prog", "left")
+    # All statements and expressions of an owner's first program are fixed.
+    uncovered = F.when(F.col("seq") == 1, F.size("touched") > 0).otherwise(F.coalesce(F.arrays_overlap("touched", "fixed"), F.lit(False)))
+    each = each.select("ref", uncovered.alias("uncovered"), (F.col("n_insert") > 0).alias("inserts"), "n_replace", "n_delete", "n_insert")
     outcome = order_programs(spark, sf_dir).select(F.col("prog").alias("ref"), F.col("accepted").alias("outcome"))
-    rows = pairs.join(outcome, "ref").join(each, "pair", "left").fillna(False, ["uncovered", "inserts"])
+    rows = each.join(outcome, "ref")
     sums = [F.coalesce(F.sum(f"n_{op}"), F.lit(0)).alias(f"n_{op}") for op in ("replace", "delete", "insert")]
     return rows.groupBy("uncovered", "inserts", "outcome").agg(F.count("*").alias("n"), *sums)

@@ -102,7 +102,7 @@ def _body(code: str) -> list[list[list]] | None:
         return None
 
 
-def _tops(code: str | None, kept: dict[str, list[list[list]] | None]) -> list[list[list]] | None:
+def tops(code: str | None, kept: dict[str, list[list[list]] | None]) -> list[list[list]] | None:
     """The nodes of each statement at the top of a program; None if it can't be parsed.
 
     A program is cut before the lines that aren't indented. If each piece is a text of whole statements, the program is these statements, and ``kept`` has the
@@ -122,9 +122,9 @@ def _tops(code: str | None, kept: dict[str, list[list[list]] | None]) -> list[li
     return out
 
 
-def _module(tops: list[list[list]]) -> list:
-    hash_ = _digest("Module", [f"body[{k}]={t[0][9]}" for k, t in enumerate(tops)])
-    return [0, -1, "", "Module", "Module", "", 0, max((t[0][7] + 1 for t in tops), default=0), 1 + sum(len(t) for t in tops), hash_, False, False, None, None, 1 + sum(t[0][14] for t in tops), -1, None]
+def _module(body: list[list[list]]) -> list:
+    hash_ = _digest("Module", [f"body[{k}]={t[0][9]}" for k, t in enumerate(body)])
+    return [0, -1, "", "Module", "Module", "", 0, max((t[0][7] + 1 for t in body), default=0), 1 + sum(len(t) for t in body), hash_, False, False, None, None, 1 + sum(t[0][14] for t in body), -1, None]
 
 
 def nodes_of(code: str, kept: dict | None = None) -> list[tuple] | None:
@@ -133,11 +133,11 @@ def nodes_of(code: str, kept: dict | None = None) -> list[tuple] | None:
     Contexts (Load, Store, Del) are no nodes but a column, ctx; walk counts a node and all below it with their contexts. const is the type of a constant's value,
     stmt the nearest statement that holds the node, or the node itself (-1: none), sig a statement's type and the sorted set of its own tokens.
     """
-    tops = _tops(code, {} if kept is None else kept)
-    if tops is None:
+    body = tops(code, {} if kept is None else kept)
+    if body is None:
         return None
-    out = [tuple(_module(tops))]
-    for k, top in enumerate(tops):
+    out = [tuple(_module(body))]
+    for k, top in enumerate(body):
         base = len(out)
         for n in top:
             node, parent = n[0] + base, n[1] + base if n[1] >= 0 else 0
@@ -158,15 +158,15 @@ class _Pool:
         start, size, base, place, sizes = [], [], [], [], []
         alive = []  # statements that are no longer kept must live as long as their ids count
         for code in codes:
-            tops = _tops(code, self.kept)
-            if tops is None:
+            body = tops(code, self.kept)
+            if body is None:
                 sizes.append(0)
                 continue
-            module, at = _module(tops), 1
+            module, at = _module(body), 1
             start.append(len(rows)), size.append(1), base.append(0), place.append(-1)
             rows.append(module)
             sizes.append(module[8])
-            for k, top in enumerate(tops):
+            for k, top in enumerate(body):
                 if id(top) not in starts:
                     starts[id(top)] = len(rows)
                     alive.append(top)
