@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: For each open :func:`scratch`, the outermost first, the folders of the tables that end with it.
+_SCRATCH: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table of the data folder; any path that Spark's readers can open."""
@@ -78,18 +83,33 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As :func:`cut`, by a Parquet table: smaller, and read by column."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
+    """As :func:`cut`, by a Parquet table: smaller, read by column, and deleted with the :func:`scratch` around it (keep: with the one around that)."""
+    path, level = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}", len(_SCRATCH) - 1 - keep
+    if level >= 0:
+        _SCRATCH[level].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of :func:`stored` that nothing reads any more, and let Spark delete the shuffle files of plans that nobody holds."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored within are deleted at the end, but for those to keep; so are shuffle files that nobody holds."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        _deleted(spark, *_SCRATCH.pop())
+
+
+def _deleted(spark: SparkSession, *folders: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for files in filter(None, (t.inputFiles() for t in tables)):
-        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    for folder in map(jvm.org.apache.hadoop.fs.Path, folders):
         folder.getFileSystem(conf).delete(folder, True)
     gc.collect()
     jvm.System.gc()
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` that nothing reads any more, and let Spark delete the shuffle files of plans that nobody holds."""
+    _deleted(spark, *(files[0].rpartition("/")[0] for t in tables if (files := t.inputFiles())))

@@ -1,6 +1,6 @@
 """Connected components of a table of links, by alternating star contraction.
 
-Links stay in Spark: each round re-points neighbours to the least node around, and is written to the shared folder. Only a count and a checksum of the
+Links stay in Spark: each round re-points neighbours to the least node around, and is a table of the shared folder until the last is done. Only a count and a checksum of the
 links come to the driver, to see whether anything changed.
 """
 
@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import cut
+from trajectree.llm.common import scratch, stored
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -28,23 +28,24 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _contracted(links: DataFrame, all_sides: bool) -> DataFrame:
     """Large star (all_sides: each node's larger neighbours go to the least of its neighbourhood) or small star (smaller ones and itself do)."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if all_sides else links
-    least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")) if all_sides else both.groupBy("a").agg(F.min("b").alias("m")))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")) if all_sides else both.groupBy("a").agg(F.min("b").alias("m")))
     if all_sides:
         moved = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         moved = both.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return cut(moved.filter("a <> b").distinct())
+    return stored(moved.filter("a <> b").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
     """Nodes with a link, each with the least node it reaches: node, root. links: columns a and b, integers, in any order and number."""
     links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, seen = cut(links), None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-        links = _contracted(_contracted(links, True), False)
-    stars = links.groupBy("a").agg(F.min("b").alias("root"))
-    return stars.select(F.col("a").alias("node"), "root").union(links.select("b", "b").distinct())
+    with scratch(links.sparkSession):
+        links, seen = stored(links), None
+        while True:
+            state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if state == seen or not state[0]:
+                break
+            seen = state
+            links = _contracted(_contracted(links, True), False)
+        stars = links.groupBy("a").agg(F.min("b").alias("root"))
+        return stored(stars.select(F.col("a").alias("node"), "root").union(links.select("b", "b").distinct()), keep=True)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import cut, stored
+from trajectree.llm.common import scratch, stored
 from trajectree.llm.wordhash import joined, mixed, word_hashes
 
 SIMILARITY = 0.8
@@ -55,8 +55,8 @@ TILE = 4096
 #: Bits of the bitmap that lets lines that nobody asks for go before they are read again: from so many, with the number asked for, to so many.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
-#: 64-bit words of the constant bitmap that lets documents that lose nothing pass by.
-CONSTANT_WORDS = 1 << 14
+#: 64-bit words of the broadcast bitmap that lets documents that lose nothing pass by.
+NEAR_WORDS = 1 << 14
 
 _EPS = 1e-9
 _NO_ID = -(1 << 63)
@@ -188,7 +188,7 @@ def units(rows: DataFrame, tile: int, frequent: int) -> DataFrame:
     Only tokens of buckets from the rank ``frequent`` on can have more than ``tile`` rows.
     """
     maybe = rows.filter(F.shiftrightunsigned("token", HASH_BITS - JOIN_SHIFT) >= frequent)
-    many = cut(maybe.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile))
+    many = stored(maybe.groupBy("token").agg(F.count("*").alias("_n")).filter(F.col("_n") > tile))
     if many.isEmpty():
         return rows.withColumn("unit", F.col("token").cast("long")).withColumn("side", F.lit(0))
     rows = rows.join(many, "token", "left")
@@ -331,15 +331,15 @@ def _asked_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc[of[keep]]), pa.array(text_id[of[keep]]), pa.array(line[keep].astype(np.int32)), said], names)
 
     # Documents that nobody asks for stay in Spark.
-    near = _in_constant(F.xxhash64("doc"), _places(places.select(F.xxhash64("doc").alias("_key"))))
-    return _documents(docs).filter(near).mapInArrow(run, "doc long, text_id long, line int, said binary")
+    near = _near(_documents(docs), F.xxhash64("doc"), places.select(F.xxhash64("doc").alias("_key"))).filter("_near").select("doc", "text_id", "text")
+    return near.mapInArrow(run, "doc long, text_id long, line int, said binary")
 
 
 def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """The sets a of pairs (a, b) that are similar, by the words of both lines, read from the texts again."""
     side = lambda c, k: F.struct(F.col(c).alias("set"), F.lit(k).alias("side"))
     sides = pairs.select("a", "b", F.explode(F.array(side("a", 0), side("b", 1))).alias("x")).select("a", "b", "x.*")
-    sides = cut(sides.join(firsts.select("set", "doc", "text_id", "line"), "set").drop("set"))
+    sides = stored(sides.join(firsts.select("set", "doc", "text_id", "line"), "set").drop("set"))
     place = ["doc", "text_id", "line"]
     read = _asked_lines(docs, sides.select(*place).distinct())
 
@@ -366,17 +366,17 @@ def _verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame) -> DataFrame
 def _dropped(firsts: DataFrame, docs: DataFrame, tile: int, frequent: int) -> DataFrame:
     """The sets whose first line is similar to an earlier one."""
     proposed = stored(_proposed(firsts, None, tile, frequent))
-    few = cut(proposed.groupBy("a", "b").agg(F.max("room").alias("room")))
-    best = cut(few.groupBy("a").agg(F.max_by("b", "room").alias("b")))
-    similar = cut(_verified(best, firsts, docs))
+    few = stored(proposed.groupBy("a", "b").agg(F.max("room").alias("room")))
+    best = stored(few.groupBy("a").agg(F.max_by("b", "room").alias("b")))
+    similar = stored(_verified(best, firsts, docs))
     # Lines whose best partner failed: the others that they have, then all that a group had more of.
-    others = cut(few.join(similar.toDF("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
+    others = stored(few.join(similar.toDF("a"), "a", "left_anti").join(best, ["a", "b"], "left_anti").select("a", "b"))
     if not others.isEmpty():
-        similar = cut(similar.union(_verified(others, firsts, docs)))
-    failed = cut(proposed.filter("more").select(F.col("a").alias("set"), "token").distinct().join(similar, "set", "left_anti"))
+        similar = stored(similar.union(_verified(others, firsts, docs)))
+    failed = stored(proposed.filter("more").select(F.col("a").alias("set"), "token").distinct().join(similar, "set", "left_anti"))
     if not failed.isEmpty():
         every = _proposed(firsts, failed, tile, frequent).select("a", "b").distinct().join(failed.select(F.col("set").alias("a")).distinct(), "a", "left_semi")
-        similar = cut(similar.union(_verified(cut(every.join(few, ["a", "b"], "left_anti")), firsts, docs)))
+        similar = stored(similar.union(_verified(stored(every.join(few, ["a", "b"], "left_anti")), firsts, docs)))
     return similar
 
 
@@ -392,27 +392,24 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS, tile: int = T
 
 def removed_by_document(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_id and removed (numbers of the lines removed) of every document that loses any."""
-    return removed_lines(docs, least_words).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-
-
-def _in_constant(key: Column, table: np.ndarray) -> Column:
-    word, bit = _cell(key)
-    return F.split(F.lit(",".join(map(str, table.view(np.int64).tolist()))), ",").cast("array<bigint>")[word].bitwiseAND(bit) != 0
+    with scratch(docs.sparkSession):
+        return stored(removed_lines(docs, least_words).groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_set("line")).alias("removed")), keep=True)
 
 
 def _cell(key: Column) -> tuple[Column, Column]:
-    """The word and the bit of a key's place in a bitmap of :data:`CONSTANT_WORDS`."""
+    """The word and the bit of a key's place in a bitmap of :data:`NEAR_WORDS`."""
     hashed = F.xxhash64(key)
-    return hashed.bitwiseAND(F.lit(CONSTANT_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    return hashed.bitwiseAND(F.lit(NEAR_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
 
 
-def _places(keys: DataFrame) -> np.ndarray:
-    """The places of all keys (_key), as 64-bit words."""
+def _near(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """rows with _near: false only if their key isn't among ``keys`` (_key). The bitmap is a table of at most :data:`NEAR_WORDS` rows that goes to every task;
+    as a literal it would stand in each text of the plan that the driver keeps."""
     word, bit = _cell(F.col("_key"))
-    found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    table = np.zeros(CONSTANT_WORDS, np.int64)
-    table[found["w"].to_numpy()] = found["bits"].to_numpy()
-    return table
+    table = stored(keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    word, bit = _cell(key)
+    marked = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(table), "_word", "left")
+    return marked.withColumn("_near", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))).drop("_word", "_bit", "_bits")
 
 
 def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: float = 0.0) -> DataFrame:
@@ -422,14 +419,14 @@ def deduplicate(docs: DataFrame, least_words: int = LEAST_WORDS, least_left: flo
     which comes after and needs whole texts, decides about it. ``n_chars``, if there, is set to match.
     """
     key = F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("_key")
-    removed = stored(removed_by_document(docs.select("doc_id", "text"), least_words).select(F.struct("doc_id", "text_id").alias("_key"), "removed"))
+    removed = removed_by_document(docs.select("doc_id", "text"), least_words).select(F.struct("doc_id", "text_id").alias("_key"), "removed")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0)]).alias("_row"))
     rows = rows.select(key, "*")
     # Documents that lose nothing needn't meet the table of removed lines.
-    table = _places(removed)
-    touched = rows.filter(_in_constant(F.col("_key"), table)).join(removed, "_key", "left")
-    others = rows.filter(~_in_constant(F.col("_key"), table)).withColumn("removed", F.lit(None).cast("array<int>"))
+    rows = _near(rows, F.col("_key"), removed)
+    touched = rows.filter("_near").join(removed, "_key", "left")
+    others = rows.filter("not _near").withColumn("removed", F.lit(None).cast("array<int>"))
     rows = touched.unionByName(others)
     left = F.filter(F.split("text", "\n"), lambda _, k: ~F.array_contains("removed", k))
     rows = rows.withColumn("_left", F.when(F.col("removed").isNotNull(), left))

@@ -22,11 +22,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajectree.llm import simhash
-from trajectree.llm.common import cut, released, stored
+from trajectree.llm.common import released, scratch, stored
 from trajectree.llm.components import components
 from trajectree.llm.line_dedup import TILE, overlap, units
 
@@ -140,7 +140,7 @@ def _members(pairs: DataFrame, reps: DataFrame, docs: DataFrame, classes: Broadc
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), _lists([m for _, m in made])], ["set_id", "members"])
 
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    texts = cut(reps.join(wanted, "set_id", "left_semi").select("text_id"))
+    texts = stored(reps.join(wanted, "set_id", "left_semi").select("text_id"))
     read = docs.select(F.xxhash64("text").alias("text_id"), "text").join(texts, "text_id", "left_semi").dropDuplicates(["text_id"])
     return stored(read.select("text").mapInArrow(make, "set_id long, members array<long>"))
 
@@ -245,10 +245,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _left_open(common: DataFrame, linked: DataFrame, tried: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets under common shingles that pass the filters, aren't linked yet and weren't tried."""
+    """Pairs (a, b) of sets under common shingles that pass the filters, aren't linked yet and weren't tried; ``common`` is deleted."""
     roots = components(linked)
-    rows = cut(common.join(roots, common["set_id"] == roots["node"], "left").select("token", "set_id", F.coalesce("root", "set_id").alias("root")))
-    mixed = cut(rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("token"))
+    rows = stored(common.join(roots, common["set_id"] == roots["node"], "left").select("token", "set_id", F.coalesce("root", "set_id").alias("root")))
+    released(common.sparkSession, common)
+    mixed = stored(rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select("token"))
     # Only shared tokens' places are looked up, and a set's bitmap meets them once: a row for each token of each prefix would be many times as much.
     shared = rows.join(mixed, "token", "left_semi").groupBy("set_id").agg(F.first("root").alias("root"), F.collect_list("token").alias("met"))  # as long as a prefix at most
     places = F.transform("met", lambda token: (F.array_position("prefix", token) - 1).cast("int"))
@@ -262,9 +263,13 @@ def _left_open(common: DataFrame, linked: DataFrame, tried: DataFrame, reps: Dat
 
 def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable by pairs that are similar enough) of every row; radius: that of the fingerprints' candidates."""
-    # Tables are written and read rather than checkpointed: a checkpoint remembers how it was partitioned, and plans over many of them grow without end. Each is
-    # deleted when nothing reads it any more, and so are the shuffle files behind it.
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    # Tables are written and read rather than checkpointed: a checkpoint remembers how it was partitioned, plans over many of them grow without end, and its files
+    # stay. Each table is deleted when nothing reads it any more, and so are the shuffle files behind it.
+    with scratch(docs.sparkSession):
+        return stored(_grouped(docs.sparkSession, docs.select("doc_id", "text"), radius), keep=True)
+
+
+def _grouped(spark: SparkSession, docs: DataFrame, radius: int) -> DataFrame:
     classes = spark.sparkContext.broadcast(size_classes(docs))
     made = stored(sets(docs, classes))
     least = [F.min(c).alias(d) for c, d in (("doc_id", "least"), ("text_id", "text_id"), ("fp", "fp"), ("n", "n"))]
@@ -272,21 +277,22 @@ def near_copies(docs: DataFrame, radius: int) -> DataFrame:
     reps = stored(made.groupBy("set_id").agg(*least, F.first("prefix").alias("prefix")))
     ids = stored(made.select("doc_id", "set_id"))
     released(spark, made)
-    linked, rest = _candidates(reps, docs, classes, radius)
+    with scratch(spark):
+        linked, rest = _candidates(reps, docs, classes, radius)
     members = _members(rest, reps, docs, classes)
     released(spark)
     # First the most similar partner of each set, then what is still between two groups.
-    best = cut(rest.groupBy("a").agg(F.max_by("b", "room").alias("b")))
+    best = stored(rest.groupBy("a").agg(F.max_by("b", "room").alias("b")))
     linked = stored(linked.union(_similar(best, members)))
     released(spark)
-    roots = stored(components(linked))
+    roots = components(linked)
     for c in "ab":
         rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
     rest = stored(rest.filter("_a <> _b").select("a", "b").join(best, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = stored(components(stored(linked.union(_similar(rest, members)))))
+        roots = components(stored(linked.union(_similar(rest, members))))
     groups = reps.select("set_id", "least").join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
-    groups = cut(groups)
+    groups = stored(groups)
     released(spark, members, reps)
     chosen = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     return ids.join(groups.select("set_id", "root").join(chosen, "root"), "set_id").select("doc_id", "component_id")
@@ -309,11 +315,9 @@ def _candidates(reps: DataFrame, docs: DataFrame, classes: Broadcast, radius: in
     released(spark)
     members = _members(tried, reps, docs, classes)
     released(spark)
-    linked = stored(_similar(tried, members))
+    linked = stored(_similar(tried, members), keep=True)
     released(spark, members)
-    rest = stored(_with_room(_left_open(common, linked, tried, reps), reps))
-    released(spark, common, tried)
-    return linked, rest
+    return linked, stored(_with_room(_left_open(common, linked, tried, reps), reps), keep=True)
 
 
 def deduplicate(docs: DataFrame, radius: int) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import cut
+from trajectree.llm.common import cut, stored
 from trajectree.llm.components import components, forest
 
 SEED = 42
@@ -127,7 +127,7 @@ def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
         blocks.append(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)).alias("value")))
         at += n
     rows = reps.select("rep", "fp", F.explode(F.array(*blocks)).alias("at")).select("rep", "fp", "at.block", "at.value")
-    sizes = cut(rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1"))
+    sizes = stored(rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1"))
     rows = rows.join(sizes, ["block", "value"])
     # In a large bucket: tiles by population count and hash part; a row goes to each tile within the radius of its own.
     # Population counts spread a bucket over many tiles (the middle count has a tenth of random fingerprints), so few hash parts are needed.
@@ -163,11 +163,11 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with the rows that :func:`deduplicate` keeps, by doc_id and component_id of every row."""
     keyed = docs.select("doc_id", "text", F.struct("*").alias("_row")).withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = cut(found.select("doc_id", "component_id"))
-    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
+    found = stored(found.select("doc_id", "component_id"))
+    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
     stay = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
     # Rows of one id: the first of them only, without a shuffle of others' texts.
-    first = cut(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).filter("_n > 1"))
+    first = stored(stay.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).filter("_n > 1"))
     single = stay.join(first, stay["doc_id"].eqNullSafe(first["_id"]), "left_anti").select("_row.*")
     twice = stay.join(first, stay["doc_id"].eqNullSafe(first["_id"]) & (stay["_key"] == first["_least"])).dropDuplicates(["_id", "_key"]).select("_row.*")
     return single.unionByName(twice)
