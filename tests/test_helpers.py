@@ -10,8 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trajectree.functions import text
-from trajectree.functions.trees import edit_distance, standard_form
-from trajectree.operators.trees import flattened, nodes_of
+from trajectree.functions.trees import _by_forests, _postorder, edit_distance, standard_form
+from trajectree.operators.trees import flattened, nodes_of, ted_value_aware
 from trajectree.plans.dataset import build_trajectories
 from trajectree.sources import sinks, tables
 from trajectree.streaming.first_accept import EVENTS, first_accepts
@@ -31,6 +31,24 @@ def test_edit_distance_is_a_metric(a, b, c):
     assert edit_distance(a, a) == 0 and edit_distance(a, b) == edit_distance(b, a) and edit_distance(a, c) <= edit_distance(a, b) + edit_distance(b, c)
 
 
+@settings(max_examples=60, deadline=None)
+@given(_EXPRESSIONS, _EXPRESSIONS)
+def test_trees_of_one_shape_have_the_distance_of_their_forests(a, b):
+    pairs = [(a, b), (a, a), (a, a.replace("a", "b")), (f"x = {a}\ny = {b}", f"x = {b}\ny = {a}"), ("f(a, b, c)", "f(b, c, a)")]
+    for x, y in pairs:
+        assert edit_distance(x, y) == _by_forests(*_postorder(x), *_postorder(y))
+
+
+def test_long_programs_of_one_shape_need_no_forests():
+    long = "x = 1\n" * 3000  # 12,000 nodes: by forests this doesn't end
+    assert edit_distance(long, long) == 0 and edit_distance(long + "x = 1", long + "x = 2") == 1
+
+
+def test_programs_are_compared_where_their_pair_is(spark):
+    plan = ted_value_aware(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 @pytest.mark.parametrize(
     "code, form",
     [

@@ -333,18 +333,19 @@ def variable_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with e as (select user_id, event_id, event_type, lead(event_id) over (partition by user_id, event_type order by event_id) as next from events)
 select event_id as prog, next, cast(event_type in ('purchase', 'view') and event_id % 7 <> next % 7 as bigint) as ted from e where next is not null""")
 def ted_value_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tree edit distance of each program and the user's next of its kind; equal pairs of programs are compared once."""
+    """Tree edit distance of each program and the user's next of its kind, where the pair is; equal pairs of programs are compared once a batch."""
     p = programs(spark, sf_dir)
     after = Window.partitionBy("user_id", "event_type").orderBy("event_id")
     pairs = p.select(F.col("event_id").alias("prog"), F.lead("event_id").over(after).alias("next"), "code", F.lead("code").over(after).alias("next_code")).filter("next is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ted = [edit_distance(a, b) for a, b in zip(batch["code"].to_pylist(), batch["next_code"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch["code"], batch["next_code"], pa.array(ted, pa.int64())], ["code", "next_code", "ted"])
+            # A user's programs follow each other, so equal pairs are mostly in one batch.
+            of = list(zip(batch["code"].to_pylist(), batch["next_code"].to_pylist()))
+            ted = {pair: edit_distance(*pair) for pair in set(of)}
+            yield pa.RecordBatch.from_arrays([batch["prog"], batch["next"], pa.array([ted[pair] for pair in of], pa.int64())], ["prog", "next", "ted"])
 
-    distances = pairs.select("code", "next_code").distinct().mapInArrow(run, "code string, next_code string, ted long")
-    return pairs.join(distances, ["code", "next_code"]).select("prog", "next", "ted")
+    return pairs.filter("code is not null and next_code is not null").mapInArrow(run, "prog long, next long, ted long")
 
 
 @query("""select event_id as prog, case event_type
