@@ -54,6 +54,9 @@ def dedupe_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("digest")
 
 
+#: Rows that a task of :func:`upsert_latest` has, about.
+TASK_ROWS = 1 << 18
+
 _SPLIT = "o_orderdate < timestamp '1996-01-01'"
 
 
@@ -74,8 +77,10 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 @query("select l_orderkey, l_linenumber, arg_max(l_quantity, l_shipdate) as l_quantity from (select l_orderkey, cast(l_linenumber % 3 as bigint) as l_linenumber, max(l_quantity) as l_quantity, l_shipdate from lineitem group by 1, 2, 4) group by 1, 2")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest version of a result by its key."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_linenumber") % 3).cast("long").alias("l_linenumber"), "l_shipdate").agg(F.max("l_quantity").alias("q"))
+    """The latest version of a result by its key. Rows are dealt out once, to as many tasks as their number asks for, so the groups of a task don't grow with the table."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") % 3).cast("long").alias("l_linenumber"), "l_shipdate", "l_quantity")
+    dealt = lines.repartition(lines.count() // TASK_ROWS + 1, "l_orderkey", "l_linenumber")  # counted from the files' footers
+    rows = dealt.groupBy("l_orderkey", "l_linenumber", "l_shipdate").agg(F.max("l_quantity").alias("q"))
     return rows.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("q", "l_shipdate").alias("l_quantity"))
 
 
