@@ -2,6 +2,8 @@
 
 import os
 
+import numpy as np
+
 from tests.llm.helpers import documents, words
 from trajectree.llm import line_dedup, near_copies
 from trajectree.llm.common import scratch, shared_folder, stored
@@ -46,3 +48,17 @@ def test_line_dedup_leaves_the_removed_lines_only(spark):
     # the removed lines by document, and a bitmap of them
     assert len({os.path.dirname(f) for f in left(spark, before)}) == 2
     assert out.count() and len(out._jdf.queryExecution().toString()) < 100_000
+
+
+def test_rows_of_line_dedup_are_numbered_by_place_and_narrow(spark):
+    """What is dealt out for each word of a prefix has no place, and its number tells which line is earlier."""
+    docs = documents(spark, [(k, text) for k, text in rows()[::-1]])
+    with scratch(spark):
+        rank, frequent = line_dedup.ranks(docs)
+        firsts = line_dedup._firsts(stored(line_dedup.lines(docs, rank)))
+        by_number = [(r["doc"], r["line"]) for r in firsts.orderBy("set").collect()]
+        assert by_number == sorted(by_number) and len(set(by_number)) == len(by_number) > 300
+        dealt = line_dedup._proposed(firsts, None, line_dedup.TILE, frequent)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in dealt and not {"doc", "line"} & {c.split("#")[0].strip() for c in dealt.split("MapInArrow")[1].split("[", 1)[1].split("\n")[0].split(",")}
+        of_set = near_copies._sketch(np.arange(500, dtype=np.uint64))
+    assert 8 * len(of_set) <= 256

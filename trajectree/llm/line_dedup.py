@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajectree.llm.common import scratch, stored
+from trajectree.llm.common import released, scratch, stored
 from trajectree.llm.wordhash import joined, mixed, word_hashes
 
 SIMILARITY = 0.8
@@ -147,10 +147,18 @@ def lines(docs: DataFrame, rank: np.ndarray, least_words: int = LEAST_WORDS) ->
 
 
 def _firsts(table: DataFrame) -> DataFrame:
-    """The first line of each set, with a number for the set: set, doc, text_id, line, n, bits, half, prefix. Copies meet in the partial results of their tasks."""
+    """The first line of each set, with a number for the set: set, doc, text_id, line, n, bits, half, prefix. Copies meet in the partial results of their tasks.
+
+    Sets are numbered in the order of their places, so a row that goes to the group of a token needs no place: the lesser number is the earlier line.
+    """
     place = F.struct("doc", "line", "text_id")
     firsts = table.groupBy("id_a", "id_b").agg(F.min(F.struct(place.alias("place"), "n", "bits", "half", "prefix")).alias("first")).select("first.*")
-    return stored(firsts.select(F.monotonically_increasing_id().alias("set"), "place.*", "n", "bits", "half", "prefix"))
+    firsts = stored(firsts.select("place.*", "n", "bits", "half", "prefix"))
+    released(table.sparkSession)
+    order = ["doc", "line", "text_id"]
+    numbered = stored(firsts.repartitionByRange(*order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("set"), "*"))
+    released(table.sparkSession, firsts)
+    return numbered
 
 
 def cell(*keys: np.ndarray) -> np.ndarray:
@@ -234,15 +242,15 @@ def met(unit: np.ndarray, side: np.ndarray, n: np.ndarray, at: np.ndarray, bits:
 
 def _compare(all_pairs: bool):
     """Rows in order of unit; for each line with earlier partners in its unit: all of them, or some with most room, and at the last of these whether there are others."""
-    columns = ["unit", "shape", "set", "doc", "line", "bits", "half"]
+    columns = ["unit", "shape", "set", "bits", "half"]
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
         runs = np.cumsum(np.concatenate(([0], rows[0, 1:] != rows[0, :-1]))) if rows.shape[1] else rows[0]
         rows = rows[:, np.lexsort((rows[1], runs))]
-        unit, shape, sets, doc, line, bits, half = rows
+        unit, shape, sets, bits, half = rows
         n, at, side, wanted = shape >> 32, (shape >> 3) & ((1 << 29) - 1), (shape >> 1) & 3, shape & 1
         i, j, room = met(unit, side, n, at, bits.view(np.uint64), half.view(np.uint64))
-        swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & ((line[i] > line[j]) | ((line[i] == line[j]) & (sets[i] > sets[j]))))
+        swap = sets[i] > sets[j]  # sets are numbered in the order of their places
         late, early = np.where(swap, i, j), np.where(swap, j, i)
         keep = (wanted[late] == 1) & (sets[late] != sets[early])
         late, early, room = late[keep], early[keep], room[keep]
@@ -280,7 +288,7 @@ def _rows_asked(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The prefix rows of the tokens of ``wanted`` (set, token), its sets marked; by bitmaps, so some others may be among them."""
     asked = bitmap(wanted.select("set").distinct()), bitmap(wanted.select(F.col("token").cast("long").alias("token")).distinct())
     shared = firsts.sparkSession.sparkContext.broadcast(asked)
-    names = ["set", "doc", "line", "n", "bits", "half"]
+    names = ["set", "n", "bits", "half"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, of_sets = shared.value
@@ -295,18 +303,18 @@ def _rows_asked(firsts: DataFrame, wanted: DataFrame) -> DataFrame:
             more = [asked[of[keep]], at[keep].astype(np.int32), token[keep]]
             yield pa.RecordBatch.from_arrays([*out.columns, *map(pa.array, more)], [*names, "wanted", "at", "token"])
 
-    return firsts.select(*names, "prefix").mapInArrow(run, "set long, doc long, line int, n int, bits long, half long, wanted int, at int, token int")
+    return firsts.select(*names, "prefix").mapInArrow(run, "set long, n int, bits long, half long, wanted int, at int, token int")
 
 
 def _proposed(firsts: DataFrame, wanted: DataFrame | None, tile: int, frequent: int) -> DataFrame:
     """Pairs a, b (b earlier) of sets that pass the filters: the best few of each unit for each a, or all for the sets and tokens of ``wanted``."""
     if wanted is None:
-        rows = firsts.select("set", "doc", "line", "n", "bits", "half", F.lit(1).alias("wanted"), F.posexplode("prefix").alias("at", "token"))
+        rows = firsts.select("set", "n", "bits", "half", F.lit(1).alias("wanted"), F.posexplode("prefix").alias("at", "token"))
     else:
         rows = _rows_asked(firsts, wanted)
     parts = (F.shiftleft(F.col(c).cast("long"), k) for c, k in (("n", 32), ("at", 3), ("side", 1), ("wanted", 0)))
     shape = sum(parts, F.lit(0).cast("long"))
-    rows = units(rows, tile, frequent).select("unit", shape.alias("shape"), "set", "doc", F.col("line").cast("long").alias("line"), "bits", "half")
+    rows = units(rows, tile, frequent).select("unit", shape.alias("shape"), "set", "bits", "half")
     # By one number alone, so Spark sorts without comparing rows; the lengths are put in order in the batches.
     rows = rows.repartition("unit").sortWithinPartitions("unit")
     return rows.mapInArrow(_compare(wanted is not None), "a long, b long, room long, more boolean, token int")
