@@ -33,7 +33,7 @@ from trajectree.llm.line_dedup import TILE, overlap, units
 WIDTH = 5
 SIMILARITY = 0.8
 #: Bits of the parity bitmap of a set, which bounds the symmetric difference of two sets from below.
-SKETCH = 256
+SKETCH = 1024
 #: Buckets of shingles whose counts order them, and parts that the counts are summed in.
 BUCKETS, PARTS = 1 << 18, 64
 #: Tasks whose counts are added up first.
