@@ -295,17 +295,35 @@ g as (select prog, label, count(*) as n from n group by all),
 d as (select e.prog, e.next, label, g.n as c from e join g using (prog) where next is not null union all select e.prog, e.next, label, -g.n from e join g on g.prog = e.next)
 select prog, next, cast(sum(abs(c)) as bigint) as dist from (select prog, next, label, sum(c) as c from d group by all) group by all""")
 def label_bag_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiset distance of the label bags of a user's consecutive programs: totals less twice what they share."""
-    p = programs(spark, sf_dir)
-    pairs = p.select(F.col("event_id").alias("prog"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id")).alias("next")).filter("next is not null")
-    bag = flattened(p.select("event_id", "code")).groupBy("event_id", "label").agg(F.count("*").alias("n"))
-    total = bag.groupBy("event_id").agg(F.sum("n").alias("t"))
-    one = bag.select(F.col("event_id").alias("prog"), "label", F.col("n").alias("a"))
-    two = bag.select(F.col("event_id").alias("next"), "label", F.col("n").alias("b"))
-    shared = pairs.join(one, "prog").join(two, ["next", "label"]).groupBy("prog", "next").agg(F.sum(F.least("a", "b")).alias("s"))
-    t = lambda name: total.select(F.col("event_id").alias(name), F.col("t").alias(f"{name}_t"))
-    both = pairs.join(t("prog"), "prog").join(t("next"), "next").join(shared, ["prog", "next"], "left")
-    return both.select("prog", "next", (F.col("prog_t") + F.col("next_t") - 2 * F.coalesce("s", F.lit(0))).alias("dist"))
+    """Multiset distance of the label bags of a user's consecutive programs, made where the pair is; rows of one event are one program, and its own next if there are several."""
+    p = programs(spark, sf_dir).filter("event_id is not null").repartition("user_id")
+    each = p.groupBy("user_id", "event_id").agg(F.collect_list("code").alias("codes"), F.count("*").alias("n"))
+    after = Window.partitionBy("user_id").orderBy("event_id")
+    follows = lambda c: F.lead(c).over(after).alias(f"next_{c}")
+    pairs = each.select("event_id", "codes", "n", follows("event_id"), follows("codes"))
+    of = F.filter(F.array(F.struct(F.col("next_event_id").alias("next"), "next_codes"), F.when(F.col("n") > 1, F.struct(F.col("event_id").alias("next"), F.col("codes").alias("next_codes")))), lambda x: x["next"].isNotNull())
+    return pairs.select(F.col("event_id").alias("prog"), "codes", F.inline(of)).mapInArrow(_label_distances, "prog long, next long, dist long")
+
+
+def _label_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """prog, next and dist of pairs of lists of codes that have nodes; one without any counts as empty beside one that has."""
+    pool = _Pool(["label"], {})
+
+    def labels(codes: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+        flat, sizes = pool.columns(codes.flatten().to_pylist())
+        return flat[0], np.repeat(np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy(zero_copy_only=False)), sizes)
+
+    for batch in batches:
+        for at in range(0, len(batch), PROGRAMS):
+            part = batch.slice(at, PROGRAMS)
+            (one, row), (two, next_row) = labels(part["codes"]), labels(part["next_codes"])
+            kinds = pa.concat_arrays([one, two]).dictionary_encode()
+            key = np.concatenate([row, next_row]) * len(kinds.dictionary) + kinds.indices.to_numpy()
+            key, place = np.unique(key, return_inverse=True)
+            more = np.bincount(place, np.repeat([1, -1], [len(row), len(next_row)]), len(key))
+            dist = np.bincount(key // max(1, len(kinds.dictionary)), np.abs(more), len(part)).astype(np.int64)
+            there = pa.array(np.union1d(row, next_row))
+            yield pa.RecordBatch.from_arrays([part["prog"].take(there), part["next"].take(there), pa.array(dist).take(there)], ["prog", "next", "dist"])
 
 
 @query(f"""with {_STATEMENTS}, l as (select user_id, max_by(event_id, (ts, event_id)) as prog, count(*) as n from events group by 1),
