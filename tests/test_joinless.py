@@ -16,7 +16,7 @@ def odd_events(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["label_bag_distance"])
+@pytest.mark.parametrize("name", ["label_bag_distance", "variable_uses"])
 def test_no_join_and_the_rows_of_sql(spark, odd_events, name):
     got = catalog.QUERIES[name](spark, odd_events)
     con = duckdb.connect()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajectree.operators.rollups import _EDGES
-from trajectree.operators.trees import flattened
+from trajectree.operators.trees import flattened, parsed
 from trajectree.registry import query
 from trajectree.sources.programs import programs
 from trajectree.sources.tables import table
@@ -130,11 +130,14 @@ def experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 ('purchase', 'x', 'store', 'Assign', 'Module'), ('purchase', 'y', 'store', 'Assign', 'Module'), ('purchase', 'print', 'load', 'Call', 'Expr'), ('purchase', 'x', 'load', 'Call', 'Expr'),
 ('purchase', 'y', 'load', 'Call', 'Expr')) t(kind, v, a, p, g) on kind = event_type group by all""")
 def variable_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uses of all variables of a user's programs: stored or loaded, under which parent and grandparent."""
-    n = flattened(programs(spark, sf_dir).select("user_id", "event_id", "code"))
-    access = F.when(F.col("ctx") == "Store", "store").otherwise("load")
-    names = n.filter("type = 'Name'").select("user_id", "event_id", "parent", F.regexp_extract("label", "Name:(.*)", 1).alias("variable"), access.alias("access"))
-    above = n.select("event_id", F.col("node").alias("parent"), F.col("type").alias("parent_type"), F.col("parent").alias("grandparent"))
-    top = n.select("event_id", F.col("node").alias("grandparent"), F.col("type").alias("grandparent_type"))
-    uses = names.join(above, ["event_id", "parent"]).join(top, ["event_id", "grandparent"])
+    """Uses of all variables of a user's programs: stored or loaded, under which parent and grandparent; found inside each program, whose nodes lie in preorder."""
+    n = parsed(programs(spark, sf_dir).select("user_id", "code").repartition("user_id"), "parent", "type", "label", "ctx")
+    names = F.filter(F.arrays_zip("parent", "type", "label", "ctx"), lambda x: x["type"] == "Name")
+    use = lambda x: F.struct(
+        F.substring(x["label"], 6, 1 << 30).alias("variable"),  # after "Name:"
+        F.when(x["ctx"] == "Store", "store").otherwise("load").alias("access"),
+        F.get("type", x["parent"]).alias("parent_type"),
+        F.get("type", F.get("parent", x["parent"])).alias("grandparent_type"),
+    )
+    uses = n.select("user_id", F.inline(F.transform(names, use)))
     return uses.groupBy("user_id", "variable", "access", "parent_type", "grandparent_type").agg(F.count("*").alias("n"))
